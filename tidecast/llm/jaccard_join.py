@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
-from tidecast.llm.shared import components, durable, release, shards
+from tidecast.llm.shared import components, discard, durable, release, shards
 
 #: Frequent shingles that the order knows (a bound on what the driver gathers; others are ordered by hash alone).
 FREQUENT = 1 << 17
@@ -250,10 +250,13 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
                 sets = durable(set_table(docs.join(active, "doc_id", "left_semi"), words))
                 release(spark)
             fresh = durable(_verified(pairs, sets, percent))
-            links = fresh if links is None else durable(links.unionByName(fresh))
-            comps = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
-            comps = durable(comps)
+            discard(pairs)
+            links = fresh if links is None else links.unionByName(fresh)
+            comps = durable(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
             release(spark)
+        if sets is not None:
+            discard(sets)
+    discard(postings)
     class_ids = classes.select("k1", "k2", "n", F.col("doc_id").alias("class_id"))
     if comps is not None:
         class_ids = class_ids.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")

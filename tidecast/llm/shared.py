@@ -4,22 +4,39 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir, and only where that is unset (tests on
+    one machine) one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder that all executors share, without the lineage that made them.
+    """The rows written as a table to the shared folder and read back, without the lineage that made them.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) is one made.
+    Reading needs no executor that took part in writing; discard() removes a table that is no longer read.
     """
+    path = f"{folder(df.sparkSession)}/tidecast-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a durable table."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -41,6 +58,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     before they join, rounds grow with the logarithm of the longest path, and each round is checkpointed.
     """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -50,9 +68,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = durable(small)
-        changed = edges.exceptAll(after).limit(1).count() + after.exceptAll(edges).limit(1).count()
-        edges = after
-        if not changed:
+        now = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        discard(edges)
+        edges, settled, seen = after, now == seen, now
+        if settled:
             stars = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
             return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
