@@ -34,7 +34,8 @@ FREQUENT = 1 << 17
 BLOCK, SHARD = 1024, 60_000
 #: Shingles counted together in a task, and the count among them from which a shingle counts as frequent.
 COUNTED, STANDS_OUT = 2_000_000, 8
-_BITS = 4
+#: Words of 64 bits of the narrowest parity bitmap; a set of n tokens has a bit for every two tokens at least.
+NARROW = 4
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -103,7 +104,10 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
                     out.append((doc, 0, 0, 0, None, None))
                     continue
                 k1, k2 = np.add.reduce(textscan.mix(tokens)), np.add.reduce(textscan.mix(tokens ^ np.uint64(0xA5A5A5A55A5A5A5A)))
-                bits = np.packbits((np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=64 * _BITS) & 1).astype(np.uint8))
+                width = 64 * NARROW
+                while 2 * width < len(tokens):
+                    width *= 2
+                bits = np.packbits((np.bincount((tokens % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8))
                 out.append((doc, len(tokens), int(k1.view(np.int64)), int(k2.view(np.int64)), prefix(tokens, by_hash, rank).view(np.int64), bits.tobytes()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -124,6 +128,37 @@ def _postings(entries: DataFrame) -> DataFrame:
     return found.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "at", "gid", "n")
 
 
+class _Bitmaps:
+    """Parity bitmaps of any power-of-two width; halves of a wider one folded together are that of the narrower width."""
+
+    def __init__(self, rows: list[bytes]):
+        self.width = np.array([len(r) // 8 for r in rows], np.int64)
+        self.level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        carried, of = np.zeros((0, 0), np.uint64), np.zeros(0, np.int64)
+        for w in sorted(set(self.width.tolist()), reverse=True):
+            while carried.shape[1] > w:
+                half = carried.shape[1] // 2
+                carried = carried[:, :half] ^ carried[:, half:]
+            own = np.flatnonzero(self.width == w)
+            fresh = np.frombuffer(b"".join([rows[k] for k in own]), np.uint64).reshape(len(own), w)
+            carried, of = np.concatenate([carried.reshape(-1, w), fresh]), np.concatenate([of, own])
+            place = np.full(len(rows), -1, np.int64)
+            place[of] = np.arange(len(of))
+            self.level[w] = (carried, place)
+
+    def apart(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Bits that differ: a lower bound of the symmetric difference."""
+        out = np.zeros(len(u), np.int64)
+        least = np.minimum(self.width[u], self.width[v])
+        for w, (rows, place) in self.level.items():
+            pairs = np.flatnonzero(least == w)
+            step = max(1, (1 << 20) // w)
+            for at in range(0, len(pairs), step):
+                k = pairs[at : at + step]
+                out[k] = np.bitwise_count(rows[place[u[k]]] ^ rows[place[v[k]]]).sum(axis=1)
+        return out
+
+
 def _pair_up(shard: pa.Table, percent: int, every: bool) -> pa.Table:
     """Member pairs of one shard that all bounds leave: (u, v, far), far an estimate of the symmetric difference."""
     col = {name: shard.column(name).to_numpy() for name in ("token", "b1", "b2", "block", "at", "n")}
@@ -134,13 +169,13 @@ def _pair_up(shard: pa.Table, percent: int, every: bool) -> pa.Table:
     flat = members.flatten()
     first = first - first[0]
     doc, comp = flat.field("doc").to_numpy(), flat.field("comp").to_numpy()
-    bits = np.frombuffer(b"".join(flat.field("bits").to_pylist()), np.uint64).reshape(-1, _BITS)
+    bitmaps = _Bitmaps(flat.field("bits").to_pylist())
     key = np.flatnonzero(np.concatenate([[True], (col["token"][1:] != col["token"][:-1]) | (col["b1"][1:] != col["b1"][:-1]) | (col["b2"][1:] != col["b2"][:-1])]))
     size = np.diff(np.append(key, len(order)))
     got: list[tuple[np.ndarray, ...]] = []
     last = np.repeat(key + size, size)
     partners = last - np.arange(len(order))  # each row with itself and all later ones of its list
-    cuts = np.flatnonzero(np.diff(np.cumsum(partners) // 2_000_000)) + 1
+    cuts = np.flatnonzero(np.diff(np.cumsum(partners) // 500_000)) + 1
     for rows in np.split(np.arange(len(order)), cuts):
         x = np.repeat(rows, partners[rows])
         y = textscan.ranges(rows, partners[rows])
@@ -158,7 +193,7 @@ def _pair_up(shard: pa.Table, percent: int, every: bool) -> pa.Table:
         most = np.repeat(col["n"][x] + col["n"][y] - 2 * need, count)
         keep = (doc[u] != doc[v]) & (comp[u] != comp[v]) & ((np.repeat(x != y, count)) | (u < v))
         u, v, most = u[keep], v[keep], most[keep]
-        far = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1).astype(np.int64)
+        far = bitmaps.apart(u, v)
         keep = far <= most
         got.append((np.minimum(doc[u], doc[v])[keep], np.maximum(doc[u], doc[v])[keep], far[keep]))
     u, v, far = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
