@@ -7,8 +7,8 @@ gathered.  Whether two neighbours are joined depends on the two alone, so equal
 their ends: with pair symbols of at most MOST_WORDS words, after ROUNDS rounds all that lies LOST words from either end.
 
 Each window of the asked length selects the smallest symbol of its interior.  A window whose symbol no other document
-selects cannot repeat.  The windows that are left are verified by hashes of their whole word sequence; the first document
-of each is found by an aggregate.  A window whose interior has no whole symbol (long runs) is always verified.
+selects cannot repeat.  Stretches of windows that select one symbol are verified as a whole by the hash of their words, and
+window by window where that does not settle them (module repeats).  A window whose interior has no whole symbol (long runs) is always verified.
 
 Defined cases: null and empty texts have no words and nothing is removed; texts shorter than the window keep all their words;
 repeated rows of a doc_id count as one document each, neither removes from the other; other columns are ignored.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
-from tidecast.llm.shared import discard, durable, release
+from tidecast.llm.repeats import repeated
 
 #: Rounds of pair naming, the words a named pair may have, and the words at either end whose symbols may differ.
 ROUNDS, MOST_WORDS = 4, 9
@@ -90,80 +90,79 @@ def selected(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.nda
     return start, got
 
 
-def _symbols(docs: DataFrame, window: int) -> DataFrame:
-    """(symbol, doc_id): the distinct symbols that a document's windows select."""
+def _stretches(docs: DataFrame, window: int) -> DataFrame:
+    """(symbol, key, doc_id, at, n): the runs of windows of a document that select one symbol."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in textscan.texts(batch):
                 starts, ends, first = part.words()
-                start, symbol = selected(part.word_hashes(starts, ends), first, window)
+                hashes = part.word_hashes(starts, ends)
+                start, symbol = selected(hashes, first, window)
                 if not len(start):
                     continue
                 doc = np.searchsorted(first, start, side="right") - 1
-                new = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1])])
-                symbol, doc = symbol[new], doc[new]
-                order = np.lexsort((doc, symbol))
-                symbol, doc = symbol[order], doc[order]
-                new = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(symbol[new].view(np.int64)), pa.array(part.ids[doc[new]])], ["symbol", "doc_id"])
+                head = np.flatnonzero(np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1])]))
+                n = np.diff(np.append(head, len(start)))
+                at, doc = start[head], doc[head]
+                key = textscan.word_windows(hashes, at, at + n + window - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(symbol[head].view(np.int64)), pa.array(key.view(np.int64)), pa.array(part.ids[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["symbol", "key", "doc_id", "at", "n"])
+
+    return docs.mapInArrow(scan, "symbol long, key long, doc_id long, at int, n int")
 
-    return docs.mapInArrow(scan, "symbol long, doc_id long")
+
+def int_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column side by side, and where each row's begin (one more entry than rows); null counts as empty."""
+    column = column.fill_null([]) if column.null_count else column
+    offsets = np.asarray(column.offsets)
+    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(hash, doc_id, at): the windows whose selected symbol is among the document's shared ones."""
+    """(hash, doc_id, at): the windows of the stretches in the arrays at and n."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            flat, cut = lists.flatten().to_numpy().view(np.uint64), np.asarray(lists.offsets)
-            cut = cut - cut[0]
+            at, cut = int_lists(batch.column(2))
+            n, _ = int_lists(batch.column(3))
             for rows, part in textscan.texts(batch):
                 starts, ends, first = part.words()
-                hashes = part.word_hashes(starts, ends)
-                start, symbol = selected(hashes, first, window)
-                if not len(start):
-                    continue
-                doc = np.searchsorted(first, start, side="right") - 1
-                keep = np.zeros(len(start), bool)
-                own = np.searchsorted(doc, np.arange(len(part) + 1))
-                for k in range(len(part)):
-                    shared = np.sort(flat[cut[rows.start + k] : cut[rows.start + k + 1]])
-                    mine = symbol[own[k] : own[k + 1]]
-                    keep[own[k] : own[k + 1]] = shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine
-                keep |= symbol == ANY
-                start, doc = start[keep], doc[keep]
-                found = textscan.word_windows(hashes, start, start + window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(part.ids[doc]), pa.array((start - first[doc]).astype(np.int32))], ["hash", "doc_id", "at"])
+                total = textscan.word_sums(part.word_hashes(starts, ends))
+                mine = slice(cut[rows.start], cut[rows.stop])
+                doc = np.repeat(np.arange(len(part)), np.diff(cut[rows.start : rows.stop + 1]))
+                begin, doc = textscan.ranges(at[mine].astype(np.int64), n[mine].astype(np.int64)), np.repeat(doc, n[mine])
+                begin = begin + first[doc]
+                inside = begin + window <= first[doc + 1]  # rows that repeat a doc_id with another text
+                begin, doc = begin[inside], doc[inside]
+                found = textscan.span_hashes(total, begin, begin + window, textscan.WORD_BASE)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(part.ids[doc]), pa.array((begin - first[doc]).astype(np.int32))], ["hash", "doc_id", "at"])
 
     return docs.mapInArrow(scan, "hash long, doc_id long, at int")
 
 
-def covered(at: np.ndarray, length: int, n: int) -> np.ndarray:
+def covered(at: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     """Which of n items lie in one of the runs [at, at + length)."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, np.minimum(at + length, n), -1)
-    return np.cumsum(step[:-1]) > 0
+    step = np.bincount(np.minimum(at, n), minlength=n + 1) - np.bincount(np.minimum(at + length, n), minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
 
 
 def _cut(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """docs: (doc_id, text, at): n_words, n_removed, kept_sha256 and, if asked for, the text that is left."""
+    """docs: (doc_id, text, at, n): n_words, n_removed, kept_sha256 and, if asked for, the text that is left."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            at, lists = int_lists(batch.column(2))
+            many, _ = int_lists(batch.column(3))
             for rows, part in textscan.texts(batch):
                 starts, ends, first = part.words()
                 raw = part.data.tobytes()
                 out = []
                 for k in range(len(part)):
                     s, e = starts[first[k] : first[k + 1]], ends[first[k] : first[k + 1]]
-                    at = lists[rows.start + k].values
+                    mine = slice(lists[rows.start + k], lists[rows.start + k + 1])
                     gone = None
-                    if at is not None and len(at):
-                        gone = covered(at.to_numpy(), window, len(s))
+                    if mine.stop > mine.start:
+                        gone = covered(at[mine], many[mine] + window - 1, len(s))
                         s, e = s[~gone], e[~gone]
                     kept = b" ".join([raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
                     n = int(first[k + 1] - first[k])
@@ -177,26 +176,8 @@ def _cut(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     return found if with_text else found.drop("kept")
 
 
-def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, at): the sorted starts of the windows that start in a document of a smaller doc_id as well."""
-    spark = docs.sparkSession
-    symbols = durable(_symbols(docs, window))
-    shared = symbols.groupBy("symbol").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(f"a < b or symbol = {int(ANY)}").select("symbol")
-    lists = durable(symbols.join(shared, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols")))
-    discard(symbols)
-    release(spark)
-    windows = durable(_windows(docs.join(lists, "doc_id").select("doc_id", "text", "symbols"), window))
-    discard(lists)
-    release(spark)
-    first = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
-    found = windows.join(first, "hash").where("doc_id > first").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    found = durable(found)
-    discard(windows)
-    release(spark)
-    return found
-
-
 def remove_repeats(documents: DataFrame, window: int = 50, with_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256 [, kept]) for every row; kept is null where nothing goes."""
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return _cut(docs.join(repeated_windows(docs, window), "doc_id", "left").select("doc_id", "text", "at"), window, with_text)
+    marks = repeated(docs, lambda d: _stretches(d, window), lambda d: _windows(d, window), within=False, always=int(ANY))
+    return _cut(docs.join(marks, "doc_id", "left").select("doc_id", "text", "at", "n"), window, with_text)

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 CHUNK = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE, _WORD = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95
+_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -89,7 +89,7 @@ def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
 
 
 def word_sums(hashes: np.ndarray) -> np.ndarray:
-    up, _ = powers(_WORD, len(hashes) + 1)
+    up, _ = powers(WORD_BASE, len(hashes) + 1)
     total = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=total[1:])
     return total
@@ -97,7 +97,7 @@ def word_sums(hashes: np.ndarray) -> np.ndarray:
 
 def word_windows(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the word runs [start, end)."""
-    return span_hashes(word_sums(hashes) if total is None else total, starts, ends, _WORD)
+    return span_hashes(word_sums(hashes) if total is None else total, starts, ends, WORD_BASE)
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
