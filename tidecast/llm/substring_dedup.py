@@ -6,7 +6,8 @@ A name is the 64-bit hash of what it stands for, so that names are global withou
 gathered.  Whether two neighbours are joined depends on the two alone, so equal word sequences get equal symbols except near
 their ends: with pair symbols of at most MOST_WORDS words, after ROUNDS rounds all that lies LOST words from either end.
 
-Each window of the asked length selects the smallest symbol of its interior.  A window whose symbol no other document
+Each window of the asked length selects the smallest symbol of its interior, taken with the words around it that all windows
+which may select it hold.  A window whose symbol no other document
 selects cannot repeat.  Stretches of windows that select one symbol are verified as a whole by the hash of their words, and
 window by window where that does not settle them (module repeats).  A window whose interior has no whole symbol (long runs) is always verified.
 
@@ -67,8 +68,11 @@ def selected(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.nda
     start = textscan.ranges(first[:-1], counts)
     if not len(start):
         return start, np.zeros(0, np.uint64)
-    symbol, at = recompress(hashes, first)
+    _, at = recompress(hashes, first)
     end = np.append(at[1:], len(hashes))
+    text = np.searchsorted(first, at, side="right") - 1
+    # a window holds LOST words on either side of the symbols of its interior: symbols with these around them are rarer
+    symbol = np.maximum(textscan.word_windows(hashes, np.maximum(at - LOST, first[text]), np.minimum(end + LOST, first[text + 1])), np.uint64(1))
     word = np.arange(len(hashes) + 1)
     low = np.searchsorted(at, word)[start + LOST]  # the first symbol that starts there or later
     high = np.searchsorted(end, word, side="right")[start + window - LOST]  # one past the last symbol that ends there or sooner
