@@ -1,10 +1,12 @@
 """Toxicity by subword bags: a word is the mean of its character n-gram vectors, a text the mean of its words, and a linear
-softmax over that mean tells the classes.  Vectors and softmax are trained together in numpy (minibatches, Adagrad).
+softmax over that mean tells the classes.  Each distinct word weighs the root of its count, so that a word said a hundred
+times does not speak for the text.  Vectors and softmax are trained together in numpy (minibatches, Adagrad).
 
 n-grams are runs of bytes of the folded word with a mark at either end, hashed into BUCKETS vectors, so that misspelt and
 unseen words share vectors with the words that they resemble.  The model is fitted in one task on a bounded sample: at most
-SAMPLE labelled rows of each class, the first by the hash of their id; buckets of few texts take no part.  Scoring reads every whole text; as the model is
-linear, a text's logit is the mean of its words' scalar scores, and each distinct word of a run of texts is scored once.
+SAMPLE labelled rows of each class, the first by the hash of their id; buckets of few texts take no part.  Scoring reads
+every whole text; as the model is linear, a text's logit is the weighted mean of its words' scalar scores, and each distinct
+word of a run of texts is scored once.
 
 Defined cases: null and empty texts (or without a word) get the score of the bias alone; rows whose label is null are not
 learned from; ids with several labels take the larger; without rows of both classes the score is that of the only class (0
@@ -28,7 +30,7 @@ SAMPLE = (12_000, 3000)
 BUCKETS, DIMENSION, GRAMS = 1 << 17, 8, (3, 4, 5)
 EPOCHS, BATCH, RATE, GAIN, SEED = 6, 32, 0.5, 30.0, 7
 #: Texts of the sample in which a bucket must occur, and neutral words that each text counts besides its own.
-LEAST_TEXTS, NEUTRAL = 5, 5
+LEAST_TEXTS, NEUTRAL = 5, 20
 
 #: Words are runs of anything but ASCII characters that are neither letters nor digits.
 SEPARATORS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -79,6 +81,7 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         from_ = np.cumsum(count) - count
         for k in range(len(part)):
             word, n = np.unique(number[first[k] : first[k + 1]], return_counts=True)
+            n = np.sqrt(n)
             each = grams[textscan.ranges(from_[word], count[word])]
             share = np.repeat(n / (NEUTRAL + n.sum()) / np.maximum(count[word], 1), count[word])
             bucket, back = np.unique(each, return_inverse=True)
@@ -166,8 +169,10 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], id_column: str
                 if len(starts):
                     grams, count = subwords(part.data, starts, ends)
                     each = np.add.reduceat(scalars[grams].astype(np.float64), np.cumsum(count) - count) / count
-                    total = np.concatenate([[0.0], np.cumsum(each[number])])
-                    mean = (total[first[1:]] - total[first[:-1]]) / (NEUTRAL + np.diff(first))
+                    text = np.repeat(np.arange(len(part)), np.diff(first))
+                    pair, n = np.unique(text * len(each) + number, return_counts=True)
+                    text, n = pair // len(each), np.sqrt(n)
+                    mean = np.bincount(text, each[pair % len(each)] * n, len(part)) / (NEUTRAL + np.bincount(text, n, len(part)))
                 with np.errstate(over="ignore"):
                     yield pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(1 / (1 + np.exp(-(mean + bias))))], ["doc_id", "score"])
 
