@@ -283,6 +283,10 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
             if sets is None:
                 active = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
                 sets = durable(set_table(docs.join(active, "doc_id", "left_semi"), words))
+                near = durable(entries.join(active, "doc_id", "left_semi"))  # others have no partner that the bounds leave
+                closer = durable(postings.join(near.select("gid").distinct(), "gid", "left_semi"))
+                discard(postings)
+                postings, rows = closer, closer.count()
                 release(spark)
             fresh = durable(_verified(pairs, sets, percent))
             discard(pairs)
