@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
-from tidecast.llm.repeats import repeated
+from tidecast.llm.repeats import covered, int_lists, repeated
 
 #: Rounds of pair naming, the words a named pair may have, and the words at either end whose symbols may differ.
 ROUNDS, MOST_WORDS = 4, 9
@@ -115,13 +115,6 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(scan, "symbol long, key long, doc_id long, at int, n int")
 
 
-def int_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column side by side, and where each row's begin (one more entry than rows); null counts as empty."""
-    column = column.fill_null([]) if column.null_count else column
-    offsets = np.asarray(column.offsets)
-    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
-
-
 def _windows(docs: DataFrame, window: int) -> DataFrame:
     """(hash, doc_id, at): the windows of the stretches in the arrays at and n."""
 
@@ -144,12 +137,6 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(scan, "hash long, doc_id long, at int")
 
 
-def covered(at: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
-    """Which of n items lie in one of the runs [at, at + length)."""
-    step = np.bincount(np.minimum(at, n), minlength=n + 1) - np.bincount(np.minimum(at + length, n), minlength=n + 1)
-    return np.cumsum(step[:n]) > 0
-
-
 def _cut(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     """docs: (doc_id, text, at, n): n_words, n_removed, kept_sha256 and, if asked for, the text that is left."""
 

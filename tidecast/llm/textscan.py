@@ -13,7 +13,7 @@ import pyarrow as pa
 
 CHUNK = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95
+BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -70,19 +70,19 @@ class Texts:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-        up, down = powers(_BASE, len(self.data) + 1)
+        up, down = powers(BYTE_BASE, len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(table[self.data] * up[: len(self.data)], out=total[1:])
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
     def byte_sums(self) -> np.ndarray:
-        up, _ = powers(_BASE, len(self.data) + 1)
+        up, _ = powers(BYTE_BASE, len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(BYTE[self.data] * up[: len(self.data)], out=total[1:])
         return total
 
 
-def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
     """Hashes of the runs [start, end) from prefix sums."""
     _, down = powers(base, len(total))
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
