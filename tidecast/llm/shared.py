@@ -20,6 +20,14 @@ def folder(spark: SparkSession) -> str:
     return named
 
 
+_written: list[DataFrame] = []
+
+
+def tables_left() -> list[DataFrame]:
+    """The durable tables that are not discarded yet, in the order of their making."""
+    return list(_written)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows written as a table to the shared folder and read back, without the lineage that made them.
 
@@ -29,6 +37,7 @@ def durable(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written = path
+    _written.append(out)
     return out
 
 
@@ -37,6 +46,7 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written[:] = [t for t in _written if t.written != df.written]
 
 
 def release(spark: SparkSession) -> None:

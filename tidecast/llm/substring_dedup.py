@@ -137,38 +137,63 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(scan, "hash long, doc_id long, at int")
 
 
-def _cut(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """docs: (doc_id, text, at, n): n_words, n_removed, kept_sha256 and, if asked for, the text that is left."""
+def _kept(part: textscan.Texts, rows: slice, marks: tuple[np.ndarray, ...], window: int) -> Iterator[tuple[int, int, bytes]]:
+    """n_words, n_removed and the words that stay, joined by one space, of each text."""
+    at, many, cut = marks
+    starts, ends, first = part.words()
+    raw = part.data.tobytes()
+    for k in range(len(part)):
+        s, e = starts[first[k] : first[k + 1]], ends[first[k] : first[k + 1]]
+        mine = slice(cut[rows.start + k], cut[rows.start + k + 1])
+        if mine.stop > mine.start:
+            stay = ~covered(at[mine], many[mine] + window - 1, len(s))
+            s, e = s[stay], e[stay]
+        n = int(first[k + 1] - first[k])
+        yield n, n - len(s), b" ".join([raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+
+
+def _marks(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
+    starts, cut = int_lists(batch.column(at))
+    return starts, int_lists(batch.column(at + 1))[0], cut
+
+
+def find_repeats(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, at, n): the starts and numbers of consecutive windows to remove."""
+    return repeated(docs, lambda d: _stretches(d, window), lambda d: _windows(d, window), within=False, always=int(ANY))
+
+
+def remove_repeats(documents: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for every row."""
+    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, lists = int_lists(batch.column(2))
-            many, _ = int_lists(batch.column(3))
+            marks = _marks(batch, 2)
             for rows, part in textscan.texts(batch):
-                starts, ends, first = part.words()
-                raw = part.data.tobytes()
-                out = []
-                for k in range(len(part)):
-                    s, e = starts[first[k] : first[k + 1]], ends[first[k] : first[k + 1]]
-                    mine = slice(lists[rows.start + k], lists[rows.start + k + 1])
-                    gone = None
-                    if mine.stop > mine.start:
-                        gone = covered(at[mine], many[mine] + window - 1, len(s))
-                        s, e = s[~gone], e[~gone]
-                    kept = b" ".join([raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
-                    n = int(first[k + 1] - first[k])
-                    out.append((int(part.ids[k]), n, n - len(s), hashlib.sha256(kept).hexdigest(), kept if with_text and gone is not None else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                columns = list(zip(*out, strict=True))
-                columns[4] = [x if x is None else x.decode() for x in columns[4]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    found = docs.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return found if with_text else found.drop("kept")
-
-
-def remove_repeats(documents: DataFrame, window: int = 50, with_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256 [, kept]) for every row; kept is null where nothing goes."""
+                out = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in _kept(part, rows, marks, window)]
+                yield pa.RecordBatch.from_arrays([pa.array(part.ids), *(pa.array(c) for c in zip(*out, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    marked = docs.join(find_repeats(docs, window), "doc_id", "left").select("doc_id", "text", "at", "n")
+    return marked.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def strip_repeats(documents: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """documents with all their columns; texts that lose words become the words that stay, joined by one space."""
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    marks = repeated(docs, lambda d: _stretches(d, window), lambda d: _windows(d, window), within=False, always=int(ANY))
-    return _cut(docs.join(marks, "doc_id", "left").select("doc_id", "text", "at", "n"), window, with_text)
+    names = [f"c{k}" for k in range(len(documents.columns))]
+    marks = find_repeats(docs, window).select(F.col("doc_id").alias("marked"), F.col("at").alias("m0"), F.col("n").alias("m1"))
+    plain = documents.toDF(*names)
+    key, text = names[documents.columns.index(id_column)], documents.columns.index(text_column)
+    joined = plain.join(marks, plain[key].cast("long") == marks["marked"], "left").select(*names, "m0", "m1")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, texts = _marks(batch, len(names)), batch.column(text).to_pylist()
+            pair = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text)], ["k", "text"])
+            for rows, part in textscan.texts(pair):
+                for k, (_, gone, kept) in zip(part.ids, _kept(part, rows, marks, window), strict=True):
+                    if gone:
+                        texts[k] = kept.decode()
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == text else batch.column(k) for k in range(len(names))], names)
+
+    return joined.mapInArrow(strip, plain.schema).toDF(*documents.columns)

@@ -72,6 +72,33 @@ class Encoder:
         return np.insert(ids, total[1:], END), total + np.arange(len(until))
 
 
+class ByteEncoder(Encoder):
+    """The byte-level vocabulary; texts of ASCII and Latin letters are encoded from the same vocabulary's ranks, which is
+    several times as fast and gives the same ids.  All other texts go to the tokenizer itself."""
+
+    def __init__(self, name: str = "byte_bpe_50k.json"):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        super().__init__(name)
+        with open(public_tokenizers.path(name.replace(".json", ".tiktoken"))) as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.rare = re.compile("[^\t\n\r -~\u00a1-\u024f]")
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.tokenizer.encode(t, add_special_tokens=False).ids if self.rare.search(t) else self.fast.encode_ordinary(t) for t in texts]
+        size = np.array([len(f) + 1 for f in found], np.int64)
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = np.empty(int(total[-1]), np.uint32)
+        for f, at in zip(found, total.tolist(), strict=False):
+            ids[at : at + len(f)] = f
+        ids[total[1:] - 1] = END
+        return ids, total
+
+
 def batches(texts: list[str], limit: int = 1 << 19) -> Iterator[slice]:
     """Runs of texts of about limit characters."""
     at = size = 0

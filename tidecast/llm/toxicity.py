@@ -156,30 +156,47 @@ def train(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAM
     return (np.frombuffer(got[0].scalars, np.float32), got[0].bias) if got else (np.zeros(BUCKETS, np.float32), -np.inf)
 
 
+def _scores(part: textscan.Texts, model: tuple[np.ndarray, float]) -> np.ndarray:
+    scalars, bias = model
+    first, starts, ends, number, _ = _distinct_words(part)
+    mean = np.zeros(len(part))
+    if len(starts):
+        grams, count = subwords(part.data, starts, ends)
+        each = np.add.reduceat(scalars[grams].astype(np.float64), np.cumsum(count) - count) / count
+        text = np.repeat(np.arange(len(part)), np.diff(first))
+        pair, n = np.unique(text * len(each) + number, return_counts=True)
+        text, n = pair // len(each), np.sqrt(n)
+        mean = np.bincount(text, each[pair % len(each)] * n, len(part)) / (NEUTRAL + np.bincount(text, n, len(part)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-(mean + bias)))
+
+
 def score(documents: DataFrame, model: tuple[np.ndarray, float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, score) for every row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scalars, bias = shared.value
         for batch in batches:
             for _, part in textscan.texts(batch):
-                first, starts, ends, number, _ = _distinct_words(part)
-                mean = np.zeros(len(part))
-                if len(starts):
-                    grams, count = subwords(part.data, starts, ends)
-                    each = np.add.reduceat(scalars[grams].astype(np.float64), np.cumsum(count) - count) / count
-                    text = np.repeat(np.arange(len(part)), np.diff(first))
-                    pair, n = np.unique(text * len(each) + number, return_counts=True)
-                    text, n = pair // len(each), np.sqrt(n)
-                    mean = np.bincount(text, each[pair % len(each)] * n, len(part)) / (NEUTRAL + np.bincount(text, n, len(part)))
-                with np.errstate(over="ignore"):
-                    yield pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(1 / (1 + np.exp(-(mean + bias))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(_scores(part, shared.value))], ["doc_id", "score"])
 
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return docs.mapInArrow(scan, "doc_id long, score double")
 
 
+def keep_clean(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of documents, with all their columns, that score below the threshold."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(id_column), documents.columns.index(text_column)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_scores(part, shared.value) for _, part in textscan.texts(batch, id_column=at[0], text_column=at[1])]
+            yield batch.filter(pa.array(np.concatenate([*found, np.zeros(0)]) < threshold))
+
+    return documents.mapInArrow(scan, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
     out = score(documents, train(documents, labels, sample))
