@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import decontaminate, jaccard_join, language_id, nearest, packing, substring_dedup, suffix_dedup, toxicity
+from tidecast.llm import chat, decontaminate, jaccard_join, language_id, nearest, packing, substring_dedup, suffix_dedup, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,17 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), length=1024)
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(rows.unionByName(more)))
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
@@ -47,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_best_fit_packing, op6_decontamination, op7_nearest_neighbours, op8_language_id, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_best_fit_packing, op4_chat_formatting, op5_token_ids, op6_decontamination, op7_nearest_neighbours, op8_language_id, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,31 +1,37 @@
 """Token ids of whole texts by a public tokenizer, each distinct stretch between white space encoded once.
 
-For the two vocabularies used here a text's ids are the ids of its stretches, one after the other, as long as no white space
-follows a space (byte-level) or no control separator occurs (word-level); such texts are encoded whole.
+A text's ids are those of its stretches between white space, one after the other, as the tokenizer never joins them; a text
+with a control separator, on which libraries disagree, is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 
+from tidecast.llm.textscan import ranges
+
 #: Distinct stretches that an encoder remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: The id that ends a document.
 END = 2
 
 
 class Encoder:
-    def __init__(self, name: str):
+    """The word-level vocabulary, which folds case and drops white space."""
+
+    def __init__(self, name: str = "word_bpe_49k.json"):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.by_bytes = name.startswith("byte")
-        self.odd = re.compile(r" \s|\0" if self.by_bytes else r"[\x1c-\x1f\x85]")
+        self.odd = re.compile("[\x1c-\x1f\x85]")
+        #: What keeps a text from being folded and cut at its commas and full stops beforehand.
+        self.far, self.joined = re.compile("[^\\0-\u024f]"), re.compile("[^\\w\\s]{2}")
         self.forget()
 
     def forget(self) -> None:
@@ -34,26 +40,28 @@ class Encoder:
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _add(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.index)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-            if k == len(self.start):
-                self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[piece] = k
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        k, to = len(self.index), len(self.index) + len(pieces)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while to > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[k:to], self.size[k:to] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.index.update(zip(pieces, range(k, to), strict=True))
 
     def _pieces(self, text: str) -> list[str]:
         if self.odd.search(text):
             return [text]
-        return text.replace(" ", "\0 ").split("\0") if self.by_bytes else text.split()
+        if "'" not in text and not self.far.search(text) and not self.joined.search(text):
+            text = text.lower().replace(".", " . ").replace(",", " , ")
+        return text.split()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids side by side, with END after each text, and where each text's ids begin (one more entry than texts)."""
-        from tidecast.llm.textscan import ranges
-
         pieces: list[str] = []
         until = [0]
         for text in texts:
@@ -61,15 +69,18 @@ class Encoder:
             until.append(len(pieces))
         if len(self.index) > REMEMBERED:
             self.forget()
-        at = list(map(self.index.get, pieces))
-        if None in at:
-            self._add(list({p for p, k in zip(pieces, at, strict=True) if k is None}))
-            at = list(map(self.index.get, pieces))
-        at = np.array(at, np.int64)
+        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._add(list(dict.fromkeys([pieces[k] for k in missing.tolist()])))
+            at[missing] = [self.index[pieces[k]] for k in missing.tolist()]
         size = self.size[at]
-        ids = self.pool[ranges(self.start[at], size)]
-        total = np.concatenate([[0], np.cumsum(size)])[until]
-        return np.insert(ids, total[1:], END), total + np.arange(len(until))
+        total = np.concatenate([[0], np.cumsum(size)])[until] + np.arange(len(until))
+        ids = np.full(int(total[-1]), END, np.uint32)
+        keep = np.ones(len(ids), bool)
+        keep[total[1:] - 1] = False
+        ids[keep] = self.pool[ranges(self.start[at], size)]
+        return ids, total
 
 
 class ByteEncoder(Encoder):
