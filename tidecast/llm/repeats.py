@@ -3,20 +3,22 @@
 Each document is cut into stretches of consecutive windows that select one and the same content-defined symbol.  A stretch
 has a key, the hash of all that its windows cover.  Equal windows select equal symbols, so a symbol that one place alone
 selects is done with.  Of the stretches with one key all but the first repeat whole; what is left is the first stretch of
-each key, and only where its symbol has other keys as well are its single windows compared.  Every step aggregates before
-it joins, and copies, however many, meet as one key.
+each key, and only where its symbol has other keys as well are its single windows compared: within one task for the stretches of
+a symbol, or, if these are more than HOT, window by window across all tasks.  Every step aggregates before it joins, and
+copies, however many, meet as one key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.shared import discard, durable, release
+from tidecast.llm.shared import discard, durable, release, shards
+from tidecast.llm.textscan import ranges
 
 
 def int_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -32,35 +34,78 @@ def covered(at: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], windows: Callable[[DataFrame], DataFrame], within: bool, always: int | None = None) -> DataFrame:
+#: Stretches that one symbol may have to be compared in one task; beyond it its windows are dealt out one by one.
+HOT = 20_000
+#: Bytes of stretches that one task compares.
+SHARD = 4_000_000
+
+
+def _shared(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
+    """Which windows, in the order given, repeat an earlier one."""
+    order = np.lexsort((at, doc, hashes))
+    h, d = hashes[order], doc[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    out = np.zeros(len(order), bool)
+    out[order] = ~new if within else d > d[head]
+    return out
+
+
+def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], contents: Callable[[DataFrame], DataFrame], hashes: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], within: bool, always: int | None = None) -> DataFrame:
     """(doc_id, at, n): arrays of the starts and numbers of consecutive windows that repeat an earlier one.
 
-    stretches(docs) gives (symbol, key, doc_id, at, n); windows((doc_id, text, at, n)) gives (hash, doc_id, at) for each
-    window of the stretches in the arrays at and n.  within: an earlier start in the same document counts as well.
-    always: a symbol that is compared even if one document alone selects it.
+    stretches(docs) gives (symbol, key, doc_id, at, n); contents((doc_id, text, symbol, at, n)), with arrays, gives (symbol,
+    doc_id, at, content) for each stretch, from which hashes() makes the window hashes of a column of contents side by side
+    and their number in each.  within: an earlier start in the same document counts as well.  always: a symbol that is
+    compared even if one document alone selects it.
     """
     spark = docs.sparkSession
     order: Column = F.struct("doc_id", "at") if within else F.col("doc_id")
     found = durable(stretches(docs))
-    seen = found.groupBy("symbol").agg(F.min(order).alias("a"), F.max(order).alias("b")).where("a < b" if always is None else f"a < b or symbol = {always}")
+    several = F.count("*") > 1 if within else F.min("doc_id") < F.max("doc_id")
+    seen = found.groupBy("symbol").agg(several.alias("s")).where("s" if always is None else f"s or symbol = {always}")
     some = durable(found.join(seen.select("symbol"), "symbol"))
     discard(found)
     release(spark)
-    firsts = some.groupBy("symbol", "key").agg(F.min(order).alias("first"))
-    open_ = firsts.groupBy("symbol").agg(F.count("*").alias("keys")).where("keys > 1").select("symbol", F.lit(True).alias("several"))
-    firsts = durable(firsts.join(open_, "symbol", "left").select("key", "first", F.coalesce("several", F.lit(False)).alias("several")))
-    told = durable(some.join(firsts, "key").select("doc_id", "at", "n", (order > F.col("first")).alias("whole"), "several").where("whole or several"))
+    firsts = some.groupBy("key").agg(F.min(order).alias("first"), F.min("symbol").alias("symbol"))
+    keys = firsts.groupBy("symbol").agg(F.count("*").alias("keys")).where("keys > 1")
+    firsts = durable(firsts.join(keys, "symbol", "left").select("key", "first", F.coalesce("keys", F.lit(1)).alias("keys")))
+    told = durable(some.join(firsts, "key").select("symbol", "doc_id", "at", "n", (order > F.col("first")).alias("whole"), "keys").where("whole or keys > 1"))
     discard(some)
     discard(firsts)
     release(spark)
-    ask = told.where("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("s"))
-    ask = docs.join(ask, "doc_id").select("doc_id", "text", F.col("s.at").alias("at"), F.col("s.n").alias("n"))
-    each = durable(windows(ask))
+    ask = told.where("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("symbol", "at", "n", "keys")).alias("s"))
+    ask = docs.join(ask, "doc_id").select("doc_id", "text", F.col("s.symbol").alias("symbol"), F.col("s.at").alias("at"), F.col("s.n").alias("n"), F.col("s.keys").alias("keys"))
+    each = durable(contents(ask))
     release(spark)
-    first = each.groupBy("hash").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last").select("hash", "first")
-    single = each.join(first, "hash").where(order > F.col("first")).select("doc_id", "at", F.lit(1).alias("n"))
-    whole = told.where("whole").select("doc_id", "at", "n")
-    out = durable(whole.unionByName(single).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.n").alias("n")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        got, n = hashes(table.column("content").combine_chunks())
+        doc = np.repeat(table.column("doc_id").to_numpy(), n)
+        at = ranges(table.column("at").to_numpy().astype(np.int64), n)
+        again = _shared(got, doc, at, within)
+        doc, at = doc[again], at[again]
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
+        runs = np.diff(np.append(head, len(doc)))
+        return pa.table({"doc_id": doc[head], "at": at[head].astype(np.int32), "n": runs.astype(np.int32)})
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got, n = hashes(batch.column(2))
+            at = ranges(batch.column(1).to_numpy().astype(np.int64), n)
+            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(at.astype(np.int32))], ["hash", "doc_id", "at"])
+
+    size = each.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("symbol"), F.lit(shards(size, SHARD)).cast("long")).alias("shard")
+    near = each.where(F.col("keys") <= HOT).groupBy(shard).applyInArrow(compare, "doc_id long, at int, n int")
+    whole = told.where("whole").select("doc_id", "at", "n").unionByName(near)
+    if not each.where(F.col("keys") > HOT).isEmpty():
+        apart = durable(each.where(F.col("keys") > HOT).select("doc_id", "at", "content").mapInArrow(explode, "hash long, doc_id long, at int"))
+        first = apart.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("many")).where("many > 1").select("hash", "first")
+        whole = whole.unionByName(apart.join(first, "hash").where(order > F.col("first")).select("doc_id", "at", F.lit(1).alias("n")))
+    out = durable(whole.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.n").alias("n")))
     discard(each)
     discard(told)
     release(spark)

@@ -115,26 +115,32 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(scan, "symbol long, key long, doc_id long, at int, n int")
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(hash, doc_id, at): the windows of the stretches in the arrays at and n."""
+def _contents(docs: DataFrame, window: int) -> DataFrame:
+    """(symbol, keys, doc_id, at, content): the hashes of the windows of each stretch, as bytes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, cut = int_lists(batch.column(2))
-            n, _ = int_lists(batch.column(3))
+            symbol, cut = int_lists(batch.column(2))
+            at, n, keys = (int_lists(batch.column(k))[0] for k in (3, 4, 5))
             for rows, part in textscan.texts(batch):
                 starts, ends, first = part.words()
                 total = textscan.word_sums(part.word_hashes(starts, ends))
                 mine = slice(cut[rows.start], cut[rows.stop])
                 doc = np.repeat(np.arange(len(part)), np.diff(cut[rows.start : rows.stop + 1]))
-                begin, doc = textscan.ranges(at[mine].astype(np.int64), n[mine].astype(np.int64)), np.repeat(doc, n[mine])
-                begin = begin + first[doc]
-                inside = begin + window <= first[doc + 1]  # rows that repeat a doc_id with another text
-                begin, doc = begin[inside], doc[inside]
+                inside = first[doc] + at[mine] + n[mine] + window - 1 <= first[doc + 1]  # rows that repeat a doc_id with another text
+                doc, many = doc[inside], n[mine][inside].astype(np.int64)
+                begin = textscan.ranges(first[doc] + at[mine][inside], many)
                 found = textscan.span_hashes(total, begin, begin + window, textscan.WORD_BASE)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(part.ids[doc]), pa.array((begin - first[doc]).astype(np.int32))], ["hash", "doc_id", "at"])
+                offsets = (np.concatenate([[0], np.cumsum(many)]) * 8).astype(np.int32)
+                content = pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(found.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(symbol[mine][inside]), pa.array(keys[mine][inside]), pa.array(part.ids[doc]), pa.array(at[mine][inside]), content], ["symbol", "keys", "doc_id", "at", "content"])
 
-    return docs.mapInArrow(scan, "hash long, doc_id long, at int")
+    return docs.mapInArrow(scan, "symbol long, keys long, doc_id long, at int, content binary")
+
+
+def _hashes(contents: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = textscan.column_bytes(contents)
+    return np.frombuffer(data.tobytes(), np.uint64), np.diff(offsets) // 8
 
 
 def _kept(part: textscan.Texts, rows: slice, marks: tuple[np.ndarray, ...], window: int) -> Iterator[tuple[int, int, bytes]]:
@@ -159,7 +165,7 @@ def _marks(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
 
 def find_repeats(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, at, n): the starts and numbers of consecutive windows to remove."""
-    return repeated(docs, lambda d: _stretches(d, window), lambda d: _windows(d, window), within=False, always=int(ANY))
+    return repeated(docs, lambda d: _stretches(d, window), lambda d: _contents(d, window), _hashes, within=False, always=int(ANY))
 
 
 def remove_repeats(documents: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -69,25 +69,34 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(scan, "symbol long, key long, doc_id long, at int, n int")
 
 
-def _windows(docs: DataFrame, length: int) -> DataFrame:
-    """(hash, doc_id, at): the windows of the stretches in the arrays at and n."""
+def _contents(docs: DataFrame, length: int) -> DataFrame:
+    """(symbol, keys, doc_id, at, content): the bytes that the windows of each stretch cover."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, cut = int_lists(batch.column(2))
-            n, _ = int_lists(batch.column(3))
+            symbol, cut = int_lists(batch.column(2))
+            at, n, keys = (int_lists(batch.column(k))[0] for k in (3, 4, 5))
             for rows, part in textscan.texts(batch):
-                total = part.byte_sums()
                 mine = slice(cut[rows.start], cut[rows.stop])
                 doc = np.repeat(np.arange(len(part)), np.diff(cut[rows.start : rows.stop + 1]))
-                begin, doc = textscan.ranges(at[mine].astype(np.int64), n[mine].astype(np.int64)), np.repeat(doc, n[mine])
-                begin = begin + part.offsets[doc]
-                inside = begin + length <= part.offsets[doc + 1]
-                begin, doc = begin[inside], doc[inside]
-                found = textscan.span_hashes(total, begin, begin + length)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(part.ids[doc]), pa.array((begin - part.offsets[doc]).astype(np.int32))], ["hash", "doc_id", "at"])
+                begin = part.offsets[doc] + at[mine]
+                end = begin + n[mine] + length - 1
+                inside = end <= part.offsets[doc + 1]  # rows that repeat a doc_id with another text
+                size = (end - begin)[inside]
+                flat = part.data[textscan.ranges(begin[inside], size)]
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(symbol[mine][inside]), pa.array(keys[mine][inside]), pa.array(part.ids[doc[inside]]), pa.array(at[mine][inside]), content], ["symbol", "keys", "doc_id", "at", "content"])
+
+    return docs.mapInArrow(scan, "symbol long, keys long, doc_id long, at int, content binary")
+
 
-    return docs.mapInArrow(scan, "hash long, doc_id long, at int")
+def _hashes(contents: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of each content, side by side, and their number."""
+    data, offsets = textscan.column_bytes(contents)
+    n = np.diff(offsets) - length + 1
+    begin = textscan.ranges(offsets[:-1], n)
+    return textscan.span_hashes(textscan.Texts(offsets[:-1], data, offsets).byte_sums(), begin, begin + length), n
 
 
 def _cut(docs: DataFrame, length: int, with_bytes: bool) -> DataFrame:
@@ -118,5 +127,5 @@ def _cut(docs: DataFrame, length: int, with_bytes: bool) -> DataFrame:
 def remove_repeats(documents: DataFrame, length: int = 100, with_bytes: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept]) for every row."""
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    marks = repeated(docs, lambda d: _stretches(d, length), lambda d: _windows(d, length), within=True)
+    marks = repeated(docs, lambda d: _stretches(d, length), lambda d: _contents(d, length), lambda c: _hashes(c, length), within=True)
     return _cut(docs.join(marks, "doc_id", "left").select("doc_id", "text", "at", "n"), length, with_bytes)
