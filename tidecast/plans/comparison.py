@@ -1,0 +1,203 @@
+"""Queries of the comparison stage: Diebold-Mariano tests, leagues, ranks, selection, duplicates, labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidecast.operators import compare, dm, metrics
+from tidecast.plans.base import facts, hourly, r, sql, stamp
+from tidecast.plans.evaluation import POINT, crps_rows, rounded
+from tidecast.plans.registry import query
+from tidecast.sources import tables
+
+_DAILY = " , dl AS (SELECT model_id, target, date, avg(error * error) AS se, avg(abs(error)) AS ae FROM facts GROUP BY 1, 2, 3), ll AS (SELECT model_id, target, date, 'SE' AS loss, se AS v FROM dl UNION ALL SELECT model_id, target, date, 'AE', ae FROM dl)"
+#: Series, autocovariances up to the lag, statistic and status; {lag} is the lag.
+_DM = """, pr AS (SELECT a.target, a.loss, a.date, a.model_id AS model_a, b.model_id AS model_b, a.v - b.v AS d FROM ll a JOIN ll b ON a.target = b.target AND a.loss = b.loss AND a.date = b.date AND a.model_id < b.model_id),
+ce AS (SELECT *, d - avg(d) OVER w AS c, row_number() OVER (PARTITION BY target, loss, model_a, model_b ORDER BY date) AS i FROM pr WINDOW w AS (PARTITION BY target, loss, model_a, model_b)),
+st AS (SELECT target, loss, model_a, model_b, count(*) AS n, avg(d) AS mean_difference, max(abs(d)) AS spread, avg(c * c) AS g0, greatest(0, least({lag}, count(*) - 2)) AS hac_lag FROM ce GROUP BY 1, 2, 3, 4),
+ac AS (SELECT x.target, x.loss, x.model_a, x.model_b, y.i - x.i AS l, sum(x.c * y.c) AS s FROM ce x JOIN ce y ON x.target = y.target AND x.loss = y.loss AND x.model_a = y.model_a AND x.model_b = y.model_b AND y.i > x.i AND y.i - x.i <= 10 GROUP BY ALL),
+va AS (SELECT st.*, (g0 + coalesce((SELECT sum(2 * (1 - l / (hac_lag + 1.0)) * s / n) FROM ac WHERE ac.target = st.target AND ac.loss = st.loss AND ac.model_a = st.model_a AND ac.model_b = st.model_b AND l <= hac_lag), 0)) / n AS variance FROM st),
+dmt AS (SELECT *, CASE WHEN n < 5 THEN 'insufficient sample' WHEN spread <= 1e-12 THEN 'identical losses' WHEN variance <= 1e-15 THEN 'invalid HAC variance' ELSE 'ok' END AS status FROM va),
+dms AS (SELECT *, CASE WHEN status = 'ok' THEN sqrt(variance) / sqrt((n - 1.0) / n) END AS se FROM dmt),
+dmz AS (SELECT *, mean_difference / se AS statistic, atan(abs(mean_difference / se) / sqrt(n - 1.0)) AS theta FROM dms)"""
+#: The two-sided p value for ten degrees of freedom (eleven days): sin(theta) times a series in cos(theta) squared.
+_P = """, dmp AS (SELECT *, CASE WHEN status = 'identical losses' THEN 1.0 WHEN status = 'ok' THEN greatest(0, 1 - sin(theta) * (1 + c2 / 2 + 3 * c2 * c2 / 8 + 15 * c2 * c2 * c2 / 48 + 105 * c2 * c2 * c2 * c2 / 384)) END AS p_value FROM (SELECT *, cos(theta) * cos(theta) AS c2 FROM dmz)),
+hk AS (SELECT *, row_number() OVER (PARTITION BY target, loss ORDER BY p_value, model_a, model_b) AS k, count(p_value) OVER (PARTITION BY target, loss) AS m FROM dmp),
+ho AS (SELECT *, max(least(1, (m - k + 1) * p_value)) OVER (PARTITION BY target, loss ORDER BY k) AS p_holm FROM hk),
+pairs AS (SELECT *, CASE WHEN p_holm < 0.05 THEN CASE WHEN mean_difference < 0 THEN model_a WHEN mean_difference > 0 THEN model_b END END AS better_model FROM ho)"""
+_AUTO = "CAST(floor(4 * pow(count(*) / 100.0, 2 / 9.0)) AS INT)"
+
+
+def daily_long(spark: SparkSession, sf: str) -> DataFrame:
+    daily = metrics.daily_losses(facts(spark, sf))
+    return daily.select("model_id", "target", "date", F.expr("stack(2, 'SE', se, 'AE', ae) as (loss, v)"))
+
+
+def pair_tests(spark: SparkSession, sf: str, lag: int | None = None) -> DataFrame:
+    differences = dm.pair_differences(daily_long(spark, sf), ["target", "loss", "date"], "v")
+    tests = dm.dm_tests(differences, ["target", "loss", "model_a", "model_b"], "date", lag)
+    return dm.better_model(dm.holm(tests, ["target", "loss"], ties=["model_a", "model_b"]))
+
+
+@query("J06_daily_pairs", sql(_DAILY + _DM.format(lag=3) + " SELECT target, loss, strftime(date, '%Y-%m-%d') AS date, model_a, model_b, round(d, 6) AS d FROM pr"))
+def daily_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    out = dm.pair_differences(daily_long(spark, sf), ["target", "loss", "date"], "v")
+    return out.select("target", "loss", F.date_format("date", "yyyy-MM-dd").alias("date"), "model_a", "model_b", r("d").alias("d"))
+
+
+@query("J07_horizon_pairs", sql(" , h AS (SELECT model_id, target, date, horizon, error * error AS v FROM facts WHERE model_id IN ('naive24', 'mean24', 'hourmean7d')) SELECT a.target, CAST(a.horizon AS INT) AS horizon, a.model_id AS model_a, b.model_id AS model_b, count(*) AS n, round(avg(a.v - b.v), 6) AS d FROM h a JOIN h b ON a.target = b.target AND a.date = b.date AND a.horizon = b.horizon AND a.model_id < b.model_id GROUP BY 1, 2, 3, 4"))
+def horizon_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = facts(spark, sf).where("model_id in ('naive24', 'mean24', 'hourmean7d')").withColumn("v", F.col("error") * F.col("error"))
+    out = dm.pair_differences(rows, ["target", "date", "horizon"], "v").groupBy("target", "horizon", "model_a", "model_b")
+    return out.agg(F.count("*").alias("n"), r(F.avg("d")).alias("d"))
+
+
+@query("Q23_dm_daily_auto_lag", sql(_DAILY + _DM.format(lag=_AUTO) + " SELECT target, loss, model_a, model_b, n, CAST(hac_lag AS INT) AS hac_lag, round(mean_difference, 6) AS mean_difference, round(statistic, 6) AS statistic, status FROM dmz"))
+def dm_daily_auto_lag(spark: SparkSession, sf: str) -> DataFrame:
+    out = pair_tests(spark, sf)
+    return out.select("target", "loss", "model_a", "model_b", "n", "hac_lag", r("mean_difference").alias("mean_difference"), r("statistic").alias("statistic"), "status")
+
+
+@query("Q24_dm_fixed_lag", sql(_DAILY + _DM.format(lag=3) + _P + " SELECT target, loss, model_a, model_b, round(statistic, 6) AS statistic, round(se, 6) AS standard_error, round(p_value, 6) AS p_value, status FROM dmp"))
+def dm_fixed_lag(spark: SparkSession, sf: str) -> DataFrame:
+    out = pair_tests(spark, sf, 3)
+    return out.select("target", "loss", "model_a", "model_b", r("statistic").alias("statistic"), r("standard_error").alias("standard_error"), r("p_value").alias("p_value"), "status")
+
+
+@query("Q25_dm_holm", sql(_DAILY + _DM.format(lag=_AUTO) + _P + " SELECT target, loss, model_a, model_b, round(p_value, 6) AS p_value, round(p_holm, 6) AS p_holm, better_model FROM pairs"))
+def dm_holm(spark: SparkSession, sf: str) -> DataFrame:
+    return pair_tests(spark, sf).select("target", "loss", "model_a", "model_b", r("p_value").alias("p_value"), r("p_holm").alias("p_holm"), "better_model")
+
+
+@query("A28_league", sql(_DAILY + _DM.format(lag=_AUTO) + _P + " , e AS (SELECT target, loss, model_a AS model_id, better_model FROM pairs UNION ALL SELECT target, loss, model_b, better_model FROM pairs) SELECT target, loss, model_id, count(*) FILTER (better_model = model_id) AS wins, count(*) FILTER (better_model <> model_id) AS losses, count(*) FILTER (better_model IS NULL) AS undecided, count(*) FILTER (better_model = model_id) - count(*) FILTER (better_model <> model_id) AS net FROM e GROUP BY 1, 2, 3"))
+def league(spark: SparkSession, sf: str) -> DataFrame:
+    return dm.league(pair_tests(spark, sf), ["target", "loss"])
+
+
+@query("Q27_dm_matrix", sql(_DAILY + _DM.format(lag=_AUTO) + _P + " SELECT target, loss, model_a AS \"row\", model_b AS col, round(mean_difference, 6) AS value FROM pairs UNION ALL SELECT target, loss, model_b, model_a, round(-mean_difference, 6) FROM pairs UNION ALL SELECT DISTINCT target, loss, m, m, round(0.0, 6) FROM (SELECT target, loss, unnest([model_a, model_b]) AS m FROM pairs)"))
+def dm_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    cells = dm.matrix_cells(pair_tests(spark, sf), ["target", "loss"], "mean_difference", True, 0.0)
+    return cells.select("target", "loss", "row", "col", r("value").alias("value"))
+
+
+@query("Q28_selected_contrasts", sql(_DAILY + _DM.format(lag=_AUTO) + " SELECT target, loss, CASE WHEN model_a = 'hourmean7d' THEN model_b ELSE model_a END AS comparator, round(CASE WHEN model_a = 'hourmean7d' THEN mean_difference ELSE -mean_difference END, 6) AS difference FROM dmz WHERE 'hourmean7d' IN (model_a, model_b)"))
+def selected_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = pair_tests(spark, sf).where("'hourmean7d' in (model_a, model_b)")
+    first = F.col("model_a") == "hourmean7d"
+    return pairs.select("target", "loss", F.when(first, F.col("model_b")).otherwise(F.col("model_a")).alias("comparator"), r(F.when(first, F.col("mean_difference")).otherwise(-F.col("mean_difference"))).alias("difference"))
+
+
+_HOURLY_DM = _DM.replace("{lag}", "23").replace("y.i - x.i <= 10", "y.i - x.i <= 23").replace("sqrt((n - 1.0) / n)", "1.0")
+
+
+@query("W12_autocovariances", sql(""" , x AS (SELECT target, ts, y - avg(y) OVER (PARTITION BY target) AS c, row_number() OVER (PARTITION BY target ORDER BY ts) AS i, count(*) OVER (PARTITION BY target) AS n FROM obs)
+SELECT a.target, CAST(b.i - a.i AS INT) AS lag, round(sum(a.c * b.c) / max(a.n), 6) AS gamma FROM x a JOIN x b ON a.target = b.target AND b.i BETWEEN a.i AND a.i + 3 GROUP BY 1, 2""", start=__import__("tidecast.plans.base", fromlist=["HOURLY"]).HOURLY))
+def autocovariances(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    series = W.partitionBy("target")
+    rows = tables.observations(hourly(spark, sf)).withColumns({"c": F.col("y") - F.avg("y").over(series), "n": F.count("*").over(series)})
+    rows = rows.withColumn("shifted", F.array(*[F.lag("c", k).over(series.orderBy("ts")) for k in range(4)]))
+    each = rows.select("target", "c", "n", F.posexplode("shifted").alias("lag", "s")).where("s is not null")
+    return each.groupBy("target", "lag").agg(r(F.sum(F.col("c") * F.col("s")) / F.max("n")).alias("gamma"))
+
+
+_RANKED = " , m AS (SELECT model_id, target, " + ", ".join(f"{POINT[k]} AS {k}" for k in ("rmse", "mae", "wmape")) + " FROM facts GROUP BY 1, 2)"
+
+
+def by_target(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.summarise(facts(spark, sf), ["model_id", "target"], ["rmse", "mae", "wmape"])
+
+
+@query("W07_min_ranks", sql(_RANKED + " SELECT model_id, target, " + ", ".join(f"CAST(rank() OVER (PARTITION BY target ORDER BY round({k}, 9)) AS INT) AS rank_{k}" for k in ("rmse", "mae", "wmape")) + " FROM m"))
+def min_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["rmse", "mae", "wmape"]
+    rows = by_target(spark, sf).withColumns({n: F.round(n, 9) for n in names})
+    return compare.min_ranks(rows, names).select("model_id", "target", *[f"rank_{n}" for n in names])
+
+
+@query("W08_pareto", sql(_RANKED + " , z AS (SELECT model_id, target, round(rmse, 9) AS a, round(mae, 9) AS b, round(wmape, 9) AS c FROM m) SELECT model_id, target, CASE WHEN EXISTS (SELECT 1 FROM z o WHERE o.target = z.target AND o.a <= z.a AND o.b <= z.b AND o.c <= z.c AND (o.a < z.a OR o.b < z.b OR o.c < z.c)) THEN 0 ELSE 1 END AS pareto FROM z"))
+def pareto(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["rmse", "mae", "wmape"]
+    rows = by_target(spark, sf).withColumns({n: F.round(n, 9) for n in names})
+    return compare.pareto(rows, names).select("model_id", "target", "pareto")
+
+
+@query("A26_system_selection", sql(_RANKED + " , w AS (SELECT model_id, max(CASE WHEN target = 'P' THEN rmse END) AS p, max(CASE WHEN target = 'Q' THEN rmse END) AS q FROM m GROUP BY 1), s AS (SELECT *, (p / min(p) OVER () + q / min(q) OVER ()) / 2 AS score FROM w) SELECT model_id, round(p, 6) AS p, round(q, 6) AS q, round(score, 6) AS score, CASE WHEN row_number() OVER (ORDER BY round(score, 12), round(p, 9), round(q, 9), model_id) = 1 THEN 1 ELSE 0 END AS selected FROM s"))
+def system_selection(spark: SparkSession, sf: str) -> DataFrame:
+    rows = by_target(spark, sf).withColumn("rmse", F.round("rmse", 9))
+    return rounded(compare.select_system(rows), ["model_id", "selected"], ["p", "q", "score"])
+
+
+@query("L06_best_of_each_target", sql(_RANKED + " SELECT target, min_by(model_id, (round(rmse, 9), model_id)) AS best, round(min(rmse), 6) AS rmse FROM m GROUP BY 1"))
+def best_of_each_target(spark: SparkSession, sf: str) -> DataFrame:
+    rows = by_target(spark, sf)
+    return rows.groupBy("target").agg(F.min_by("model_id", F.struct(F.round("rmse", 9).alias("a"), "model_id")).alias("best"), r(F.min("rmse")).alias("rmse"))
+
+
+@query("A33_effects", sql(_RANKED + " SELECT a.target, a.model_id AS a, b.model_id AS b, round(200 * (a.rmse - b.rmse) / (a.rmse + b.rmse), 6) AS effect FROM m a JOIN m b ON a.target = b.target AND a.model_id <> b.model_id"))
+def effects(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(compare.effects(by_target(spark, sf)), ["target", "a", "b"], ["effect"])
+
+
+_SIGN = " , sg AS (SELECT model_id, target, sha256(string_agg(x, ';' ORDER BY x)) AS signature FROM (SELECT model_id, target, strftime(ts, '%Y-%m-%d %H:%M') || '|' || CAST(CAST(round(y_true, 6) AS DECIMAL(20,6)) AS VARCHAR) || '|' || CAST(CAST(round(y_pred, 6) AS DECIMAL(20,6)) AS VARCHAR) AS x FROM facts WHERE model_id IN ('naive24', 'naive168', 'dup_naive24')) GROUP BY 1, 2)"
+
+
+def signed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = facts(spark, sf).where("model_id in ('naive24', 'naive168', 'dup_naive24')").withColumns({"y_true": r("y_true"), "y_pred": r("y_pred")})
+    return compare.signatures(rows, ["model_id", "target"])
+
+
+@query("P23_signatures", sql(_SIGN + " SELECT model_id, target, signature FROM sg"))
+def signatures(spark: SparkSession, sf: str) -> DataFrame:
+    return signed(spark, sf)
+
+
+@query("U08_collapse_duplicates", sql(_SIGN + " SELECT model_id, target, first_value(model_id) OVER (PARTITION BY target, signature ORDER BY model_id) AS canonical FROM sg"))
+def collapse_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.collapse_duplicates(signed(spark, sf), ["target"]).select("model_id", "target", "canonical")
+
+
+@query("W15_canonical_by_priority", sql(_SIGN + " , pr AS (SELECT *, CASE WHEN model_id = 'naive24' THEN 0 ELSE 1 END AS priority FROM sg) SELECT model_id, target, first_value(model_id) OVER (PARTITION BY target, signature ORDER BY priority, model_id) AS canonical FROM pr"))
+def canonical_by_priority(spark: SparkSession, sf: str) -> DataFrame:
+    rows = signed(spark, sf).withColumn("priority", F.when(F.col("model_id") == "naive24", 0).otherwise(1))
+    return compare.collapse_duplicates(rows, ["target"], "priority").select("model_id", "target", "canonical")
+
+
+@query("U07_pairwise_duplicates", sql(_SIGN + " , w AS (SELECT model_id, string_agg(signature, ',' ORDER BY target) AS both_targets FROM sg GROUP BY 1) SELECT model_id, min(model_id) OVER (PARTITION BY both_targets) AS canonical FROM w"))
+def pairwise_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    lists = signed(spark, sf).groupBy("model_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("target", "signature"))), lambda x: x["signature"]).alias("s"))
+    return lists.select("model_id", F.min("model_id").over(W.partitionBy("s")).alias("canonical"))
+
+
+@query("J12_retained_systems", sql(_SIGN + " , keep AS (SELECT DISTINCT first_value(model_id) OVER (PARTITION BY target, signature ORDER BY model_id) AS model_id FROM sg) SELECT f.model_id, count(*) AS n FROM facts f SEMI JOIN keep USING (model_id) GROUP BY 1"))
+def retained_systems(spark: SparkSession, sf: str) -> DataFrame:
+    keep = compare.collapse_duplicates(signed(spark, sf), ["target"]).select(F.col("canonical").alias("model_id")).distinct()
+    return facts(spark, sf).join(keep, "model_id", "left_semi").groupBy("model_id").agg(F.count("*").alias("n"))
+
+
+_DAILY_CRPS = " , me AS (SELECT f.model_id, f.target, f.date, f.ts, f.y_true, f.y_pred + c.error AS x, row_number() OVER (PARTITION BY f.model_id, f.target, f.ts ORDER BY f.y_pred + c.error) AS k, count(*) OVER (PARTITION BY f.model_id, f.target, f.ts) AS n FROM facts f JOIN cal c USING (model_id, target, horizon)), cr AS (SELECT model_id, target, ts, date, avg(abs(x - y_true)) - sum((2 * k - n - 1) * x) / (max(n) * max(n)) AS crps FROM me GROUP BY 1, 2, 3, 4)"
+
+
+@query("A18_daily_crps", sql(_DAILY_CRPS + " SELECT model_id, target, strftime(date, '%Y-%m-%d') AS date, round(avg(crps), 6) AS crps FROM cr GROUP BY model_id, target, date"))
+def daily_crps(spark: SparkSession, sf: str) -> DataFrame:
+    out = crps_rows(spark, sf).groupBy("model_id", "target", "date").agg(F.avg("crps").alias("crps"))
+    return out.select("model_id", "target", F.date_format("date", "yyyy-MM-dd").alias("date"), r("crps").alias("crps"))
+
+
+@query("P21_forecast_wide", sql(" SELECT target, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(max(y_true), 6) AS actual, " + ", ".join(f"round(max(CASE WHEN model_id = '{m}' THEN y_pred END), 6) AS {m}" for m in ("naive24", "mean24")) + " FROM facts GROUP BY target, ts"))
+def forecast_wide(spark: SparkSession, sf: str) -> DataFrame:
+    rows = facts(spark, sf)
+    wide = rows.groupBy("target", "ts").pivot("model_id", ["naive24", "mean24"]).agg(F.first("y_pred"))
+    actual = rows.select("target", "ts", F.col("y_true").alias("actual")).dropDuplicates(["target", "ts"])
+    return wide.join(actual, ["target", "ts"]).select("target", stamp("ts").alias("ts"), *[r(c).alias(c) for c in ("actual", "naive24", "mean24")])
+
+
+@query("P11_short_labels", sql(" SELECT DISTINCT model_id, CASE WHEN model_id LIKE 'naive%' THEN 'SNaive-' || regexp_extract(model_id, '([0-9]+)$', 1) WHEN model_id LIKE 'dup\\_%' ESCAPE '\\' THEN 'Copy of ' || regexp_replace(model_id, '^dup_', '') ELSE upper(model_id) END AS label FROM facts"))
+def short_labels(spark: SparkSession, sf: str) -> DataFrame:
+    m = F.col("model_id")
+    label = F.when(m.startswith("naive"), F.concat(F.lit("SNaive-"), F.regexp_extract(m, "([0-9]+)$", 1))).when(m.startswith("dup_"), F.concat(F.lit("Copy of "), F.regexp_replace(m, "^dup_", ""))).otherwise(F.upper(m))
+    return facts(spark, sf).select("model_id", label.alias("label")).distinct()
