@@ -12,6 +12,9 @@ FLAGSHIP = "Q01_seasonal_naive_losses"
 #: the last bit of a sum.
 OFF_HALF = 1.7e-08
 
+#: Queries that SQL cannot express, and why.
+ROWS_ONLY: dict[str, str] = {}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
