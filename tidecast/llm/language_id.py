@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Texts of each language that the fit reads at most, and the length of the vectors.
 SAMPLE, DIMENSION = 1500, 1024
 SLOTS, SEED, RUN = 512, 11, 1 << 17
-_NOT_LETTERS = np.array([not (chr(c).isalpha()) for c in range(0x3000)])
+_NOT_LETTERS = np.array([not (chr(c).isalpha()) for c in range(0x10000)])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,7 +55,9 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = np.zeros(int(size.sum()), np.int64)
     for p, at in zip(points, first.tolist(), strict=True):
         flat[at + 1 : at + 1 + len(p)] = p
-    gap = np.where(flat < len(_NOT_LETTERS), _NOT_LETTERS[np.minimum(flat, len(_NOT_LETTERS) - 1)], False)
+    gap = _NOT_LETTERS[np.minimum(flat, len(_NOT_LETTERS) - 1)]
+    for point in np.unique(flat[flat >= len(_NOT_LETTERS)]).tolist():  # beyond the first plane letters are few
+        gap[flat == point] = not chr(point).isalpha()
     slot = np.where(gap, 0, flat % (SLOTS - 1) + 1)
     row = np.repeat(np.arange(len(texts)), size)
     keep = np.ones(len(slot), bool)
@@ -116,7 +118,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.nda
     sums = {lang: np.zeros(DIMENSION) for lang in langs}
     for row in picked.coalesce(8).mapInArrow(bundle, "lang string, vector binary").collect():
         sums[row.lang] += np.frombuffer(row.vector)
-    protos = np.stack([sums[lang] for lang in langs])
+    protos = np.stack([sums[lang] / max(np.linalg.norm(sums[lang]), 1e-9) for lang in langs])
     protos -= protos.mean(axis=0)  # what all languages share tells none of them
     return langs, (protos / np.maximum(np.linalg.norm(protos, axis=1), 1e-9)[:, None]).astype(np.float32)
 
