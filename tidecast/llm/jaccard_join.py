@@ -31,9 +31,9 @@ from tidecast.llm.shared import components, discard, durable, release, shards
 #: Frequent shingles that the order knows (a bound on what the driver gathers; others are ordered by hash alone).
 FREQUENT = 1 << 17
 #: Entries of an index list that meet in one block, and index rows of one shard.
-BLOCK, SHARD = 1024, 60_000
+BLOCK, SHARD = 1024, 30_000
 #: Shingles counted together in a task, and the count among them from which a shingle counts as frequent.
-COUNTED, STANDS_OUT = 2_000_000, 8
+COUNTED, STANDS_OUT = 1_500_000, 6
 #: Words of 64 bits of the narrowest parity bitmap; a set of n tokens has a bit for every two tokens at least.
 NARROW = 4
 
@@ -71,6 +71,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
                     held, size = [], 0
         if held:
             yield flush(held)
+        held = []
+        textscan.give_back()
 
     counts = docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
@@ -175,7 +177,7 @@ def _pair_up(shard: pa.Table, percent: int, every: bool) -> pa.Table:
     got: list[tuple[np.ndarray, ...]] = []
     last = np.repeat(key + size, size)
     partners = last - np.arange(len(order))  # each row with itself and all later ones of its list
-    cuts = np.flatnonzero(np.diff(np.cumsum(partners) // 500_000)) + 1
+    cuts = np.flatnonzero(np.diff(np.cumsum(partners) // 300_000)) + 1
     for rows in np.split(np.arange(len(order)), cuts):
         x = np.repeat(rows, partners[rows])
         y = textscan.ranges(rows, partners[rows])
@@ -207,6 +209,7 @@ def _pair_up(shard: pa.Table, percent: int, every: bool) -> pa.Table:
         order = np.lexsort(by)
         picks.append(order[np.concatenate([[True], u[order][1:] != u[order][:-1]])] if len(order) else order)
     pick = np.unique(np.concatenate(picks))
+    textscan.give_back()
     return pa.table({"u": u[pick], "v": v[pick], "far": far[pick]})
 
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import chat, decontaminate, jaccard_join, language_id, nearest, packing, substring_dedup, suffix_dedup, token_store, toxicity
+from tidecast.llm import chat, decontaminate, jaccard_join, language_id, nearest, packing, shared, substring_dedup, suffix_dedup, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,6 +20,15 @@ def folder(spark: SparkSession) -> str:
     return named
 
 
+#: Rows of one Arrow batch between Spark and Python, where the session does not ask for fewer; texts may be long.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(BATCH_ROWS, int(spark.conf.get(key)))))
+
+
 _written: list[DataFrame] = []
 
 

@@ -28,7 +28,7 @@ from tidecast.llm import textscan
 #: Labelled rows that the fit reads at most: of class 0, of class 1.
 SAMPLE = (12_000, 3000)
 BUCKETS, DIMENSION, GRAMS = 1 << 17, 8, (3, 4, 5)
-EPOCHS, BATCH, RATE, GAIN, SEED = 6, 32, 0.5, 30.0, 7
+EPOCHS, LEAST_STEPS, BATCH, RATE, GAIN, SEED = 6, 1000, 32, 0.5, 30.0, 7
 #: Texts of the sample in which a bucket must occur, and neutral words that each text counts besides its own.
 LEAST_TEXTS, NEUTRAL = 5, 20
 
@@ -71,10 +71,10 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return (textscan.span_hashes(total, begin, begin + length) >> np.uint64(64 - 17)).astype(np.int64), sum(counts)
 
 
-def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (start of each text, bucket, weight): the share of each bucket in the mean of the text's words."""
+def bags(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text the buckets that occur in it and the share of each in the mean of the text's words."""
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], ["k", "text"])
-    cut, buckets, weights = [0], [], []
+    buckets, weights = [], []
     for _, part in textscan.texts(batch):
         first, starts, ends, number, _ = _distinct_words(part)
         grams, count = subwords(part.data, starts, ends) if len(starts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -87,8 +87,7 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             bucket, back = np.unique(each, return_inverse=True)
             buckets.append(bucket.astype(np.int32))
             weights.append(np.bincount(back, share, len(bucket)).astype(np.float32))
-            cut.append(cut[-1] + len(bucket))
-    return np.array(cut), np.concatenate([*buckets, np.zeros(0, np.int32)]), np.concatenate([*weights, np.zeros(0, np.float32)])
+    return buckets, weights
 
 
 def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
@@ -98,23 +97,27 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
         return table, -np.inf
     if labels.min() == labels.max():
         return table, np.inf if labels[0] else -np.inf
-    cut, bucket, weight = bags(texts)
-    texts_of = np.bincount(bucket, minlength=BUCKETS)
-    weight = weight * np.float32(GAIN) * (texts_of >= min(LEAST_TEXTS, len(labels)))[bucket]
+    buckets, weights = bags(texts)
+    texts_of = np.zeros(BUCKETS, np.int64)
+    for bucket in buckets:
+        texts_of[bucket] += 1
+    known = texts_of >= min(LEAST_TEXTS, len(labels))
+    for k, bucket in enumerate(buckets):
+        keep = known[bucket]
+        buckets[k], weights[k] = bucket[keep], weights[k][keep] * np.float32(GAIN)
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen, seen_softmax, seen_bias = np.full(BUCKETS, 1e-6, np.float32), np.full(softmax.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     goal = np.eye(2, dtype=np.float32)[labels]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(labels)))):
         for rows in np.array_split(rng.permutation(len(labels)), -(-len(labels) // BATCH)):
-            size = cut[rows + 1] - cut[rows]
-            at = textscan.ranges(cut[rows], size)
+            size = np.array([len(buckets[k]) for k in rows])
             row = np.repeat(np.arange(len(rows)), size)
-            b, w = bucket[at], weight[at]
+            b, w = np.concatenate([buckets[k] for k in rows]), np.concatenate([weights[k] for k in rows])
             mean = np.zeros((len(rows), DIMENSION), np.float32)
             full = size > 0
-            if len(at):
+            if len(b):
                 mean[full] = np.add.reduceat(vectors[b] * w[:, None], (np.cumsum(size) - size)[full])
             logits = mean @ softmax + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -125,14 +128,14 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
             seen_bias += g_bias**2
             softmax -= RATE * g_softmax / np.sqrt(seen_softmax)
             bias -= RATE * g_bias / np.sqrt(seen_bias)
-            if len(at):
+            if len(b):
                 order = np.argsort(b, kind="stable")
                 cuts = np.flatnonzero(np.concatenate([[True], np.diff(b[order]) > 0]))
                 g = np.add.reduceat(g_mean[row[order]] * w[order][:, None], cuts)
                 hit = b[order][cuts]
                 seen[hit] += (g**2).mean(1)
                 vectors[hit] -= RATE * g / np.sqrt(seen[hit])[:, None]
-    vectors[texts_of < min(LEAST_TEXTS, len(labels))] = 0
+    vectors[~known] = 0
     lean = softmax[:, 1] - softmax[:, 0]
     return (vectors @ lean * GAIN).astype(np.float32), float(bias[1] - bias[0])
 
@@ -150,6 +153,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAM
     def learn(table: pa.Table) -> pa.Table:
         found = table.to_pandas().sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id")
         scalars, bias = fit(pa.array(found["text"], pa.string()), found["toxic"].to_numpy(np.int64))
+        textscan.give_back()
         return pa.Table.from_pandas(pd.DataFrame({"scalars": [scalars.tobytes()], "bias": [bias]}))
 
     got = rows.groupBy("one").applyInArrow(learn, "scalars binary, bias double").collect()
