@@ -430,7 +430,7 @@ def test_toxicity_learns_subwords(spark):
     clean = ["".join(rng.choices("aeioulmnrst", k=rng.randint(2, 9))) for _ in range(400)]
     bad = ["scumbag", "worthless", "pathetic"]
     texts, labels = [], []
-    for k in range(600):
+    for k in range(1500):
         words = rng.choices(clean, k=rng.randint(10, 80))
         if k % 4 == 0:
             for _ in range(1 + len(words) // 20):
@@ -440,9 +440,9 @@ def test_toxicity_learns_subwords(spark):
     texts += [f"{' '.join(rng.choices(clean, k=12))} {w}" for w in ("scumbagg", "worthles", "patheticc")]
     docs = frame(spark, texts)
     got = {r.doc_id: r for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
-    held = [k for k in range(600) if got[k].held_out]
+    held = [k for k in range(1500) if got[k].held_out]
     assert sum(got[k].predicted == int(k % 4 == 0) for k in held) >= 0.95 * len(held)
-    assert sum(got[600 + k].predicted for k in range(3)) >= 2  # unseen misspellings
+    assert sum(got[1500 + k].predicted for k in range(3)) >= 2  # unseen misspellings
 
 
 def test_toxicity_odd_inputs(spark):
