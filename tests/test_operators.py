@@ -58,6 +58,21 @@ def test_future_does_not_move_a_forecast(spark):
     assert run(base) == run(moved)
 
 
+def test_all_models_is_the_union_of_the_single_ones(spark):
+    stamps = [f"2024-01-{d:02d} {h:02d}:00:00" for d in range(1, 12) for h in range(24) if (d, h) not in {(2, 3), (9, 5)}]
+    rng = random.Random(4)
+    obs = spark.createDataFrame([(t, s, rng.random()) for t in "PQ" for s in stamps], "target string, s string, y double").select("target", F.to_timestamp_ntz("s").alias("ts"), "y")
+    parts = [forecast.seasonal_naive(obs, 24), forecast.seasonal_naive(obs, 168), forecast.previous_day_mean(obs), forecast.same_hour_mean(obs), forecast.seasonal_naive(obs, 24, "dup_naive24")]
+    single = parts[0]
+    for part in parts[1:]:
+        single = single.unionByName(part)
+
+    def rows(df):
+        return sorted((r.model_id, r.target, r.ts, r.date, r.horizon, round(r.y_pred, 12), round(r.error, 12)) for r in df.collect())
+
+    assert rows(forecast.all_models(obs, "2024-01-08", "2024-01-11")) == rows(forecast.in_period(single, "2024-01-08", "2024-01-11"))
+
+
 def test_conformal_ranks(spark):
     errors = spark.createDataFrame([("x", float(k)) for k in range(1, 13)], "k string, error double")
     got = probabilistic.conformal_bounds(errors, ["k"], [0.8, 0.95]).orderBy("coverage").collect()

@@ -48,12 +48,21 @@ def same_hour_mean(obs: DataFrame, days: int = 7, model_id: str = "hourmean7d")
 
 
 def all_models(obs: DataFrame, start: str, end: str) -> DataFrame:
-    """The facts of all baseline models over a period, with one deliberate duplicate."""
-    parts = [seasonal_naive(obs, 24), seasonal_naive(obs, 168), previous_day_mean(obs), same_hour_mean(obs), seasonal_naive(obs, 24, "dup_naive24")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return in_period(out, start, end)
+    """The facts of all baseline models over a period, with one deliberate duplicate, from one pass over the observations.
+
+    Each row is sent to the same hour of the seven days after it, so that both naive lags and the hourly mean come from one
+    aggregate and one join; the models are then unpivoted.  The result is the union of the single models' facts.
+    """
+    sent = obs.select("target", F.col("y").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k"), F.col("ts").alias("t"))
+    sent = in_period(sent.select("target", F.expr("t + make_dt_interval(k)").alias("ts"), "k", "v"), start, end)
+    back = sent.groupBy("target", "ts").agg(F.max(F.when(F.col("k") == 1, F.col("v"))).alias("naive24"), F.max(F.when(F.col("k") == 7, F.col("v"))).alias("naive168"), F.avg("v").alias("m"), F.count("v").alias("n"))
+    days = obs.groupBy("target", F.to_date("ts").alias("date")).agg(F.avg("y").alias("mean24"))
+    days = days.select("target", F.date_add("date", 1).alias("date"), "mean24")
+    rows = in_period(obs, start, end).join(back, ["target", "ts"], "left").withColumn("date", F.to_date("ts")).join(days, ["target", "date"], "left")
+    rows = rows.withColumn("hourmean7d", F.when(F.col("n") == 7, F.col("m")))
+    each = "stack(5, 'naive24', naive24, 'naive168', naive168, 'mean24', mean24, 'hourmean7d', hourmean7d, 'dup_naive24', naive24) as (model_id, y_pred)"
+    long = rows.select("target", "ts", "date", "y", F.expr(each)).where("y_pred is not null")
+    return long.select("model_id", "target", "ts", "date", (F.hour("ts") + 1).alias("horizon"), F.col("y").alias("y_true"), "y_pred", (F.col("y") - F.col("y_pred")).alias("error"))
 
 
 def joint_recursion(history: DataFrame, steps: int, weights: dict[str, tuple[float, float, float]]) -> DataFrame:
