@@ -94,19 +94,33 @@ def compress(ids: np.ndarray, first: np.ndarray, rounds: int = ROUNDS, names: in
     return np.concatenate([*rules, np.zeros((0, 2), np.uint32)]), symbols, at
 
 
+def levels(rules: np.ndarray) -> np.ndarray:
+    """Where runs of rules begin whose symbols all stand before their run; the last entry is the number of rules."""
+    last, cuts, at = rules.astype(np.int64).max(axis=1, initial=0) - VOCABULARY, [0], 0
+    while at < len(rules):
+        late = np.flatnonzero(last[at:] >= at)
+        at = at + int(late[0]) if len(late) else len(rules)
+        cuts.append(at)
+    return np.array(cuts)
+
+
 def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All rules' ids side by side, where each rule's begin, and their number."""
-    made: list[np.ndarray] = []
-    for left, right in rules.tolist():
-        made.append(np.concatenate([made[s - VOCABULARY] if s >= VOCABULARY else np.array([s], np.uint32) for s in (left, right)]))
-    size = np.array([len(m) for m in made], np.int64)
-    return np.concatenate([*made, np.zeros(0, np.uint32)]), np.cumsum(size) - size, size
+    """All symbols' ids side by side, where each symbol's begin, and their number."""
+    pool, start, size = [np.arange(VOCABULARY, dtype=np.uint32)], np.arange(VOCABULARY), np.ones(VOCABULARY, np.int64)
+    for a, b in zip(levels(rules)[:-1], levels(rules)[1:], strict=True):
+        both = rules[a:b].astype(np.int64).ravel()
+        pool.append(np.concatenate(pool)[ranges(start[both], size[both])])
+        made = size[both].reshape(-1, 2).sum(axis=1)
+        start = np.concatenate([start, start[-1] + size[-1] + np.cumsum(made) - made])
+        size = np.concatenate([size, made])
+        pool = [np.concatenate(pool)]
+    return np.concatenate(pool), start, size
 
 
 def write_block(docs: np.ndarray, ids: np.ndarray, first: np.ndarray) -> bytes:
     """The bytes of a block: docs and the beginnings of their ids (one more entry than docs)."""
     rules, symbols, at = compress(ids, first)
-    _, _, size = expansions(rules)
+    size = expansions(rules)[2][VOCABULARY:]
     wide = VOCABULARY + len(rules) > 1 << 16
     head = MAGIC + struct.pack("<BIII", wide, len(docs), len(rules), len(symbols))
     return b"".join([head, docs.astype("<i8").tobytes(), np.diff(first).astype("<u4").tobytes(), at.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), size.astype("<u4").tobytes(), symbols.astype("<u4" if wide else "<u2").tobytes()])
@@ -130,10 +144,8 @@ class Block:
         self.docs, self.size, self.at = read("<i8", n), read("<u4", n).astype(np.int64), read("<u4", n + 1).astype(np.int64)
         self.rules, self.lengths = read("<u4", 2 * rules).reshape(-1, 2), read("<u4", rules).astype(np.int64)
         self.symbols = read("<u4" if wide else "<u2", symbols).astype(np.int64)
-        flat, start, size = expansions(self.rules)
-        self.pool = np.concatenate([np.arange(VOCABULARY, dtype=np.uint32), flat])
-        self.start = np.concatenate([np.arange(VOCABULARY), start + VOCABULARY])
-        self.length = np.concatenate([np.ones(VOCABULARY, np.int64), self.lengths])
+        self.pool, self.start, self.length = expansions(self.rules)
+        self.length[VOCABULARY:] = self.lengths
 
     def ids(self) -> np.ndarray:
         return self.pool[ranges(self.start[self.symbols], self.length[self.symbols])]

@@ -15,11 +15,19 @@ import numpy as np
 from tidecast.llm.textscan import ranges
 
 #: Distinct stretches that an encoder remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: The id that ends a document.
 END = 2
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """The word-level vocabulary, which folds case and drops white space."""
 
@@ -30,8 +38,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.odd = re.compile("[\x1c-\x1f\x85]")
+        self.model = self.tokenizer.model
+        #: Letters of Latin-1 as the pre-tokenizer writes their bytes; words of these need no other step of the pipeline.
+        self.written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(256) if chr(c).isalpha() and chr(c).islower()}
         #: What keeps a text from being folded and cut at its commas and full stops beforehand.
-        self.far, self.joined = re.compile("[^\\0-\u024f]"), re.compile("[^\\w\\s]{2}")
+        self.joined = re.compile("[^\\w\\s]{2}")
         self.forget()
 
     def forget(self) -> None:
@@ -40,7 +51,17 @@ class Encoder:
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _add(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found: list[list[int]] = []
+        tokenize, other = self.model.tokenize, []
+        for piece in pieces:
+            if piece.isalpha() and piece.islower() and _latin(piece):
+                found.append([t.id for t in tokenize(piece if piece.isascii() else piece.translate(self.written))])
+            else:
+                other.append(len(found))
+                found.append([])
+        whole = self.tokenizer.encode_batch_fast([pieces[k] for k in other], add_special_tokens=False)
+        for k, e in zip(other, whole, strict=True):
+            found[k] = e.ids
         size = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         k, to = len(self.index), len(self.index) + len(pieces)
@@ -56,7 +77,7 @@ class Encoder:
     def _pieces(self, text: str) -> list[str]:
         if self.odd.search(text):
             return [text]
-        if "'" not in text and not self.far.search(text) and not self.joined.search(text):
+        if "'" not in text and _latin(text) and not self.joined.search(text):
             text = text.lower().replace(".", " . ").replace(",", " , ")
         return text.split()
 
