@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidecast.plans import comparison, evaluation, preparation, search  # noqa: F401
+    from tidecast.plans import audits, comparison, evaluation, preparation, search  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
