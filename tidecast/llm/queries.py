@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import chat, decontaminate, jaccard_join, language_id, nearest, packing, shared, substring_dedup, suffix_dedup, token_store, toxicity
+from tidecast.llm import chat, decontaminate, jaccard_join, language_id, nearest, oracles, packing, shared, substring_dedup, suffix_dedup, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,4 +63,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for three of them; tokenizers, trained models, byte windows, templates and approximate search are not SQL."""
+    return {"op1_jaccard_join": oracles.JACCARD, "op6_decontamination": oracles.DECONTAMINATION, "op9_substring_dedup": oracles.SUBSTRING}
