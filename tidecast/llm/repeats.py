@@ -54,7 +54,8 @@ def _shared(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, within: bool) -
 def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], contents: Callable[[DataFrame], DataFrame], hashes: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], within: bool, always: int | None = None) -> DataFrame:
     """(doc_id, at, n): arrays of the starts and numbers of consecutive windows that repeat an earlier one.
 
-    stretches(docs) gives (symbol, key, doc_id, at, n); contents((doc_id, text, symbol, at, n)), with arrays, gives (symbol,
+    stretches(docs) gives (symbol, key, doc_id, at, n, again), again for those that an earlier stretch of the same text is
+    known to equal and that need no comparison; contents((doc_id, text, symbol, at, n)), with arrays, gives (symbol,
     doc_id, at, content) for each stretch, from which hashes() makes the window hashes of a column of contents side by side
     and their number in each.  within: an earlier start in the same document counts as well.  always: a symbol that is
     compared even if one document alone selects it.
@@ -63,9 +64,12 @@ def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], conte
     order: Column = F.struct("doc_id", "at") if within else F.col("doc_id")
     found = durable(stretches(docs))
     several = F.count("*") > 1 if within else F.min("doc_id") < F.max("doc_id")
-    seen = found.groupBy("symbol").agg(several.alias("s")).where("s" if always is None else f"s or symbol = {always}")
-    some = durable(found.join(seen.select("symbol"), "symbol"))
+    seen = found.where("not again").groupBy("symbol").agg(several.alias("s")).where("s" if always is None else f"s or symbol = {always}")
+    seen = durable(seen.select("symbol"))  # a table of its own, so that the join can split a symbol of many rows
+    some = durable(found.where("not again").drop("again").join(seen, "symbol"))
+    within_text = durable(found.where("again").select("doc_id", "at", "n"))
     discard(found)
+    discard(seen)
     release(spark)
     firsts = some.groupBy("key").agg(F.min(order).alias("first"), F.min("symbol").alias("symbol"))
     keys = firsts.groupBy("symbol").agg(F.count("*").alias("keys")).where("keys > 1")
@@ -100,13 +104,13 @@ def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], conte
     size = each.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("symbol"), F.lit(shards(size, SHARD)).cast("long")).alias("shard")
     near = each.where(F.col("keys") <= HOT).groupBy(shard).applyInArrow(compare, "doc_id long, at int, n int")
-    whole = told.where("whole").select("doc_id", "at", "n").unionByName(near)
+    whole = told.where("whole").select("doc_id", "at", "n").unionByName(within_text).unionByName(near)
     if not each.where(F.col("keys") > HOT).isEmpty():
         apart = durable(each.where(F.col("keys") > HOT).select("doc_id", "at", "content").mapInArrow(explode, "hash long, doc_id long, at int"))
         first = apart.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("many")).where("many > 1").select("hash", "first")
         whole = whole.unionByName(apart.join(first, "hash").where(order > F.col("first")).select("doc_id", "at", F.lit(1).alias("n")))
     out = durable(whole.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.n").alias("n")))
-    discard(each)
-    discard(told)
+    for table in (each, told, within_text):
+        discard(table)
     release(spark)
     return out

@@ -95,7 +95,7 @@ def selected(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.nda
 
 
 def _stretches(docs: DataFrame, window: int) -> DataFrame:
-    """(symbol, key, doc_id, at, n): the runs of windows of a document that select one symbol."""
+    """(symbol, key, doc_id, at, n, again): the runs of windows of a document that select one symbol."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +110,9 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
                 n = np.diff(np.append(head, len(start)))
                 at, doc = start[head], doc[head]
                 key = textscan.word_windows(hashes, at, at + n + window - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(symbol[head].view(np.int64)), pa.array(key.view(np.int64)), pa.array(part.ids[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["symbol", "key", "doc_id", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(symbol[head].view(np.int64)), pa.array(key.view(np.int64)), pa.array(part.ids[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(at), bool))], ["symbol", "key", "doc_id", "at", "n", "again"])
 
-    return docs.mapInArrow(scan, "symbol long, key long, doc_id long, at int, n int")
+    return docs.mapInArrow(scan, "symbol long, key long, doc_id long, at int, n int, again boolean")
 
 
 def _contents(docs: DataFrame, window: int) -> DataFrame:

@@ -38,7 +38,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _stretches(docs: DataFrame, length: int) -> DataFrame:
-    """(symbol, key, doc_id, at, n): the runs of windows that share a smallest initial bucket."""
+    """(symbol, key, doc_id, at, n, again): the runs of windows that share a smallest initial bucket."""
     q = min(Q, length)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,9 +64,12 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
                 at, n, doc = at[own], n[own], doc[own]
                 symbol = textscan.mix(least[at])
                 key = textscan.span_hashes(total, at, at + n + length - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(symbol.view(np.int64)), pa.array(key.view(np.int64)), pa.array(part.ids[doc]), pa.array((at - part.offsets[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["symbol", "key", "doc_id", "at", "n"])
+                order = np.lexsort((at, key, doc))  # periodic texts hold one stretch very often
+                again = np.zeros(len(at), bool)
+                again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(symbol.view(np.int64)), pa.array(key.view(np.int64)), pa.array(part.ids[doc]), pa.array((at - part.offsets[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["symbol", "key", "doc_id", "at", "n", "again"])
 
-    return docs.mapInArrow(scan, "symbol long, key long, doc_id long, at int, n int")
+    return docs.mapInArrow(scan, "symbol long, key long, doc_id long, at int, n int, again boolean")
 
 
 def _contents(docs: DataFrame, length: int) -> DataFrame:
