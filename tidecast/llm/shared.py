@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -10,13 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: list[str] = []
+
+
 def folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir, and only where that is unset (tests on
     one machine) one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not _own:
+            made = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, made, True)
+            _own.append(f"file://{made}")
+        named = _own[0]
     return named
 
 
