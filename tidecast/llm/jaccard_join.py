@@ -118,11 +118,15 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
     return docs.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
 
 
-def _postings(entries: DataFrame) -> DataFrame:
-    """(token, at, gid, n) for the prefix tokens that two groups at least share, with the list's blocks."""
+def _postings(entries: DataFrame, percent: int) -> DataFrame:
+    """(token, at, gid, n) for the prefix tokens that two groups at least share, with the list's blocks.
+
+    Most lists are of two groups that share a token by chance; if their sizes alone rule a link out, the list goes.
+    """
     groups = entries.groupBy("gid", "n").agg(F.min("prefix").alias("prefix"), F.count("*").alias("members"))
     slim = groups.select("gid", "n", "members", F.posexplode("prefix").alias("at", "token"))
-    lists = slim.groupBy("token").agg(F.count("*").alias("groups"), F.max("members").alias("most")).where("groups > 1 or most > 1")
+    lists = slim.groupBy("token").agg(F.count("*").alias("groups"), F.max("members").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
+    lists = lists.where(f"most > 1 or groups > 2 or (groups = 2 and 100 * low >= {percent} * high)")
     found = slim.drop("members").join(lists.select("token", "groups"), "token")
     blocks = F.ceil(F.col("groups") / BLOCK).cast("int")
     found = found.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
@@ -272,7 +276,7 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("r"))
     classes = classes.select("k1", "k2", "n", "r.*")
     entries = durable(classes.select("doc_id", "n", "prefix", "bits", F.xxhash64("n", "prefix").alias("gid")))
-    postings = durable(_postings(entries))
+    postings = durable(_postings(entries, percent))
     release(spark)
     rows = postings.count()
     comps = links = sets = None
