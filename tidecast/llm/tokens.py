@@ -20,12 +20,21 @@ REMEMBERED = 1_000_000
 END = 2
 
 
-def _latin(text: str) -> bool:
+def _classes() -> bytes:
+    """For each byte of Latin-1 whether it is of a word, white space or another sign."""
+    return bytes(32 if chr(c).isspace() else 97 if re.match(r"\w", chr(c)) else 33 for c in range(256))
+
+
+#: Encoded runs of texts after which the most frequent words get a dictionary of their own, small enough for a cache.
+WARM, FREQUENT = 20, 20_000
+_CLASS = _classes()
+
+
+def _latin(text: str) -> bytes | None:
     try:
-        text.encode("latin-1")
+        return text.encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return True
+        return None
 
 
 class Encoder:
@@ -41,20 +50,36 @@ class Encoder:
         self.model = self.tokenizer.model
         #: Letters of Latin-1 as the pre-tokenizer writes their bytes; words of these need no other step of the pipeline.
         self.written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(256) if chr(c).isalpha() and chr(c).islower()}
-        #: What keeps a text from being folded and cut at its commas and full stops beforehand.
-        self.joined = re.compile("[^\\w\\s]{2}")
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.frequent: dict[str, int] = {}
+        self.uses, self.runs = np.zeros(0, np.int64), 0
+
+    def _find(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces, -1 for those that are not remembered."""
+        if not self.frequent:
+            at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+            used = np.bincount(at[at >= 0], minlength=len(self.uses))
+            used[: len(self.uses)] += self.uses
+            self.uses, self.runs = used, self.runs + 1
+            if self.runs >= WARM:
+                names = list(self.index)
+                self.frequent = {names[k]: k for k in np.argsort(-used, kind="stable")[:FREQUENT].tolist()}
+            return at
+        at = np.fromiter(map(self.frequent.get, pieces, repeat(-1)), np.int64, len(pieces))
+        rare = np.flatnonzero(at < 0).tolist()
+        at[rare] = np.fromiter(map(self.index.get, [pieces[k] for k in rare], repeat(-1)), np.int64, len(rare))
+        return at
 
     def _add(self, pieces: list[str]) -> None:
         found: list[list[int]] = []
         tokenize, other = self.model.tokenize, []
         for piece in pieces:
-            if piece.isalpha() and piece.islower() and _latin(piece):
+            if piece.isalpha() and piece.islower() and (piece.isascii() or _latin(piece) is not None):
                 found.append([t.id for t in tokenize(piece if piece.isascii() else piece.translate(self.written))])
             else:
                 other.append(len(found))
@@ -77,8 +102,11 @@ class Encoder:
     def _pieces(self, text: str) -> list[str]:
         if self.odd.search(text):
             return [text]
-        if "'" not in text and _latin(text) and not self.joined.search(text):
-            text = text.lower().replace(".", " . ").replace(",", " , ")
+        signs = _latin(text)
+        if signs is not None:
+            text = text.lower()
+            if "'" not in text and b"!!" not in signs.translate(_CLASS):
+                text = text.replace(".", " . ").replace(",", " , ")
         return text.split()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +118,7 @@ class Encoder:
             until.append(len(pieces))
         if len(self.index) > REMEMBERED:
             self.forget()
-        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = self._find(pieces)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             self._add(list(dict.fromkeys([pieces[k] for k in missing.tolist()])))
