@@ -47,3 +47,23 @@ def test_each_stage_decides(stages, spark):
 def test_run_gives_the_last_stage(spark, stages):
     want = sorted((r.doc_id, r.piece, r.ids_crc32) for r in stages["best_fit_packing"].collect())
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()) == want
+
+
+ODD = [None, "", " \t", "one", "One", "two words", "a " * 500, "é ü", "x" * 5000, None, "a b", "the same few words here again"] * 2
+
+
+@pytest.mark.parametrize("rows", [len(ODD), 0])
+def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path, rows):
+    found = [(k, t, None if k % 3 else "en", "s", len(t or ""), 1, 2, "k", 3, 4.0) for k, t in enumerate(ODD[:rows])]
+    docs = spark.createDataFrame(found, "doc_id long, text string, lang string, source string, n_chars long, n int, at int, key string, component_id long, score double")
+    labels = [(k, None, int(k % 12 == 5)) for k in range(24)] + [(3, 1, None), (900, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, f"{tmp_path}").write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        if name != "best_fit_packing":
+            assert after.columns == docs.columns
+            docs = after
+    assert bool(docs.count()) == bool(rows)
+    assert after.select("doc_id").distinct().count() == docs.count()
