@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.shared import discard, durable, release, shards
-from tidecast.llm.textscan import ranges
+from tidecast.llm.textscan import give_back, ranges
 
 
 def int_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -35,9 +35,9 @@ def covered(at: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
 
 
 #: Stretches that one symbol may have to be compared in one task; beyond it its windows are dealt out one by one.
-HOT = 20_000
+HOT = 8_000
 #: Bytes of stretches that one task compares.
-SHARD = 4_000_000
+SHARD = 1_500_000
 
 
 def _shared(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
@@ -93,6 +93,7 @@ def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], conte
         doc, at = doc[order], at[order]
         head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
         runs = np.diff(np.append(head, len(doc)))
+        give_back()
         return pa.table({"doc_id": doc[head], "at": at[head].astype(np.int32), "n": runs.astype(np.int32)})
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
