@@ -6,6 +6,7 @@ with a control separator, on which libraries disagree, is encoded whole.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -111,6 +112,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids side by side, with END after each text, and where each text's ids begin (one more entry than texts)."""
+        collects = gc.isenabled()
+        gc.disable()  # many lists, no cycles: looking through them for garbage finds none
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pieces: list[str] = []
         until = [0]
         for text in texts:
