@@ -398,6 +398,23 @@ def test_nearest_recall(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("sigma", [0.5, 1.5])
+def test_nearest_recall_among_very_different_lengths(spark, monkeypatch, sigma):
+    monkeypatch.setattr(nearest, "PER_LIST", 32)  # 188 lists, more than the beam looks through at once
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 32))
+    vectors = centres[rng.integers(0, 40, 6000)] + rng.normal(scale=0.5, size=(6000, 32))
+    vectors *= rng.lognormal(0, sigma, (6000, 1)) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nearest.search(rows, rows.where("vec_id % 50 = 0"), 20).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 50):
+        hit += len(got[q] & set([int(k) for k in np.argsort(-(vectors @ vectors[q])) if k != q][:20]))
+    assert hit / (120 * 20) >= 0.9
+
+
 def test_nearest_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (1, [1.0, 0.0])]

@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
-One more component makes all vectors as long as the longest, so that the largest inner product is the smallest distance.
+One more component makes all vectors as long as the longest; queries are scaled to that length and have 0 there, which keeps
+their order of inner products, so that the largest inner product is the smallest distance.
 Centroids are fitted on a bounded sample, the first SAMPLE vectors by the hash of their id, and clusters of more than twice
 the mean size are split.  Every vector goes to the list of its nearest centroid and, if it lies near a boundary, to the lists
 of up to REPLICAS - 1 others whose centroids are at most 1 + CLOSE times as far.  A query finds its nearest centroids by beam
@@ -42,6 +43,12 @@ def _extended(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([vectors, np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))[:, None]], axis=1)
 
 
+def _asked(queries: np.ndarray, longest: float) -> np.ndarray:
+    queries = queries / np.abs(queries).max(axis=1, keepdims=True)  # else squares of small components may vanish
+    queries *= longest / np.sqrt((queries**2).sum(1))[:, None]
+    return np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
+
+
 def fit_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     """k-means whose clusters of more than twice the mean size are split in two."""
     rng = np.random.default_rng(SEED)
@@ -169,7 +176,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, id_column: st
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                found, apart = search_graph(_extended(_matrix(some.column(1)), longest), centroids, graph, MOST_BEAM)
+                found, apart = search_graph(_asked(_matrix(some.column(1)), longest), centroids, graph, MOST_BEAM)
                 read = np.cumsum(size[found], axis=1) - size[found]
                 keep = (apart <= (1 + WIDE) * apart[:, :1] + 1e-12) | (np.arange(found.shape[1]) < LEAST_LISTS) | (read < LEAST_VECTORS)
                 row, column = np.nonzero(keep)
