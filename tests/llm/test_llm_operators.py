@@ -263,6 +263,12 @@ def test_encoders_agree_with_the_library(make, name):
             assert ids[total[k] : total[k + 1]].tolist() == reference_ids(name, t), t
 
 
+@pytest.mark.parametrize("text", ["_word_.", "a_,b", "foo._bar", "see snake_, then", "x ,_y", "a_b. c_d, e"])
+def test_an_underscore_is_a_sign(text):
+    ids, _ = tokens.Encoder().encode([text])
+    assert ids.tolist() == reference_ids("word_bpe_49k.json", text)
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     encoder = tokens.Encoder()

@@ -22,8 +22,8 @@ END = 2
 
 
 def _classes() -> bytes:
-    """For each byte of Latin-1 whether it is of a word, white space or another sign."""
-    return bytes(32 if chr(c).isspace() else 97 if re.match(r"\w", chr(c)) else 33 for c in range(256))
+    """For each byte of Latin-1 whether it is of a word, white space or another sign, as which the tokenizer counts "_"."""
+    return bytes(32 if chr(c).isspace() else 97 if chr(c) != "_" and re.match(r"\w", chr(c)) else 33 for c in range(256))
 
 
 #: Encoded runs of texts after which the most frequent words get a dictionary of their own, small enough for a cache.
