@@ -95,6 +95,41 @@ def test_jaccard_components(spark, monkeypatch, words, percent, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, words, percent)
 
 
+def brute_links(texts, words, percent):
+    sets = []
+    for t in texts:
+        w = WORD.findall(lower(t))
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
+    first = {}
+    for k, s in enumerate(sets):
+        first.setdefault(s, k)
+    near = [{b for b in range(len(sets)) if a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])} for a in range(len(sets))]
+    classes = {k: first[s] if s else k for k, s in enumerate(sets)}
+    pairs = {(a, b) for a in set(classes.values()) for b in near[a] if a < b == classes[b]}
+    return pairs, {k: (len(s), classes[k], len(near[k])) for k, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_jaccard_links_are_all_there(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SHARD", 50)
+    texts = near_copies(words=200) + ODD
+    pairs, links = brute_links(texts, 3, 80)
+    assert len(pairs) > 4 * len(texts)  # far more than each entry's two partners
+    got = jaccard_join.class_links(frame(spark, texts), 3, 80).collect()
+    assert len(got) == len(pairs) and {(r.u, r.v) for r in got} == pairs
+    rows = jaccard_join.jaccard_links(frame(spark, texts), 3, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.class_id, r.n_links) for r in rows} == links
+
+
+def test_jaccard_links_empty_and_repeated(spark):
+    assert jaccard_join.jaccard_links(empty(spark)).collect() == []
+    assert jaccard_join.class_links(empty(spark)).collect() == []
+    twice = frame(spark, ["a b c d e f", "z", "a b c d e f", None]).unionByName(frame(spark, ["a b c d e f", "z", "a b c d e f", None]))
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_links(twice, 3, 90).collect())
+    assert got == [(0, 0, 1)] * 2 + [(1, 1, 0)] * 2 + [(2, 0, 1)] * 2 + [(3, 3, 0)] * 2
+
+
 def test_jaccard_empty_and_repeated(spark):
     assert jaccard_join.jaccard_components(empty(spark)).collect() == []
     twice = frame(spark, ["a b c d e f", "z"]).unionByName(frame(spark, ["a b c d e f", "z"]))

@@ -6,10 +6,11 @@ set are a single entry; entries with the same prefix and size form a group.  An
 groups, which the size and positional bounds filter; pairs that are left are expanded to members, which a bitmap bound
 filters and the sets verify exactly (by 64-bit shingle hashes).
 
-Links between copies are never expanded to all pairs.  Two rounds verify for each entry its nearest and its smallest
-partner outside its component; a last round verifies every pair that is left between different components.  What is
-skipped joins documents of one component, so that components are exact.  Index lists longer than BLOCK are dealt out as
-pairs of blocks.
+For components, links between copies are never expanded to all pairs.  Two rounds verify for each entry its nearest and
+its smallest partner outside its component; a last round verifies every pair that is left between different components.
+What is skipped joins documents of one component, so that components are exact.  For the join itself (class_links,
+jaccard_links) one round verifies every pair of entries that the bounds leave, so that no link is missing; its pairs grow
+with the square of a group of near copies, as the links do.  Index lists longer than BLOCK are dealt out as pairs of blocks.
 
 Defined cases: a null text, or one without words, has size 0 and links with nothing (not even its like); fewer words than
 the shingle size are one shingle; repeated rows of a doc_id count as one document each with the same links; columns other
@@ -264,6 +265,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "u long, v long")
 
 
+def _classes(documents: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, ...]:
+    """The texts, their signatures, a row for each set that is not empty, and these as entries of groups."""
+    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    signed = durable(signatures(docs, frequent_shingles(docs, words), words, percent))
+    classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("r"))
+    classes = classes.select("k1", "k2", "n", "r.*")
+    entries = durable(classes.select("doc_id", "n", "prefix", "bits", F.xxhash64("n", "prefix").alias("gid")))
+    return docs, signed, classes, entries
+
+
+def _every_link(docs: DataFrame, entries: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v), u < v: all links between entries; every pair that the bounds leave is verified."""
+    spark = docs.sparkSession
+    postings = durable(_postings(entries, percent))
+    release(spark)
+    rows = postings.count()
+    links = spark.createDataFrame([], "u long, v long")
+    if rows:
+        pairs = durable(_candidates(postings, entries, None, rows, percent, True))
+        active = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+        sets = durable(set_table(docs.join(active, "doc_id", "left_semi"), words))
+        links = durable(_verified(pairs, sets, percent).distinct())
+        for table in (pairs, active, sets):
+            discard(table)
+    discard(postings)
+    return links
+
+
+def class_links(documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(u, v), u < v: all pairs of classes, by their class_id, whose sets link."""
+    docs, _, _, entries = _classes(documents, words, percent, id_column, text_column)
+    return _every_link(docs, entries, words, percent)
+
+
+def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, class_id, n_links) for every row: n_links counts the other documents that the document links
+    with, those with the same set and those of all classes that link with its own; 0 where the set is empty."""
+    docs, signed, classes, entries = _classes(documents, words, percent, id_column, text_column)
+    links = _every_link(docs, entries, words, percent)
+    key = ["k1", "k2", "n"]
+    sizes = signed.where("n > 0").groupBy(*key).agg(F.countDistinct("doc_id").alias("same"))
+    sizes = durable(classes.select(*key, F.col("doc_id").alias("class_id")).join(sizes, key))
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.join(sizes.select(F.col("class_id").alias("v"), "same"), "v").groupBy(F.col("u").alias("class_id")).agg(F.sum("same").alias("near"))
+    found = signed.select("doc_id", *key).join(sizes.join(near, "class_id", "left"), key, "left")
+    n_links = F.coalesce(F.col("same") - 1 + F.coalesce("near", F.lit(0)), F.lit(0))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), n_links.alias("n_links"))
+
+
 def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for every row.
 
@@ -271,11 +321,7 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     smallest doc_id that links reach, where links are sets with 100 * intersection >= percent * union.
     """
     spark: SparkSession = documents.sparkSession
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    signed = durable(signatures(docs, frequent_shingles(docs, words), words, percent))
-    classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("r"))
-    classes = classes.select("k1", "k2", "n", "r.*")
-    entries = durable(classes.select("doc_id", "n", "prefix", "bits", F.xxhash64("n", "prefix").alias("gid")))
+    docs, signed, classes, entries = _classes(documents, words, percent, id_column, text_column)
     postings = durable(_postings(entries, percent))
     release(spark)
     rows = postings.count()
