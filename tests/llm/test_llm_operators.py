@@ -418,6 +418,24 @@ def test_repair_shrinks_and_restores():
         assert (block.document(k) == ids[first[k] : first[k + 1]]).all()
 
 
+@pytest.mark.parametrize("kind", ["phrases", "one id", "random"])
+def test_repair_goes_on_until_no_pair_is_frequent(kind):
+    rng = np.random.default_rng(2)
+    phrases = rng.integers(3, 49_000, (12, 40))
+    ids = {"phrases": phrases[rng.integers(0, 12, 500)].ravel(), "one id": np.full(20_000, 7), "random": rng.integers(3, 60, 20_000)}[kind].astype(np.uint32)
+    first = np.array([0, 1, 7000, 7000, len(ids)])
+    block = token_store.Block(token_store.write_block(np.arange(4), ids, first))
+    for k in range(4):
+        assert (block.document(k) == ids[first[k] : first[k + 1]]).all()
+    left = collections.Counter()
+    for a, b in zip(block.at[:-1], block.at[1:], strict=True):
+        own = block.symbols[a:b].tolist()
+        left.update(zip(own[:-1], own[1:], strict=True))
+    assert max(left.values(), default=0) < token_store.LEAST
+    if kind != "random":
+        assert block.length.max() >= 40
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 16))

@@ -2,8 +2,8 @@
 
 Documents go to shards by ranges of doc_id; a shard's file holds its documents in ascending order in blocks of BLOCK ids or
 little more.  Each block has a grammar of its own: rounds count the pairs of adjacent symbols, name the most frequent ones as
-nonterminals and replace them, until no pair is frequent enough or the names are used up.  Pairs never cross documents, so
-that a document is a run of symbols.  A block stores the rules, each rule's expansion length, the symbols, and for each
+nonterminals and replace them, until no pair is frequent enough.  Pairs never cross documents, so that a document is a run
+of symbols.  A block stores the rules, each rule's expansion length, the symbols, and for each
 document its id, the place of its first symbol and its number of ids: a document, or any range of it, is decoded from its own
 symbols alone by their expansion lengths.
 
@@ -32,8 +32,8 @@ from tidecast.llm.textscan import ranges
 from tidecast.llm.tokens import Encoder, batches
 
 BLOCK = 400_000
-#: Replacing rounds, names of a round, and how often a pair must occur to be named.
-ROUNDS, NAMES, LEAST = 3, 2048, 16
+#: Names of a round, and how often a pair must occur to be named.
+NAMES, LEAST = 2048, 16
 MAGIC, VOCABULARY = b"TGRM", 49_408
 _BINS = 18
 _encoders: dict[str, Encoder] = {}
@@ -55,8 +55,11 @@ def _frequent(symbols: np.ndarray, inner: np.ndarray, names: int, least: int) ->
     bins = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BINS)
     bins[~inner] = 1 << _BINS
     count = np.bincount(bins, minlength=(1 << _BINS) + 1)[:-1]
-    bound = max(least, int(np.partition(count, -names)[-names]))
-    top = np.flatnonzero(count >= bound)[: 2 * names]
+    top = np.flatnonzero(count >= least)
+    if len(top) > names:
+        top = top[count[top] >= np.partition(count[top], -names)[-names]][: 2 * names]
+    if not len(top):
+        return np.zeros((0, 2), np.uint32), top, top
     rank = np.full((1 << _BINS) + 1, -1, np.int32)
     rank[top] = np.arange(len(top))
     place = np.flatnonzero(rank[bins] >= 0)
@@ -67,13 +70,11 @@ def _frequent(symbols: np.ndarray, inner: np.ndarray, names: int, least: int) ->
     return rules, place[own], number[own]
 
 
-def compress(ids: np.ndarray, first: np.ndarray, rounds: int = ROUNDS, names: int = NAMES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: np.ndarray, names: int = NAMES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (two symbols each; rule k is symbol VOCABULARY + k), symbols, and the first symbol of each document."""
     symbols, at, rules = ids.astype(np.uint32), first.astype(np.int64), []
     made = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:  # every round but the last one takes a symbol away at least
         inner = np.ones(len(symbols) - 1, bool)
         inner[at[(at > 0) & (at < len(symbols))] - 1] = False
         found, place, number = _frequent(symbols, inner, names, least)
