@@ -1,11 +1,9 @@
-"""Suffix-array dedup over bytes by bucket-pointer refinement, as far as repeats of a fixed length need it.
-
-Suffixes start in buckets by their first Q bytes.  A bucket is refined by the bucket identifiers of later offsets: first by
-that of the whole stretch up to where the next bucket takes over, then, only within buckets that this splits, for each single
-offset up to the asked length.  Bucket identifiers are 64-bit hashes of the bytes that a bucket has in common, so that an
-update of one round is at hand for the next without ranks that would have to be gathered; buckets of one suffix leave.  Of
-all suffixes only those start a bucket whose Q bytes hash smallest among the starts that a window of the asked length holds:
-equal windows hold the same one.
+"""Dedup over bytes by anchors and hashes of windows, which finds what a suffix array would for repeats of a fixed length.
+
+No suffixes are sorted and no buckets refined in rounds.  Of the starts that a window of the asked length holds, the one whose
+Q bytes hash smallest is its anchor: equal windows have the same one.  There are two fixed levels: the whole stretches of
+windows that share an anchor are compared by their hash, then, only among stretches of one anchor that differ, the single
+windows by theirs.  repeats.repeated, which substring_dedup uses as well, does both.
 
 Defined cases: null and empty texts have no bytes; texts shorter than the length keep theirs; the first of several equal
 windows stays, by doc_id and then by its start; rows that repeat a doc_id are one document; other columns are ignored.
