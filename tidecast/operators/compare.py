@@ -49,3 +49,27 @@ def effects(by_target: DataFrame, metric: str = "rmse") -> DataFrame:
     a = by_target.select("target", F.col("model_id").alias("a"), F.col(metric).alias("_a"))
     b = by_target.select("target", F.col("model_id").alias("b"), F.col(metric).alias("_b"))
     return a.join(b, "target").where("a <> b").select("target", "a", "b", (200 * F.try_divide(F.col("_a") - F.col("_b"), F.col("_a") + F.col("_b"))).alias("effect"))
+
+
+def preferred_systems(ranked: DataFrame, preferred: list[str], most: int, key: str = "model_id", rank: str = "rank") -> DataFrame:
+    """(key, place): the preferred systems that are there, in their order, then the others by rank, most in all."""
+    wanted = F.array(*[F.lit(p) for p in preferred])
+    at = F.array_position(wanted, F.col(key))
+    place = F.row_number().over(W.orderBy(F.when(at > 0, at).otherwise(len(preferred) + 1), rank, key))
+    return ranked.select(key, place.alias("place")).where(F.col("place") <= most)
+
+
+def best_sheets(needs: DataFrame, sheets: DataFrame, key: str = "model_id") -> DataFrame:
+    """(key, sheet, train_rows): of the sheets that hold all columns a model needs and any training row, the one of most
+    training rows, the lowest number if equal; null where none does.  Sheets are few rows and are broadcast."""
+    fits = needs.join(F.broadcast(sheets), F.expr("size(array_except(needed, columns)) = 0 and train_rows > 0"), "left")
+    best = fits.groupBy(key).agg(F.max_by(F.struct("sheet", "train_rows"), F.struct("train_rows", -F.col("sheet"))).alias("b"))
+    return best.select(key, "b.sheet", "b.train_rows")
+
+
+def from_prediction_minus_actual(rows: DataFrame) -> DataFrame:
+    """Facts (model_id, target, ts, date, horizon, y_true, y_pred, error) of rows in the other convention: snapshots, targets by
+    their long names, errors as prediction less actual.  Rows whose error is not that difference make the query fail."""
+    wrong = F.abs(F.col("error") - (F.col("prediction") - F.col("actual"))) > 1e-6
+    error = F.when(wrong, F.raise_error(F.lit("errors are not prediction less actual")).cast("double")).otherwise(-F.col("error"))
+    return rows.select(F.col("snapshot").alias("model_id"), F.substring("target", 1, 1).alias("target"), F.col("timestamp").alias("ts"), F.col("origin").alias("date"), "horizon", F.col("actual").alias("y_true"), F.col("prediction").alias("y_pred"), error.alias("error"))

@@ -14,9 +14,17 @@ def pair_differences(losses: DataFrame, keys: list[str], value: str = "loss") ->
     return a.join(b, keys).where("model_a < model_b").select(*keys, "model_a", "model_b", (F.col("_a") - F.col("_b")).alias("d"))
 
 
-def t_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| > |t|) for whole degrees of freedom, by the finite trigonometric series (Abramowitz and Stegun 26.7.3-4)."""
-    theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
+def planned_differences(losses: DataFrame, contrasts: DataFrame, keys: list[str], value: str = "loss") -> DataFrame:
+    """(contrast, model_a, model_b, keys, d) for the planned contrasts alone, in the order that each states; contrasts are few
+    rows and are broadcast."""
+    a = losses.select(*keys, F.col("model_id").alias("model_a"), F.col(value).alias("_a"))
+    b = losses.select(*keys, F.col("model_id").alias("model_b"), F.col(value).alias("_b"))
+    met = a.join(F.broadcast(contrasts), "model_a").join(b, [*keys, "model_b"])
+    return met.select("contrast", "model_a", "model_b", *keys, (F.col("_a") - F.col("_b")).alias("d"))
+
+
+def _beyond(theta: Column, df: Column) -> Column:
+    """P(|T| > sqrt(df) tan theta) for whole degrees of freedom, by the finite trigonometric series (Abramowitz and Stegun 26.7.3-4)."""
     c2 = F.pow(F.cos(theta), 2)
 
     def series(first: Column, count: Column, up: int) -> Column:
@@ -34,6 +42,23 @@ def t_two_sided(t: Column, df: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.when(df % 2 == 1, odd).otherwise(even))
 
 
+def t_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| > |t|) for whole degrees of freedom."""
+    return _beyond(F.atan(F.abs(t) / F.sqrt(df.cast("double"))), df)
+
+
+def t_critical(df: Column, alpha: float = 0.05) -> Column:
+    """The t that |T| exceeds with probability alpha, by halving the angle's range until it is as narrow as a double can be."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["low"] + s["high"]) / 2
+        out = _beyond(middle, df) > alpha
+        return F.struct(F.when(out, middle).otherwise(s["low"]).alias("low"), F.when(out, s["high"]).otherwise(middle).alias("high"))
+
+    ends = F.struct(F.lit(0.0).alias("low"), F.lit(1.5707963267948966).alias("high"))
+    return F.sqrt(df.cast("double")) * F.tan(F.aggregate(F.sequence(F.lit(1), F.lit(55)), ends, halve, lambda s: s["low"]))
+
+
 def auto_lag(n: Column) -> Column:
     """floor(4 (n / 100)^(2/9)), between 0 and n - 2."""
     return F.greatest(F.lit(0), F.least(F.floor(4 * F.pow(n / F.lit(100.0), F.lit(2 / 9))), n - 2)).cast("int")
@@ -80,6 +105,22 @@ def holm(df: DataFrame, family: list[str], p: str = "p_value", out: str = "p_hol
     return step.withColumn(out, F.when(F.col(p).isNotNull(), running)).drop("_s")
 
 
+def with_bounds(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """tests with ci_low and ci_high of the mean difference; critical values are found once for each sample size."""
+    critical = tests.where("status = 'ok'").select("n").distinct().withColumn("t", t_critical(F.col("n") - 1, alpha))
+    half = F.col("t") * F.col("standard_error")
+    return tests.join(F.broadcast(critical), "n", "left").withColumns({"ci_low": F.col("mean_difference") - half, "ci_high": F.col("mean_difference") + half}).drop("t")
+
+
+def oriented(pairs: DataFrame, selected: str) -> DataFrame:
+    """Pairs with the selected model as selected minus comparator: differences, statistics and bounds change sign with the order."""
+    first = F.col("model_a") == selected
+    chosen = pairs.where(first | (F.col("model_b") == selected))
+    turned = {c: F.when(first, F.col(c)).otherwise(-F.col(c)) for c in ("mean_difference", "statistic")}
+    turned |= {"ci_low": F.when(first, F.col("ci_low")).otherwise(-F.col("ci_high")), "ci_high": F.when(first, F.col("ci_high")).otherwise(-F.col("ci_low"))}
+    return chosen.withColumns({"comparator": F.when(first, F.col("model_b")).otherwise(F.col("model_a")), **turned})
+
+
 def better_model(df: DataFrame, alpha: float = 0.05) -> DataFrame:
     """The model with the smaller loss, where the adjusted p value is below alpha."""
     chosen = F.when(F.col("mean_difference") < 0, F.col("model_a")).when(F.col("mean_difference") > 0, F.col("model_b"))

@@ -41,3 +41,23 @@ def observed_or_predicted(obs: DataFrame, predictions: DataFrame, cutoff: str, k
     both = obs.join(predictions, list(keys), "full")
     seen = F.col("ts") <= F.lit(cutoff).cast("timestamp_ntz")
     return both.select(*keys, F.when(seen, F.col("y")).otherwise(F.col("y_pred")).alias("value"), F.when(seen, "observed").otherwise("predicted").alias("source"))
+
+
+def rolling_recursive(values: DataFrame, widths: list[int], start: str, end: str) -> DataFrame:
+    """(target, ts, rmean_w, rstd_w, missing_w) for the hours from start to end: statistics over exactly the w hours before.
+
+    values are (target, ts, value), observed up to a cutoff and predicted after it; missing_w counts the hours of the window
+    that have no finite value.  Nothing is filled in: a caller for whom they must be there asks for missing_w = 0.
+    """
+    seen = F.when(~F.isnan("value") & (F.abs("value") < F.lit(float("inf"))), F.col("value"))
+    out = values.withColumn("_v", seen)
+    for w in widths:
+        frame = W.partitionBy("target").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-w * 3600, -3600)
+        out = out.withColumns({f"rmean_{w}": F.avg("_v").over(frame), f"rstd_{w}": F.stddev_samp("_v").over(frame), f"missing_{w}": F.lit(w) - F.count("_v").over(frame)})
+    span = (F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+    return out.where(span).select("target", "ts", *[f"{n}_{w}" for w in widths for n in ("rmean", "rstd", "missing")])
+
+
+def first_of_each_column(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left and right side by side on the key; of a column that both have, left's stays."""
+    return left.join(right.select(key, *[c for c in right.columns if c not in left.columns]), key)

@@ -57,3 +57,50 @@ def block_bootstrap_bounds(errors: DataFrame, keys: list[str], block: int = 24,
 
     schema = ", ".join(f"{k} string" for k in keys) + ", lower double, upper double"
     return errors.select(*keys, "ts", "error").groupBy(*keys).applyInPandas(bounds, schema)
+
+
+def two_lag_fits(obs: DataFrame, origins: DataFrame, lags: tuple[int, int] = (1, 24)) -> DataFrame:
+    """(origin, gap, target, n, a, b, c): y = a + b y[t - lags[0]] + c y[t - lags[1]], by least squares over all rows of the
+    days before origin - gap, for each row (origin, gap) of origins.
+
+    Sums of the centred values per day are accumulated, so that an origin reads one row of each target; values are shifted by
+    the target's mean first, which the slopes do not see and which keeps the sums' digits.
+    """
+    from pyspark.sql import Window as W
+
+    first, second = lags
+    rows = lag_features(obs, [first, second]).where(f"lag_{second} is not null")
+    mean = F.broadcast(obs.groupBy("target").agg(F.avg("y").alias("m")))
+    rows = rows.join(mean, "target").select("target", "m", F.to_date("ts").alias("date"), (F.col("y") - F.col("m")).alias("y"), (F.col(f"lag_{first}") - F.col("m")).alias("x"), (F.col(f"lag_{second}") - F.col("m")).alias("z"))
+    pairs = {"xx": ("x", "x"), "zz": ("z", "z"), "xz": ("x", "z"), "xy": ("x", "y"), "zy": ("z", "y")}
+    sums = {"n": F.count("*"), "sx": F.sum("x"), "sz": F.sum("z"), "sy": F.sum("y"), **{k: F.sum(F.col(p) * F.col(q)) for k, (p, q) in pairs.items()}}
+    daily = rows.groupBy("target", "m", "date").agg(*[v.alias(k) for k, v in sums.items()])
+    past = W.partitionBy("target").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    total = daily.select("target", "m", F.date_add("date", 1).alias("until"), *[F.sum(k).over(past).alias(k) for k in sums])
+    got = total.join(F.broadcast(origins.withColumn("until", F.expr("date_sub(origin, gap)"))), "until")
+    n = F.col("n")
+    centred = {k: F.col(k) / n - F.col(f"s{p}") / n * F.col(f"s{q}") / n for k, (p, q) in pairs.items()}
+    got = got.withColumns({f"c{k}": v for k, v in centred.items()})
+    room = F.col("cxx") * F.col("czz") - F.col("cxz") * F.col("cxz")
+    b = F.try_divide(F.col("cxy") * F.col("czz") - F.col("czy") * F.col("cxz"), room)
+    c = F.try_divide(F.col("czy") * F.col("cxx") - F.col("cxy") * F.col("cxz"), room)
+    got = got.withColumns({"b": b, "c": c})
+    a = (F.col("sy") - F.col("b") * F.col("sx") - F.col("c") * F.col("sz")) / n + F.col("m") * (1 - F.col("b") - F.col("c"))
+    return got.select("origin", "gap", "target", "n", a.alias("a"), "b", "c")
+
+
+def two_lag_recursion(obs: DataFrame, fits: DataFrame, steps: int, longest: int = 24) -> DataFrame:
+    """(origin, gap, target, horizon, y_pred): each fit's own recursion from the last values before its origin.
+
+    Each observation is sent to the one origin whose look-back holds it; a forecast is one fold over an array.
+    """
+    days = fits.select("origin").distinct()
+    sent = obs.withColumn("origin", F.date_add(F.to_date("ts"), 1)).join(F.broadcast(days), "origin")
+    history = sent.groupBy("origin", "target").agg(F.array_sort(F.collect_list(F.struct("ts", "y"))).alias("h")).select("origin", "target", F.slice("h.y", -longest, longest).alias("s"))
+    met = fits.join(history, ["origin", "target"])
+
+    def step(s: F.Column, _: F.Column) -> F.Column:
+        return F.concat(s, F.array(F.col("a") + F.col("b") * F.element_at(s, -1) + F.col("c") * F.element_at(s, -longest)))
+
+    done = met.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("s"), step))
+    return done.select("origin", "gap", "target", F.posexplode(F.slice("s", -steps, steps)).alias("k", "y_pred")).withColumn("horizon", F.col("k") + 1).drop("k")

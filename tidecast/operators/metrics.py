@@ -63,3 +63,29 @@ def regimes(facts: DataFrame, split: str) -> DataFrame:
     """Facts with their regime, before or from a day, and once more as `overall`."""
     regime = F.when(F.col("date") < F.lit(split).cast("date"), F.lit(f"before_{split}")).otherwise(F.lit(f"from_{split}"))
     return facts.withColumn("regime", F.explode(F.array(regime, F.lit("overall"))))
+
+
+def percentage_errors(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """The published variants of MAPE, SMAPE and WMAPE: a floor for small denominators, only rows above EPS, or EPS added."""
+    y, p, e = F.abs("y_true"), F.abs("y_pred"), F.abs("error")
+    both = y + p
+    shares = {
+        "mape_floor": e / F.greatest(y, F.lit(2.220446049250313e-16)),
+        "mape_rows": F.when(y > EPS, e / y),
+        "mape_plus": e / (y + EPS),
+        "smape_plus": 2 * e / (both + EPS),
+        "smape_rows": F.when(both > EPS, 2 * e / both),
+        "smape_floor": 2 * e / F.greatest(both, F.lit(EPS)),
+    }
+    totals = {"wmape": 100 * F.try_divide(F.sum(e), F.sum(y)), "wmape_plus": 100 * F.sum(e) / (F.sum(y) + EPS)}
+    return facts.groupBy(*keys).agg(*[(100 * F.avg(v)).alias(k) for k, v in shares.items()], *[v.alias(k) for k, v in totals.items()])
+
+
+def with_made_crps(losses: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """losses with crps filled from quantiles' pinball losses where a model has none stored, and crps_source."""
+    from tidecast.operators.probabilistic import crps_from_quantiles
+
+    key = ["model_id", "target", "ts"]
+    made = crps_from_quantiles(quantiles, key).withColumnRenamed("crps", "_made")
+    source = F.when(F.col("crps").isNotNull(), "stored").otherwise("made from quantiles")
+    return losses.join(made, key, "left").withColumn("crps_source", source).withColumn("crps", F.coalesce("crps", "_made")).drop("_made")

@@ -60,14 +60,41 @@ def members(splits: DataFrame, hours: DataFrame, ts: str = "ts") -> DataFrame:
     return met.groupBy("scheme", "train_start", "train_end", "test_start", "test_end").agg(F.sum(train.cast("long")).alias("n_train"), F.sum(test.cast("long")).alias("n_test"))
 
 
+def _spread(place: str, among: str, wanted: str) -> Column:
+    """Is the place one of `wanted` places spread evenly over `among` (rounded half to even)?"""
+    return F.expr(f"{wanted} > 0 and array_contains(transform(sequence(0, greatest({wanted}, 1) - 1), j -> cast(bround(j * ({among} - 1) / greatest({wanted} - 1, 1), 0) as int)), {place})")
+
+
 def pick(splits: DataFrame, most: int, strategy: str, order: str = "test_start") -> DataFrame:
-    """`all`, the `first`, or an `even` choice of most splits (positions rounded half to even)."""
+    """`all`, the `first`, an `even` or a `stratified` choice of most splits.
+
+    `stratified` gives each scheme an equal quota, the remainder to the schemes that sort first, spreads it over the scheme's
+    splits in time, and tops up, where a scheme has fewer, from the others in the order of their making.
+    """
     if strategy == "all":
         return splits
-    k = splits.withColumns({"_k": F.row_number().over(W.orderBy(order, "seq")) - 1, "_n": F.count("*").over(W.partitionBy())})
+    every = W.partitionBy()
+    k = splits.withColumns({"_k": F.row_number().over(W.orderBy(order, "seq")) - 1, "_n": F.count("*").over(every).cast("int")})
     if strategy == "first":
         return k.where(F.col("_k") < most).drop("_k", "_n")
-    if strategy != "even":
+    if strategy == "even":
+        return k.where((F.col("_n") <= most) | _spread("_k", "_n", str(most))).drop("_k", "_n")
+    if strategy != "stratified":
         raise ValueError(f"no such strategy: {strategy}")
-    place = F.expr(f"transform(sequence(0, {most} - 1), i -> cast(bround(i * (_n - 1) / {max(most - 1, 1)}, 0) as int))")
-    return k.where((F.col("_n") <= most) | F.array_contains(place, F.col("_k"))).drop("_k", "_n")
+    k = k.withColumns({"_g": F.dense_rank().over(W.orderBy("scheme")) - 1, "_s": F.row_number().over(W.partitionBy("scheme").orderBy(order, "seq")) - 1, "_m": F.count("*").over(W.partitionBy("scheme")).cast("int")})
+    k = k.withColumn("_groups", F.max("_g").over(every) + 1)
+    k = k.withColumn("_quota", F.expr(f"least(_m, cast({most} div _groups as int) + if(_g < {most} % _groups, 1, 0))"))
+    k = k.withColumn("_in", _spread("_s", "_m", "_quota"))
+    k = k.withColumn("_need", F.lit(most) - F.sum(F.col("_in").cast("int")).over(every).cast("int"))
+    k = k.withColumns({"_r": F.row_number().over(W.partitionBy("_in").orderBy("seq")) - 1, "_left": F.count("*").over(W.partitionBy("_in")).cast("int")})
+    k = k.withColumn("_take", F.least("_need", "_left"))
+    chosen = (F.col("_n") <= most) | F.col("_in") | _spread("_r", "_left", "_take")
+    return k.where(chosen).drop("_k", "_n", "_g", "_s", "_m", "_groups", "_quota", "_in", "_need", "_r", "_left", "_take")
+
+
+def refit_bounds(splits: DataFrame) -> DataFrame:
+    """(policy, fit_start, fit_end) of the final refit under each policy, from one aggregate over the splits."""
+    got = splits.agg(F.min("train_start").alias("start"), F.max("train_end").alias("train"), F.max("test_end").alias("test"), F.max(F.struct("train_end", F.expr("-unix_timestamp(cast(train_start as timestamp))").alias("s"), "train_start")).alias("last"))
+    year_end = F.expr("make_timestamp_ntz(year(test), 12, 31, 23, 0, 0)")
+    rows = [("through_split_year_end", F.col("start"), year_end), ("through_last_test_end", F.col("start"), F.col("test")), ("through_last_train_end", F.col("start"), F.col("train")), ("last_train_window", F.col("last.train_start"), F.col("train"))]
+    return got.select(F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), a.alias("fit_start"), b.alias("fit_end")) for p, a, b in rows])).alias("r")).select("r.*")
