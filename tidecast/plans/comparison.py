@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from tidecast.operators import compare, dm, metrics
 from tidecast.plans.base import facts, hourly, r, sql, stamp
-from tidecast.plans.evaluation import POINT, crps_rows, rounded
+from tidecast.plans.evaluation import _CRPS, _QL, POINT, crps_rows, predictive_rows, rounded
 from tidecast.plans.registry import query
 from tidecast.sources import tables
 
-_DAILY = " , dl AS (SELECT model_id, target, date, avg(error * error) AS se, avg(abs(error)) AS ae FROM facts GROUP BY 1, 2, 3), ll AS (SELECT model_id, target, date, 'SE' AS loss, se AS v FROM dl UNION ALL SELECT model_id, target, date, 'AE', ae FROM dl)"
+#: The four losses of each hour, and of each day.
+_LOSSES = _CRPS + _QL + """, pb AS (SELECT model_id, target, ts, avg(pinball) AS pb FROM ql GROUP BY 1, 2, 3),
+hl AS (SELECT f.model_id, f.target, f.date, f.horizon, f.ts, f.error * f.error AS se, abs(f.error) AS ae, crps, pb FROM facts f JOIN cr USING (model_id, target, ts) JOIN pb USING (model_id, target, ts))"""
+_DAILY = _LOSSES + """, dl AS (SELECT model_id, target, date, round(avg(se), 8) AS se, round(avg(ae), 8) AS ae, round(avg(crps), 8) AS crps, round(avg(pb), 8) AS pb FROM hl GROUP BY 1, 2, 3),
+ll AS (SELECT model_id, target, date, 'SE' AS loss, se AS v FROM dl UNION ALL SELECT model_id, target, date, 'AE', ae FROM dl UNION ALL SELECT model_id, target, date, 'CRPS', crps FROM dl UNION ALL SELECT model_id, target, date, 'PB', pb FROM dl)"""
 #: Series, autocovariances up to the lag, statistic and status; {lag} is the lag.
 _DM = """, pr AS (SELECT a.target, a.loss, a.date, a.model_id AS model_a, b.model_id AS model_b, a.v - b.v AS d FROM ll a JOIN ll b ON a.target = b.target AND a.loss = b.loss AND a.date = b.date AND a.model_id < b.model_id),
 ce AS (SELECT *, d - avg(d) OVER w AS c, row_number() OVER (PARTITION BY target, loss, model_a, model_b ORDER BY date) AS i FROM pr WINDOW w AS (PARTITION BY target, loss, model_a, model_b)),
@@ -21,17 +25,38 @@ va AS (SELECT st.*, (g0 + coalesce((SELECT sum(2 * (1 - l / (hac_lag + 1.0)) * s
 dmt AS (SELECT *, CASE WHEN n < 5 THEN 'insufficient sample' WHEN spread <= 1e-12 THEN 'identical losses' WHEN variance <= 1e-15 THEN 'invalid HAC variance' ELSE 'ok' END AS status FROM va),
 dms AS (SELECT *, CASE WHEN status = 'ok' THEN sqrt(variance) / sqrt((n - 1.0) / n) END AS se FROM dmt),
 dmz AS (SELECT *, mean_difference / se AS statistic, atan(abs(mean_difference / se) / sqrt(n - 1.0)) AS theta FROM dms)"""
-#: The two-sided p value for ten degrees of freedom (eleven days): sin(theta) times a series in cos(theta) squared.
-_P = """, dmp AS (SELECT *, CASE WHEN status = 'identical losses' THEN 1.0 WHEN status = 'ok' THEN greatest(0, 1 - sin(theta) * (1 + c2 / 2 + 3 * c2 * c2 / 8 + 15 * c2 * c2 * c2 / 48 + 105 * c2 * c2 * c2 * c2 / 384)) END AS p_value FROM (SELECT *, cos(theta) * cos(theta) AS c2 FROM dmz)),
+
+
+def beyond(theta: str, n: str) -> str:
+    """SQL for P(|T| > sqrt(n - 1) tan theta) with n - 1 degrees of freedom: the finite series, by gamma functions."""
+    even = f"sin({theta}) * list_sum(list_transform(range(0, CAST(({n} - 1) // 2 AS BIGINT)), lambda k: gamma(k + 0.5) / (gamma(k + 1) * sqrt(pi())) * pow(cos({theta}), 2 * k)))"
+    odd = f"2 / pi() * ({theta} + sin({theta}) * cos({theta}) * coalesce(list_sum(list_transform(range(0, CAST(({n} - 2) // 2 AS BIGINT)), lambda k: sqrt(pi()) / 2 * gamma(k + 1) / gamma(k + 1.5) * pow(cos({theta}), 2 * k))), 0))"
+    return f"greatest(0, 1 - CASE WHEN ({n} - 1) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+_P = f""", dmp AS (SELECT *, CASE WHEN status = 'identical losses' THEN 1.0 WHEN status = 'ok' THEN {beyond('theta', 'n')} END AS p_value FROM dmz),
 hk AS (SELECT *, row_number() OVER (PARTITION BY target, loss ORDER BY p_value, model_a, model_b) AS k, count(p_value) OVER (PARTITION BY target, loss) AS m FROM dmp),
 ho AS (SELECT *, max(least(1, (m - k + 1) * p_value)) OVER (PARTITION BY target, loss ORDER BY k) AS p_holm FROM hk),
 pairs AS (SELECT *, CASE WHEN p_holm < 0.05 THEN CASE WHEN mean_difference < 0 THEN model_a WHEN mean_difference > 0 THEN model_b END END AS better_model FROM ho)"""
+#: Critical values by halving, one for each sample size; a query that uses it begins WITH RECURSIVE.
+_BOUNDS = f""", tq AS (SELECT DISTINCT n, 0.0::DOUBLE AS low, pi() / 2 AS high, 0 AS i FROM dmp WHERE status = 'ok' UNION ALL SELECT n, CASE WHEN p > 0.05 THEN middle ELSE low END, CASE WHEN p > 0.05 THEN high ELSE middle END, i + 1 FROM (SELECT *, {beyond('middle', 'n')} AS p FROM (SELECT *, (low + high) / 2 AS middle FROM tq WHERE i < 55))),
+tc AS (SELECT n, sqrt(n - 1.0) * tan(low) AS t FROM tq WHERE i = 55), dmb AS (SELECT pairs.*, mean_difference - t * se AS ci_low, mean_difference + t * se AS ci_high FROM pairs LEFT JOIN tc USING (n))"""
 _AUTO = "CAST(floor(4 * pow(count(*) / 100.0, 2 / 9.0)) AS INT)"
 
 
+def hourly_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """(model_id, target, date, horizon, ts, se, ae, crps, pb): the four losses of each forecast hour."""
+    key = ["model_id", "target", "ts"]
+    pb = predictive_rows(spark, sf)[0].groupBy(*key).agg(F.avg("pinball").alias("pb"))
+    e = F.col("error")
+    points = facts(spark, sf).select(*key, "date", "horizon", (e * e).alias("se"), F.abs(e).alias("ae"))
+    return points.join(crps_rows(spark, sf).select(*key, "crps"), key).join(pb, key)
+
+
 def daily_long(spark: SparkSession, sf: str) -> DataFrame:
-    daily = metrics.daily_losses(facts(spark, sf))
-    return daily.select("model_id", "target", "date", F.expr("stack(2, 'SE', se, 'AE', ae) as (loss, v)"))
+    """(model_id, target, date, loss, v); rounded, so that equal forecasts have equal losses whatever order they are summed in."""
+    daily = hourly_losses(spark, sf).groupBy("model_id", "target", "date").agg(*[F.round(F.avg(c), 8).alias(c) for c in ("se", "ae", "crps", "pb")])
+    return daily.select("model_id", "target", "date", F.expr("stack(4, 'SE', se, 'AE', ae, 'CRPS', crps, 'PB', pb) as (loss, v)"))
 
 
 def pair_tests(spark: SparkSession, sf: str, lag: int | None = None) -> DataFrame:
@@ -40,29 +65,29 @@ def pair_tests(spark: SparkSession, sf: str, lag: int | None = None) -> DataFram
     return dm.better_model(dm.holm(tests, ["target", "loss"], ties=["model_a", "model_b"]))
 
 
-@query("J06_daily_pairs", sql(_DAILY + _DM.format(lag=3) + " SELECT target, loss, strftime(date, '%Y-%m-%d') AS date, model_a, model_b, round(d, 6) AS d FROM pr"))
+@query("J06_daily_pairs", sql(_DAILY + _DM.format(lag=3) + " SELECT target, loss, strftime(date, '%Y-%m-%d') AS date, model_a, model_b, round(d, 3) AS d FROM pr"))
 def daily_pairs(spark: SparkSession, sf: str) -> DataFrame:
     out = dm.pair_differences(daily_long(spark, sf), ["target", "loss", "date"], "v")
-    return out.select("target", "loss", F.date_format("date", "yyyy-MM-dd").alias("date"), "model_a", "model_b", r("d").alias("d"))
+    return out.select("target", "loss", F.date_format("date", "yyyy-MM-dd").alias("date"), "model_a", "model_b", r("d", 3).alias("d"))
 
 
-@query("J07_horizon_pairs", sql(" , h AS (SELECT model_id, target, date, horizon, error * error AS v FROM facts WHERE model_id IN ('naive24', 'mean24', 'hourmean7d')) SELECT a.target, CAST(a.horizon AS INT) AS horizon, a.model_id AS model_a, b.model_id AS model_b, count(*) AS n, round(avg(a.v - b.v), 6) AS d FROM h a JOIN h b ON a.target = b.target AND a.date = b.date AND a.horizon = b.horizon AND a.model_id < b.model_id GROUP BY 1, 2, 3, 4"))
+@query("J07_horizon_pairs", sql(" , h AS (SELECT model_id, target, date, horizon, error * error AS v FROM facts) SELECT a.target, CAST(a.horizon AS INT) AS horizon, a.model_id AS model_a, b.model_id AS model_b, count(*) AS n, round(avg(a.v - b.v), 3) AS d FROM h a JOIN h b ON a.target = b.target AND a.date = b.date AND a.horizon = b.horizon AND a.model_id < b.model_id GROUP BY 1, 2, 3, 4"))
 def horizon_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = facts(spark, sf).where("model_id in ('naive24', 'mean24', 'hourmean7d')").withColumn("v", F.col("error") * F.col("error"))
+    rows = facts(spark, sf).withColumn("v", F.col("error") * F.col("error"))
     out = dm.pair_differences(rows, ["target", "date", "horizon"], "v").groupBy("target", "horizon", "model_a", "model_b")
-    return out.agg(F.count("*").alias("n"), r(F.avg("d")).alias("d"))
+    return out.agg(F.count("*").alias("n"), r(F.avg("d"), 3).alias("d"))
 
 
-@query("Q23_dm_daily_auto_lag", sql(_DAILY + _DM.format(lag=_AUTO) + " SELECT target, loss, model_a, model_b, n, CAST(hac_lag AS INT) AS hac_lag, round(mean_difference, 6) AS mean_difference, round(statistic, 6) AS statistic, status FROM dmz"))
+@query("Q23_dm_daily_auto_lag", sql(_DAILY + _DM.format(lag=_AUTO) + " SELECT target, loss, model_a, model_b, n, CAST(hac_lag AS INT) AS hac_lag, round(mean_difference, 3) AS mean_difference, round(statistic, 6) AS statistic, status FROM dmz"))
 def dm_daily_auto_lag(spark: SparkSession, sf: str) -> DataFrame:
     out = pair_tests(spark, sf)
-    return out.select("target", "loss", "model_a", "model_b", "n", "hac_lag", r("mean_difference").alias("mean_difference"), r("statistic").alias("statistic"), "status")
+    return out.select("target", "loss", "model_a", "model_b", "n", "hac_lag", r("mean_difference", 3).alias("mean_difference"), r("statistic").alias("statistic"), "status")
 
 
-@query("Q24_dm_fixed_lag", sql(_DAILY + _DM.format(lag=3) + _P + " SELECT target, loss, model_a, model_b, round(statistic, 6) AS statistic, round(se, 6) AS standard_error, round(p_value, 6) AS p_value, status FROM dmp"))
+@query("Q24_dm_fixed_lag", sql(_DAILY + _DM.format(lag=3) + _P + " SELECT target, loss, model_a, model_b, round(statistic, 6) AS statistic, round(se, 3) AS standard_error, round(p_value, 6) AS p_value, status FROM dmp"))
 def dm_fixed_lag(spark: SparkSession, sf: str) -> DataFrame:
     out = pair_tests(spark, sf, 3)
-    return out.select("target", "loss", "model_a", "model_b", r("statistic").alias("statistic"), r("standard_error").alias("standard_error"), r("p_value").alias("p_value"), "status")
+    return out.select("target", "loss", "model_a", "model_b", r("statistic").alias("statistic"), r("standard_error", 3).alias("standard_error"), r("p_value").alias("p_value"), "status")
 
 
 @query("Q25_dm_holm", sql(_DAILY + _DM.format(lag=_AUTO) + _P + " SELECT target, loss, model_a, model_b, round(p_value, 6) AS p_value, round(p_holm, 6) AS p_holm, better_model FROM pairs"))
@@ -75,20 +100,25 @@ def league(spark: SparkSession, sf: str) -> DataFrame:
     return dm.league(pair_tests(spark, sf), ["target", "loss"])
 
 
-@query("Q27_dm_matrix", sql(_DAILY + _DM.format(lag=_AUTO) + _P + " SELECT target, loss, model_a AS \"row\", model_b AS col, round(mean_difference, 6) AS value FROM pairs UNION ALL SELECT target, loss, model_b, model_a, round(-mean_difference, 6) FROM pairs UNION ALL SELECT DISTINCT target, loss, m, m, round(0.0, 6) FROM (SELECT target, loss, unnest([model_a, model_b]) AS m FROM pairs)"))
+@query("Q27_dm_matrix", sql(_DAILY + _DM.format(lag=_AUTO) + _P + " SELECT target, loss, model_a AS \"row\", model_b AS col, round(mean_difference, 3) AS value FROM pairs UNION ALL SELECT target, loss, model_b, model_a, round(-mean_difference, 3) FROM pairs UNION ALL SELECT DISTINCT target, loss, m, m, round(0.0, 3) FROM (SELECT target, loss, unnest([model_a, model_b]) AS m FROM pairs)"))
 def dm_matrix(spark: SparkSession, sf: str) -> DataFrame:
     cells = dm.matrix_cells(pair_tests(spark, sf), ["target", "loss"], "mean_difference", True, 0.0)
-    return cells.select("target", "loss", "row", "col", r("value").alias("value"))
+    return cells.select("target", "loss", "row", "col", r("value", 3).alias("value"))
 
 
-@query("Q28_selected_contrasts", sql(_DAILY + _DM.format(lag=_AUTO) + " SELECT target, loss, CASE WHEN model_a = 'hourmean7d' THEN model_b ELSE model_a END AS comparator, round(CASE WHEN model_a = 'hourmean7d' THEN mean_difference ELSE -mean_difference END, 6) AS difference FROM dmz WHERE 'hourmean7d' IN (model_a, model_b)"))
-def selected_contrasts(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = pair_tests(spark, sf).where("'hourmean7d' in (model_a, model_b)")
-    first = F.col("model_a") == "hourmean7d"
-    return pairs.select("target", "loss", F.when(first, F.col("model_b")).otherwise(F.col("model_a")).alias("comparator"), r(F.when(first, F.col("mean_difference")).otherwise(-F.col("mean_difference"))).alias("difference"))
+_SELECTED = "CASE WHEN model_a = 'hourmean7d' THEN {a} ELSE {b} END"
+
+
+@query("Q25_dm_bounds", sql(_DAILY + _DM.format(lag=_AUTO) + _P + _BOUNDS + " SELECT target, loss, model_a, model_b, n, status, round(ci_low, 3) AS ci_low, round(ci_high, 3) AS ci_high FROM dmb").replace("WITH ", "WITH RECURSIVE ", 1))
+def dm_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    out = dm.with_bounds(pair_tests(spark, sf))
+    return out.select("target", "loss", "model_a", "model_b", "n", "status", r("ci_low", 3).alias("ci_low"), r("ci_high", 3).alias("ci_high"))
 
 
-_HOURLY_DM = _DM.replace("{lag}", "23").replace("y.i - x.i <= 10", "y.i - x.i <= 23").replace("sqrt((n - 1.0) / n)", "1.0")
+@query("Q28_selected_contrasts", sql(_DAILY + _DM.format(lag=_AUTO) + _P + _BOUNDS + " SELECT target, loss, " + _SELECTED.format(a="model_b", b="model_a") + " AS comparator, " + ", ".join(f"round({_SELECTED.format(a=a, b=b)}, {places}) AS {name}" for a, b, name, places in (("mean_difference", "-mean_difference", "difference", 3), ("statistic", "-statistic", "statistic", 6), ("ci_low", "-ci_high", "ci_low", 3), ("ci_high", "-ci_low", "ci_high", 3))) + " FROM dmb WHERE 'hourmean7d' IN (model_a, model_b)").replace("WITH ", "WITH RECURSIVE ", 1))
+def selected_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    out = dm.oriented(dm.with_bounds(pair_tests(spark, sf)), "hourmean7d")
+    return out.select("target", "loss", "comparator", r("mean_difference", 3).alias("difference"), r("statistic").alias("statistic"), r("ci_low", 3).alias("ci_low"), r("ci_high", 3).alias("ci_high"))
 
 
 @query("W12_autocovariances", sql(""" , x AS (SELECT target, ts, y - avg(y) OVER (PARTITION BY target) AS c, row_number() OVER (PARTITION BY target ORDER BY ts) AS i, count(*) OVER (PARTITION BY target) AS n FROM obs)
@@ -141,11 +171,11 @@ def effects(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(compare.effects(by_target(spark, sf)), ["target", "a", "b"], ["effect"])
 
 
-_SIGN = " , sg AS (SELECT model_id, target, sha256(string_agg(x, ';' ORDER BY x)) AS signature FROM (SELECT model_id, target, strftime(ts, '%Y-%m-%d %H:%M') || '|' || CAST(CAST(round(y_true, 6) AS DECIMAL(20,6)) AS VARCHAR) || '|' || CAST(CAST(round(y_pred, 6) AS DECIMAL(20,6)) AS VARCHAR) AS x FROM facts WHERE model_id IN ('naive24', 'naive168', 'dup_naive24')) GROUP BY 1, 2)"
+_SIGN = " , sg AS (SELECT model_id, target, sha256(string_agg(x, ';' ORDER BY x)) AS signature FROM (SELECT model_id, target, strftime(ts, '%Y-%m-%d %H:%M') || '|' || CAST(CAST(round(y_true, 6) AS DECIMAL(20,6)) AS VARCHAR) || '|' || CAST(CAST(round(y_pred, 6) AS DECIMAL(20,6)) AS VARCHAR) AS x FROM facts) GROUP BY 1, 2)"
 
 
 def signed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = facts(spark, sf).where("model_id in ('naive24', 'naive168', 'dup_naive24')").withColumns({"y_true": r("y_true"), "y_pred": r("y_pred")})
+    rows = facts(spark, sf).withColumns({"y_true": r("y_true"), "y_pred": r("y_pred")})
     return compare.signatures(rows, ["model_id", "target"])
 
 
@@ -179,10 +209,7 @@ def retained_systems(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf).join(keep, "model_id", "left_semi").groupBy("model_id").agg(F.count("*").alias("n"))
 
 
-_DAILY_CRPS = " , me AS (SELECT f.model_id, f.target, f.date, f.ts, f.y_true, f.y_pred + c.error AS x, row_number() OVER (PARTITION BY f.model_id, f.target, f.ts ORDER BY f.y_pred + c.error) AS k, count(*) OVER (PARTITION BY f.model_id, f.target, f.ts) AS n FROM facts f JOIN cal c USING (model_id, target, horizon)), cr AS (SELECT model_id, target, ts, date, avg(abs(x - y_true)) - sum((2 * k - n - 1) * x) / (max(n) * max(n)) AS crps FROM me GROUP BY 1, 2, 3, 4)"
-
-
-@query("A18_daily_crps", sql(_DAILY_CRPS + " SELECT model_id, target, strftime(date, '%Y-%m-%d') AS date, round(avg(crps), 6) AS crps FROM cr GROUP BY model_id, target, date"))
+@query("A18_daily_crps", sql(_CRPS + " SELECT model_id, target, strftime(date, '%Y-%m-%d') AS date, round(avg(crps), 6) AS crps FROM cr GROUP BY model_id, target, date"))
 def daily_crps(spark: SparkSession, sf: str) -> DataFrame:
     out = crps_rows(spark, sf).groupBy("model_id", "target", "date").agg(F.avg("crps").alias("crps"))
     return out.select("model_id", "target", F.date_format("date", "yyyy-MM-dd").alias("date"), r("crps").alias("crps"))

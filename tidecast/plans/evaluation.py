@@ -88,9 +88,9 @@ def tuner_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, ["model_id", "target", "n"], ["r2", "mase", "mape_all", "smape_eps", "wmape_eps"])
 
 
-@query("A03_roll_ups", sql(" SELECT model_id, target, CASE WHEN grouping(date) = 0 THEN 'date' WHEN grouping(horizon) = 0 THEN 'horizon' ELSE 'overall' END AS level, strftime(date, '%Y-%m-%d') AS date, CAST(horizon AS INT) AS horizon, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(abs(error)), 6) AS mae FROM facts GROUP BY GROUPING SETS ((model_id, target), (model_id, target, date), (model_id, target, horizon))"))
+@query("A03_roll_ups", sql(" SELECT model_id, target, CASE WHEN grouping(date) = 0 THEN 'date' WHEN grouping(horizon) = 0 THEN 'horizon' ELSE 'overall' END AS level, strftime(date, '%Y-%m-%d') AS date, CAST(horizon AS INT) AS horizon, " + POINTS + " FROM facts GROUP BY GROUPING SETS ((model_id, target), (model_id, target, date), (model_id, target, horizon))"))
 def roll_ups(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.roll_ups(facts(spark, sf), ["rmse", "mae"]), ["model_id", "target", "level", day(), "horizon"], ["rmse", "mae"])
+    return rounded(metrics.roll_ups(facts(spark, sf), NAMES), ["model_id", "target", "level", day(), "horizon"], NAMES)
 
 
 @query("A27_horizon_rmse", sql(" SELECT target, CAST(horizon AS INT) AS horizon, round(sqrt(avg(error * error)), 6) AS rmse FROM facts WHERE model_id = 'hourmean7d' GROUP BY 1, 2"))
@@ -98,11 +98,6 @@ def horizon_rmse(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.summarise(facts(spark, sf).where("model_id = 'hourmean7d'"), ["target", "horizon"], ["rmse"]), ["target", "horizon"], ["rmse"])
 
 
-@query("A05_daily_losses", sql(f" SELECT model_id, target, {D}, round(avg(error * error), 6) AS se, round(avg(abs(error)), 6) AS ae, {', '.join(f'round({POINT[k]}, 6) AS {k}' for k in ('rmse', 'mae', 'wmape', 'bias'))} FROM facts GROUP BY model_id, target, date"))
-def daily_losses(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.daily_losses(facts(spark, sf)), ["model_id", "target", day()], ["se", "ae", "rmse", "mae", "wmape", "bias"])
-
-
 @query("P10_regimes", sql(f" , g AS (SELECT *, CASE WHEN date < DATE '2024-01-25' THEN 'before_2024-01-25' ELSE 'from_2024-01-25' END AS regime FROM facts UNION ALL SELECT *, 'overall' FROM facts) SELECT model_id, target, regime, count(*) AS n, {POINTS} FROM g GROUP BY 1, 2, 3"))
 def regimes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.summarise(metrics.regimes(facts(spark, sf), "2024-01-25"), ["model_id", "target", "regime"]), ["model_id", "target", "regime", "n"], NAMES)
@@ -149,7 +144,7 @@ b AS (SELECT model_id, target, horizon, c AS coverage, max(CASE WHEN k = least(n
 iv AS (SELECT f.model_id, f.target, f.ts, f.date, f.horizon, f.y_true, b.coverage, y_pred + lo AS lower, y_pred + hi AS upper FROM facts f JOIN b USING (model_id, target, horizon))"""
 
 
-def _predictive(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def predictive_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return probabilistic.predictive(facts(spark, sf), facts(spark, sf, CALIBRATION), probabilistic.TAUS, [0.8, 0.95])
 
 
@@ -165,45 +160,45 @@ def conformal_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("Q14_quantile_forecasts", sql(_QL + f" SELECT model_id, target, {S.format('ts')} AS ts, CAST(tau AS DOUBLE) AS tau, round(q, 6) AS q, round(pinball, 6) AS pinball FROM ql"))
 def quantile_forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_predictive(spark, sf)[0], ["model_id", "target", stamp("ts").alias("ts"), "tau"], ["q", "pinball"])
+    return rounded(predictive_rows(spark, sf)[0], ["model_id", "target", stamp("ts").alias("ts"), "tau"], ["q", "pinball"])
 
 
 @query("Q14_intervals", sql(_IV + f" SELECT model_id, target, {S.format('ts')} AS ts, coverage, CAST(y_true BETWEEN lower AND upper AS INT) AS covered, round(upper - lower, 6) AS width, round(upper - lower + 2 / (1 - coverage) * (greatest(lower - y_true, 0) + greatest(y_true - upper, 0)), 6) AS score FROM iv"))
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_predictive(spark, sf)[1], ["model_id", "target", stamp("ts").alias("ts"), "coverage", "covered"], ["width", "score"])
+    return rounded(predictive_rows(spark, sf)[1], ["model_id", "target", stamp("ts").alias("ts"), "coverage", "covered"], ["width", "score"])
 
 
 @query("A06_interval_summary", sql(_IV + " SELECT model_id, target, coverage, count(*) AS n, round(avg(CASE WHEN y_true BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END), 6) AS empirical, round(avg(CASE WHEN y_true BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END) - coverage, 6) AS gap, round(avg(upper - lower), 6) AS width FROM iv GROUP BY 1, 2, 3"))
 def interval_summary(spark: SparkSession, sf: str) -> DataFrame:
-    got = _predictive(spark, sf)[1].groupBy("model_id", "target", "coverage").agg(F.count("*").alias("n"), F.avg("covered").alias("empirical"), F.avg("width").alias("width"))
+    got = predictive_rows(spark, sf)[1].groupBy("model_id", "target", "coverage").agg(F.count("*").alias("n"), F.avg("covered").alias("empirical"), F.avg("width").alias("width"))
     return rounded(got.withColumn("gap", F.col("empirical") - F.col("coverage")), ["model_id", "target", "coverage", "n"], ["empirical", "gap", "width"])
 
 
 @query("Q15_mean_pinball", sql(_QL + " SELECT model_id, target, round(avg(pinball), 6) AS pinball FROM ql GROUP BY 1, 2"))
 def mean_pinball(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_predictive(spark, sf)[0].groupBy("model_id", "target").agg(F.avg("pinball").alias("pinball")), ["model_id", "target"], ["pinball"])
+    return rounded(predictive_rows(spark, sf)[0].groupBy("model_id", "target").agg(F.avg("pinball").alias("pinball")), ["model_id", "target"], ["pinball"])
 
 
 @query("Q13_pinball_by_level", sql(_QL + " SELECT target, CAST(tau AS DOUBLE) AS tau, round(avg(pinball), 6) AS pinball FROM ql WHERE model_id = 'hourmean7d' GROUP BY 1, 2"))
 def pinball_by_level(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _predictive(spark, sf)[0].where("model_id = 'hourmean7d'")
+    rows = predictive_rows(spark, sf)[0].where("model_id = 'hourmean7d'")
     return rounded(rows.groupBy("target", "tau").agg(F.avg("pinball").alias("pinball")), ["target", "tau"], ["pinball"])
 
 
 @query("Q16_crps_from_quantiles", sql(_QL + f", z AS (SELECT *, (tau - lag(tau) OVER w) * (pinball + lag(pinball) OVER w) / 2 AS a FROM ql WINDOW w AS (PARTITION BY model_id, target, ts ORDER BY tau)) SELECT model_id, target, {S.format('ts')} AS ts, round(2 * sum(a), 6) AS crps FROM z GROUP BY model_id, target, ts"))
 def crps_from_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    out = probabilistic.crps_from_quantiles(_predictive(spark, sf)[0], ["model_id", "target", "ts"])
+    out = probabilistic.crps_from_quantiles(predictive_rows(spark, sf)[0], ["model_id", "target", "ts"])
     return rounded(out, ["model_id", "target", stamp("ts").alias("ts")], ["crps"])
 
 
 @query("F13_quantile_crossings", sql(_QL + " , z AS (SELECT model_id, target, ts, max(CASE WHEN d < -1e-10 THEN 1 ELSE 0 END) AS bad FROM (SELECT *, q - lag(q) OVER (PARTITION BY model_id, target, ts ORDER BY tau) AS d FROM ql) GROUP BY 1, 2, 3) SELECT model_id, target, CAST(sum(bad) AS BIGINT) AS crossings FROM z GROUP BY 1, 2"))
 def quantile_crossings(spark: SparkSession, sf: str) -> DataFrame:
-    return probabilistic.quantile_crossings(_predictive(spark, sf)[0], ["model_id", "target", "ts"])
+    return probabilistic.quantile_crossings(predictive_rows(spark, sf)[0], ["model_id", "target", "ts"])
 
 
 @query("F14_interval_inversions", sql(_IV + " SELECT model_id, target, coverage, CAST(sum(CASE WHEN lower > upper THEN 1 ELSE 0 END) AS BIGINT) AS inversions FROM iv GROUP BY 1, 2, 3"))
 def interval_inversions(spark: SparkSession, sf: str) -> DataFrame:
-    return _predictive(spark, sf)[1].groupBy("model_id", "target", "coverage").agg(F.sum((F.col("lower") > F.col("upper")).cast("long")).alias("inversions"))
+    return predictive_rows(spark, sf)[1].groupBy("model_id", "target", "coverage").agg(F.sum((F.col("lower") > F.col("upper")).cast("long")).alias("inversions"))
 
 
 _CRPS = """ , me AS (SELECT f.model_id, f.target, f.ts, f.date, f.y_true, f.y_pred + c.error AS x, row_number() OVER (PARTITION BY f.model_id, f.target, f.ts ORDER BY f.y_pred + c.error) AS k, count(*) OVER (PARTITION BY f.model_id, f.target, f.ts) AS n FROM facts f JOIN cal c USING (model_id, target, horizon)),
@@ -253,10 +248,9 @@ def horizon_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf).select("model_id", "target", stamp("ts").alias("ts"), number.alias("horizon"))
 
 
-@query("F15_common_stamps", sql(f" , some_facts AS (SELECT * FROM facts WHERE NOT (model_id = 'mean24' AND hour(ts) = 3) AND NOT (model_id = 'naive168' AND target = 'Q' AND isodow(date) = 2)) SELECT target, {S.format('ts')} AS ts FROM some_facts GROUP BY target, ts HAVING count(DISTINCT model_id) = 5"))
+@query("F15_common_stamps", sql(f" SELECT target, {S.format('ts')} AS ts FROM facts GROUP BY target, ts HAVING count(DISTINCT model_id) = 5"))
 def common_stamps(spark: SparkSession, sf: str) -> DataFrame:
-    rows = facts(spark, sf).where("not (model_id = 'mean24' and hour(ts) = 3) and not (model_id = 'naive168' and target = 'Q' and weekday(date) = 1)")
-    return grid.common_stamps(rows).select("target", stamp("ts").alias("ts"))
+    return grid.common_stamps(facts(spark, sf)).select("target", stamp("ts").alias("ts"))
 
 
 @query("A32_audit_rows", sql(" , d AS (SELECT model_id, target, date, count(*) AS h FROM facts WHERE y_true > 60 GROUP BY 1, 2, 3) SELECT model_id, target, CAST(sum(h) AS BIGINT) AS n_rows, count(*) AS n_days, count(*) FILTER (h = 24) AS complete_days, CAST(min(h) AS BIGINT) AS min_hours, CAST(max(h) AS BIGINT) AS max_hours FROM d GROUP BY 1, 2"))

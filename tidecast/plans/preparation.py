@@ -186,19 +186,19 @@ def drop_incomplete_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _by_time(population: str) -> str:
-    return sql(f""" , sm AS (SELECT * FROM obs WHERE hour(ts) % 5 <> 2), w AS (SELECT target, ts, avg(y) OVER x AS m, {population}(y) OVER x AS s, count(y) OVER x AS n FROM sm WINDOW x AS (PARTITION BY target ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING))
+    return sql(f""" , w AS (SELECT target, ts, avg(y) OVER x AS m, {population}(y) OVER x AS s, count(y) OVER x AS n FROM obs WINDOW x AS (PARTITION BY target ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING))
 SELECT target, {S.format('ts')} AS ts, round(m, 6) AS rmean, round(s, 6) AS rstd, n AS n_back FROM w""", HOURLY)
 
 
 @query("W04_rolling_by_time", _by_time("stddev_samp"))
 def rolling_by_time(spark: SparkSession, sf: str) -> DataFrame:
-    rows = features.rolling_by_time(obs(spark, sf).where("hour(ts) % 5 <> 2"), 24)
+    rows = features.rolling_by_time(obs(spark, sf), 24)
     return rows.select("target", stamp("ts").alias("ts"), r("rmean").alias("rmean"), r("rstd").alias("rstd"), "n_back")
 
 
 @query("W05_rolling_population", _by_time("stddev_pop"))
 def rolling_population(spark: SparkSession, sf: str) -> DataFrame:
-    rows = features.rolling_by_time(obs(spark, sf).where("hour(ts) % 5 <> 2"), 24, population=True)
+    rows = features.rolling_by_time(obs(spark, sf), 24, population=True)
     return rows.select("target", stamp("ts").alias("ts"), r("rmean").alias("rmean"), r("rstd").alias("rstd"), "n_back")
 
 
@@ -209,12 +209,12 @@ def observed_or_predicted(spark: SparkSession, sf: str) -> DataFrame:
     return features.observed_or_predicted(rows, predicted, "2024-01-20 00:00:00").select("target", stamp("ts").alias("ts"), r("value").alias("value"), "source")
 
 
-_BOUNDS = "b AS (SELECT date_trunc('day', min(o_orderdate)) AS first, date_trunc('day', min(o_orderdate)) + INTERVAL 500 DAY - INTERVAL 1 HOUR AS last FROM orders)"
+_BOUNDS = "b AS (SELECT date_trunc('day', min(o_orderdate)) AS first, date_trunc('day', max(o_orderdate)) + INTERVAL 23 HOUR AS last FROM orders)"
 _CANDIDATES = f"""WITH {_BOUNDS},
 c AS (
   SELECT first AS train_start, make_timestamp(year(first) + 1, 1, 1, 0, 0, 0) - INTERVAL 7 DAY - INTERVAL 1 HOUR AS train_end, 'anchor_new_year' AS scheme, CAST(NULL AS INT) AS extra_days, CAST(NULL AS INT) AS shift_days, 0 AS seq, last FROM b
   UNION ALL SELECT first, first + to_months(CAST(m AS INT)) - INTERVAL 1 HOUR, 'cumulative_months', NULL, NULL, 100 + m, last FROM b, range(1, 13) t(m)
-  UNION ALL SELECT first + to_days(CAST(7 * w AS INT)), first + to_days(CAST(7 * w AS INT)) + INTERVAL 1 MONTH - INTERVAL 1 HOUR, 'fixed_1m_step7d', NULL, 7 * w, 1000 + w, last FROM b, range(0, 72) t(w)
+  UNION ALL SELECT first + to_days(CAST(7 * w AS INT)), first + to_days(CAST(7 * w AS INT)) + INTERVAL 1 MONTH - INTERVAL 1 HOUR, 'fixed_1m_step7d', NULL, 7 * w, 1000 + w, last FROM b, range(0, (SELECT CAST(floor(datediff('day', first, last) / 7) AS BIGINT) + 1 FROM b)) t(w)
   UNION ALL SELECT first, first + to_months(CAST(m AS INT)) - INTERVAL 1 HOUR + to_days(CAST(d AS INT)), 'cum_m_plus_days', d, NULL, 100000 + m * 10 + d, last FROM b, range(1, 13) t(m), range(1, 7) u(d)),
 n AS (SELECT *, CASE WHEN date_trunc('day', train_end + INTERVAL 7 DAY) = train_end + INTERVAL 7 DAY THEN train_end + INTERVAL 7 DAY ELSE date_trunc('day', train_end + INTERVAL 7 DAY) + INTERVAL 1 DAY END AS test_start FROM c),
 s AS (SELECT *, test_start + INTERVAL 23 HOUR AS test_end, row_number() OVER (PARTITION BY train_start, test_start ORDER BY seq) AS k FROM n WHERE test_start <= last AND train_end <= last)"""
@@ -222,8 +222,9 @@ _SPLIT_COLUMNS = ", ".join(f"{S.format(c)} AS {c}" for c in ("train_start", "tra
 
 
 def _bounds(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.date_trunc("day", F.min("o_orderdate").cast("timestamp")).cast("timestamp_ntz")
-    return tables.table(spark, sf, "orders").agg(first.alias("first")).select("first", F.expr("first + interval 500 days - interval 1 hour").alias("last"))
+    """The first hour of the first day of orders and the last hour of the last one."""
+    first, last = (F.date_trunc("day", f("o_orderdate").cast("timestamp")).cast("timestamp_ntz") for f in (F.min, F.max))
+    return tables.table(spark, sf, "orders").agg(first.alias("first"), last.alias("last")).select("first", F.expr("last + interval 23 hours").alias("last"))
 
 
 @query("G01_rolling_splits", f"{_CANDIDATES} SELECT {_SPLIT_COLUMNS}, scheme, CAST(extra_days AS INT) AS extra_days, CAST(shift_days AS INT) AS shift_days FROM s WHERE k = 1")

@@ -14,7 +14,7 @@ from tidecast.sources import tables
 #: Orders play the trials: a run per customer's last digits, a trial per order, its state from the order's status.
 _TRIALS = "WITH t AS (SELECT o_custkey % 7 AS run_id, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) AS trial, CASE WHEN o_orderstatus = 'O' THEN 'PRUNED' ELSE 'COMPLETE' END AS state, o_totalprice / 1000 AS objective, o_orderkey % 5 + 1 AS fits, o_totalprice / 50 AS seconds FROM orders)"
 #: Line items play the folds: stratum by return flag, gap by line number.
-_FOLDS = "WITH f AS (SELECT l_suppkey % 9 AS run_id, CASE l_returnflag WHEN 'A' THEN 'regular' WHEN 'N' THEN 'calendar' ELSE 'stress' END AS stratum, (l_linenumber % 4) * 24 AS gap, l_extendedprice / 100 AS value, l_quantity AS weight FROM lineitem WHERE NOT (l_suppkey % 9 = 3 AND l_returnflag = 'R'))"
+_FOLDS = "WITH f AS (SELECT l_suppkey % 9 AS run_id, CASE l_returnflag WHEN 'A' THEN 'regular' WHEN 'N' THEN 'calendar' ELSE 'stress' END AS stratum, (l_linenumber % 4) * 24 AS gap, l_extendedprice / 100 AS value, l_quantity AS weight FROM lineitem)"
 
 
 def trials(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +27,7 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
 def folds(spark: SparkSession, sf: str) -> DataFrame:
     flag = F.col("l_returnflag")
     stratum = F.when(flag == "A", "regular").when(flag == "N", "calendar").otherwise("stress")
-    rows = tables.table(spark, sf, "lineitem").where("not (l_suppkey % 9 = 3 and l_returnflag = 'R')")
+    rows = tables.table(spark, sf, "lineitem")
     return rows.select((F.col("l_suppkey") % 9).alias("run_id"), stratum.alias("stratum"), ((F.col("l_linenumber") % 4) * 24).alias("gap"), (F.col("l_extendedprice") / 100).alias("value"), F.col("l_quantity").alias("weight"))
 
 
@@ -50,9 +50,9 @@ def best_of_first_trials(spark: SparkSession, sf: str) -> DataFrame:
     return some.groupBy("run_id").agg(F.min_by("trial", F.struct("objective", "trial")).alias("trial"), r(F.min("objective")).alias("objective"))
 
 
-@query("L08_replay_choice", _TRIALS + ", p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY objective, trial) AS k, count(*) OVER (PARTITION BY run_id) AS n FROM t WHERE state = 'PRUNED' AND (run_id > 2 OR trial <= 20)) SELECT run_id, CAST(trial AS INT) AS trial FROM p WHERE n <= 12 OR k <= 8")
+@query("L08_replay_choice", _TRIALS + ", p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY objective, trial) AS k, count(*) OVER (PARTITION BY run_id) AS n FROM t WHERE state = 'PRUNED') SELECT run_id, CAST(trial AS INT) AS trial FROM p WHERE n <= 12 OR k <= 8")
 def replay_choice(spark: SparkSession, sf: str) -> DataFrame:
-    pruned = trials(spark, sf).where("state = 'PRUNED' and (run_id > 2 or trial <= 20)")
+    pruned = trials(spark, sf).where("state = 'PRUNED'")
     run = W.partitionBy("run_id")
     ranked = pruned.withColumns({"k": F.row_number().over(run.orderBy("objective", "trial")), "n": F.count("*").over(run)})
     return ranked.where("n <= 12 or k <= 8").select("run_id", "trial")
