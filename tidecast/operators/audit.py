@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -88,3 +89,35 @@ def classify_columns(df: DataFrame, columns: list[str], most: int = 24, share: f
         is_category = F.lit(True) if kind in {"string", "boolean"} else (few if kind in whole else F.lit(False))
         rows.append(F.struct(F.lit(c).alias("name"), F.col(c).alias("n_distinct"), F.when(is_category, "categorical").otherwise("numeric").alias("kind")))
     return got.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def grid_audit(obs: DataFrame, history_hours: int) -> DataFrame:
+    """(target, expected, present, missing, repeated, not_finite, history): what a series lacks against the hours from its first to
+    its last; history counts the rows of its first history_hours."""
+    ends = obs.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    rows = obs.join(F.broadcast(ends))
+    early = F.col("ts") < F.col("a") + F.expr(f"interval {history_hours} hours")
+    got = rows.groupBy("target").agg(F.first(F.expr("timestampdiff(hour, a, b) + 1")).cast("long").alias("expected"), F.count_distinct("ts").alias("present"), F.count("*").alias("n"), F.count_if(~F.coalesce(finite("y"), F.lit(False))).alias("not_finite"), F.count_if(early).alias("history"))
+    return got.select("target", "expected", "present", (F.col("expected") - F.col("present")).alias("missing"), (F.col("n") - F.col("present")).alias("repeated"), "not_finite", "history")
+
+
+def split_rules(splits: DataFrame) -> DataFrame:
+    """(scheme, n, whole_days, in_order, least_gap, most_gap): how many splits of each scheme keep the rules that all share."""
+    gap = F.expr("timestampdiff(hour, train_end, test_start) div 24")
+    ordered = (F.col("train_start") < F.col("train_end")) & (F.col("train_end") < F.col("test_start")) & (F.col("test_start") < F.col("test_end"))
+    return splits.groupBy("scheme").agg(F.count("*").alias("n"), F.count_if(F.expr("timestampdiff(hour, test_start, test_end) = 23")).alias("whole_days"), F.count_if(ordered).alias("in_order"), F.min(gap).alias("least_gap"), F.max(gap).alias("most_gap"))
+
+
+def configurations(ranges: DataFrame, days: DataFrame) -> DataFrame:
+    """(name, verdict) of each range of days (name, a, z): its order, whether the data (d) cover it, and whether a day is missing.
+
+    Days are numbered and summed up once; a range reads the numbers at its ends and never its days.
+    """
+    numbered = days.withColumn("k", F.row_number().over(W.orderBy("d")))
+    ends = days.agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    known = ranges.join(F.broadcast(ends))
+    at = lambda c, name: numbered.select(F.col("d").alias(c), F.col("k").alias(name))
+    known = known.join(at("a", "ka"), "a", "left").join(at("z", "kz"), "z", "left")
+    whole = F.col("kz") - F.col("ka") == F.datediff("z", "a")
+    verdict = F.when(F.col("a") > F.col("z"), "ends before it begins").when(F.col("a") < F.col("first"), "begins before the data").when(F.col("z") > F.col("last"), "ends after the data").when(~F.coalesce(whole, F.lit(False)), "a day is missing").otherwise("ok")
+    return known.select("name", verdict.alias("verdict"))

@@ -73,3 +73,16 @@ def from_prediction_minus_actual(rows: DataFrame) -> DataFrame:
     wrong = F.abs(F.col("error") - (F.col("prediction") - F.col("actual"))) > 1e-6
     error = F.when(wrong, F.raise_error(F.lit("errors are not prediction less actual")).cast("double")).otherwise(-F.col("error"))
     return rows.select(F.col("snapshot").alias("model_id"), F.substring("target", 1, 1).alias("target"), F.col("timestamp").alias("ts"), F.col("origin").alias("date"), "horizon", F.col("actual").alias("y_true"), F.col("prediction").alias("y_pred"), error.alias("error"))
+
+
+def equal_predictions(facts: DataFrame, tolerance: float) -> DataFrame:
+    """(target, model_a, model_b, common, n_a, n_b, equal): pairs of models whose stamps are the same and whose predictions differ
+    by no more than the tolerance; one equi-join on the stamps."""
+    sizes = facts.groupBy("target", "model_id").agg(F.count("*").alias("n"))
+    a = facts.select("target", "ts", F.col("model_id").alias("model_a"), F.col("y_pred").alias("_a"))
+    b = facts.select("target", "ts", F.col("model_id").alias("model_b"), F.col("y_pred").alias("_b"))
+    met = a.join(b, ["target", "ts"]).where("model_a < model_b").groupBy("target", "model_a", "model_b").agg(F.count("*").alias("common"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("far"))
+    for side in "ab":
+        met = met.join(F.broadcast(sizes.select("target", F.col("model_id").alias(f"model_{side}"), F.col("n").alias(f"n_{side}"))), ["target", f"model_{side}"])
+    equal = (F.col("common") == F.col("n_a")) & (F.col("common") == F.col("n_b")) & (F.col("far") <= tolerance)
+    return met.select("target", "model_a", "model_b", "common", "n_a", "n_b", equal.alias("equal"))
