@@ -54,7 +54,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidecast.plans import audits, comparison, evaluation, inference, preparation, search, structure, studies  # noqa: F401
+    from tidecast.plans import audits, comparison, evaluation, inference, preparation, search, structure, studies, tuning  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
