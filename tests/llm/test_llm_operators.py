@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidecast.llm import chat, decontaminate, jaccard_join, language_id, nearest, packing, queries, repeats, shared, substring_dedup, suffix_dedup, token_store, tokens, toxicity
+from tidecast.llm import chat, decontaminate, jaccard_join, language_id, nearest, packing, queries, repeats, shared, substring_dedup, suffix_dedup, textscan, token_store, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -231,6 +231,40 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(empty(spark)).collect() == []
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if k.bit_count() % 2 else a for k in range(n))
+
+
+def test_patterns_on_which_sums_cancel(spark):
+    """Words and windows that a hash which sums up weighted items takes for one another."""
+    rng = random.Random(1)
+    words = [rng.choices("abcdefghij", k=200) for _ in range(2)]
+    pairs = [(thue_morse(2048), thue_morse(2048, "b", "a")), (thue_morse(256), thue_morse(256, "b", "a"))]
+    texts = [" ".join([*some, word]) for one, other in pairs for some, word in ((words[0][:80], one), (words[1][:80], other))]
+    texts = [one for pair in pairs for one in (" ".join(["x", *["y"] * 20, pair[0], *["z"] * 40]), " ".join(["x", *["y"] * 20, pair[1], *["z"] * 40]))] + texts
+    texts += [" ".join(thue_morse(4096)), " ".join(thue_morse(4096, "b", "a"))[:4100]]
+    got = substring_dedup.remove_repeats(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(texts, 50)
+    got = suffix_dedup.remove_repeats(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(texts, 100)
+    got = jaccard_join.jaccard_components(frame(spark, texts), 3, 90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 3, 90)
+
+
+@pytest.mark.parametrize(("length", "have"), [(1, 1), (3, 1), (50, 1), (7, 7), (8, 8), (20, 8), (100, 8)])
+def test_refined_buckets_are_equal_runs(length, have):
+    rng = np.random.default_rng(length)
+    parts = [rng.integers(97, 100, n).astype(np.uint8) for n in rng.integers(length, length + 60, 30)]
+    parts += [parts[3], parts[4][: length + 1], np.full(length + 40, 97, np.uint8)]
+    size = np.array([len(p) for p in parts])
+    data = np.concatenate(parts)
+    codes = data.astype(np.int64) if have == 1 else textscan.eights(data)[: len(data)] & textscan.MASK[have]
+    got = repeats.same_runs(codes, size, length, have)
+    want = [p[k : k + length].tobytes() for p in parts for k in range(len(p) - length + 1)]
+    assert len(got) == len(want)
+    assert len({(g, w) for g, w in zip(got.tolist(), want, strict=True)}) == len(set(got.tolist())) == len(set(want))
+
+
 def test_rows_that_repeat_a_doc_id_do_not_break_dedup(spark):
     docs = frame(spark, [" ".join(map(str, range(200)))] * 2)
     both = docs.unionByName(frame(spark, ["short"]))

@@ -33,6 +33,8 @@ from tidecast.llm.shared import components, discard, durable, release, shards
 FREQUENT = 1 << 17
 #: Entries of an index list that meet in one block, and index rows of one shard.
 BLOCK, SHARD = 1024, 30_000
+#: Prefix tokens of each entry, the first in the order, whose lists the first rounds read.
+NEAREST = (4, 16)
 #: Shingles counted together in a task, and the count among them from which a shingle counts as frequent.
 COUNTED, STANDS_OUT = 1_500_000, 6
 #: Words of 64 bits of the narrowest parity bitmap; a set of n tokens has a bit for every two tokens at least.
@@ -43,11 +45,15 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
     """(doc_id, sorted distinct shingle hashes) for each text."""
     for _, part in textscan.texts(batch):
         starts, ends, first = part.words()
-        hashes = part.word_hashes(starts, ends, textscan.FOLDED)
+        hashes = part.word_hashes(starts, ends, fold=True)
         n = np.diff(first)
         counts = np.where(n >= words, n - words + 1, np.minimum(n, 1))
         begin = textscan.ranges(first[:-1], counts)
-        shingles = textscan.word_windows(hashes, begin, begin + np.repeat(np.minimum(n, words), counts))
+        shingles = np.zeros(len(begin), np.uint64)
+        size = np.repeat(np.minimum(n, words), counts)
+        for k in np.unique(size).tolist():
+            of = np.flatnonzero(size == k)
+            shingles[of] = textscan.run_names(hashes, k)[begin[of]]
         at = np.concatenate([[0], np.cumsum(counts)])
         for k, doc in enumerate(part.ids):
             yield int(doc), np.unique(shingles[at[k] : at[k + 1]])
@@ -120,7 +126,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
 
 
 def _postings(entries: DataFrame, percent: int) -> DataFrame:
-    """(token, at, gid, n) for the prefix tokens that two groups at least share, with the list's blocks.
+    """(token, gid, n, at) for the prefix tokens that two groups at least share, and those of groups of several members.
 
     Most lists are of two groups that share a token by chance; if their sizes alone rule a link out, the list goes.
     """
@@ -128,13 +134,25 @@ def _postings(entries: DataFrame, percent: int) -> DataFrame:
     slim = groups.select("gid", "n", "members", F.posexplode("prefix").alias("at", "token"))
     lists = slim.groupBy("token").agg(F.count("*").alias("groups"), F.max("members").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
     lists = lists.where(f"most > 1 or groups > 2 or (groups = 2 and 100 * low >= {percent} * high)")
-    found = slim.drop("members").join(lists.select("token", "groups"), "token")
-    blocks = F.ceil(F.col("groups") / BLOCK).cast("int")
-    found = found.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
+    return slim.drop("members").join(lists.select("token"), "token").select("token", "gid", "n", "at")
+
+
+def _dealt(postings: DataFrame) -> DataFrame:
+    """Postings with their list's pairs of blocks, (b1, b2), and the block of their own."""
+    lists = postings.groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") > BLOCK)
+    found = postings.join(lists, "token", "left")
+    found = found.withColumn("blocks", F.coalesce(F.ceil(F.col("groups") / BLOCK), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return found.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "at", "gid", "n")
 
 
+def _of_several(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """Postings of the lists whose members are of several components; comps has (gid, low, high) of each group."""
+    placed = postings.join(comps, "gid")
+    lists = placed.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b")
+    return placed.join(lists.select("token"), "token", "left_semi")
+
+
 class _Bitmaps:
     """Parity bitmaps of any power-of-two width; halves of a wider one folded together are that of the narrower width."""
 
@@ -166,8 +184,9 @@ class _Bitmaps:
         return out
 
 
-def _pair_up(shard: pa.Table, percent: int, every: bool) -> pa.Table:
-    """Member pairs of one shard that all bounds leave: (u, v, far), far an estimate of the symmetric difference."""
+def _pair_up(shard: pa.Table, percent: int) -> pa.Table:
+    """Of the member pairs of one shard that all bounds leave, (u, v, far) for each u with its nearest and its smallest v;
+    far is an estimate of the symmetric difference."""
     col = {name: shard.column(name).to_numpy() for name in ("token", "b1", "b2", "block", "at", "n")}
     order = np.lexsort((col["b2"], col["b1"], col["token"]))
     col = {k: v[order] for k, v in col.items()}
@@ -204,10 +223,6 @@ def _pair_up(shard: pa.Table, percent: int, every: bool) -> pa.Table:
         keep = far <= most
         got.append((np.minimum(doc[u], doc[v])[keep], np.maximum(doc[u], doc[v])[keep], far[keep]))
     u, v, far = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
-    if every:
-        both = np.unique(np.stack([u, v, far]), axis=1) if len(u) else np.zeros((3, 0), np.int64)
-        u, v, far = both
-        return pa.table({"u": u, "v": v, "far": far})
     u, v, far = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([far, far])
     picks = []
     for by in ((v, far, u), (v, u)):
@@ -218,21 +233,49 @@ def _pair_up(shard: pa.Table, percent: int, every: bool) -> pa.Table:
     return pa.table({"u": u[pick], "v": v[pick], "far": far[pick]})
 
 
-def _candidates(postings: DataFrame, entries: DataFrame, comps: DataFrame | None, rows: int, percent: int, every: bool) -> DataFrame:
-    """(u, v) with u < v: pairs to verify, outside one component."""
-    members = entries.select("gid", "doc_id", "bits")
-    members = members.withColumn("comp", F.col("doc_id")) if comps is None else members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+def _near(postings: DataFrame, members: DataFrame, rows: int, percent: int) -> DataFrame:
+    """(u, v), u < v: for each member its nearest and its smallest partner in the lists of postings, outside its component."""
     groups = members.groupBy("gid").agg(F.collect_list(F.struct(F.col("doc_id").alias("doc"), "comp", "bits")).alias("members"))
-    n = shards(rows, SHARD)
-    shard = F.pmod(F.xxhash64("token", "b1", "b2"), F.lit(n))
-    dealt = postings.join(groups, "gid").withColumn("shard", shard)
-    found = dealt.groupBy("shard").applyInArrow(lambda t: _pair_up(t, percent, every), "u long, v long, far long")
-    if not every:
-        found = found.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("a"), F.min("v").alias("b"))
-        found = found.select("u", F.explode(F.array("a", "b")).alias("v"))
+    shard = F.pmod(F.xxhash64("token", "b1", "b2"), F.lit(shards(rows, SHARD)))
+    dealt = _dealt(postings).join(groups, "gid").withColumn("shard", shard)
+    found = dealt.groupBy("shard").applyInArrow(lambda t: _pair_up(t, percent), "u long, v long, far long")
+    found = found.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("a"), F.min("v").alias("b"))
+    found = found.select("u", F.explode(F.array("a", "b")).alias("v"))
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _all_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(u, v), u < v: every pair of members of different components that the bounds leave.
+
+    Group pairs come first, without their members: of the tokens that two sets share, those up to where the first of the two
+    prefixes ends stand in both prefixes, so that prefixes with m tokens in common leave at most m and what follows that
+    prefix.  Only then do the pairs meet their members and bitmaps.
+    """
+    dealt = _dealt(postings)
+    x = dealt.select("token", "b1", "b2", F.col("block").alias("bx"), F.col("gid").alias("g"), F.col("n").alias("nx"))
+    y = dealt.select("token", "b1", "b2", F.col("block").alias("by"), F.col("gid").alias("h"), F.col("n").alias("ny"))
+    met = x.join(y, ["token", "b1", "b2"]).where(f"g < h and (b1 = b2 or bx <> by) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    common = met.groupBy("g", "h", "nx", "ny").agg(F.count("*").alias("m"))
+    need, rest = F.expr(f"ceil({percent} * (nx + ny) / {100 + percent})"), F.expr(f"ceil({percent} * greatest(nx, ny) / 100) - 1")
+    groups = durable(common.where(F.col("m") + rest >= need).select("g", "h"))
+    alone = members.groupBy("gid").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("many > 1 and low < high")
+    groups = groups.unionByName(alone.select(F.col("gid").alias("g"), F.col("gid").alias("h")))
+    one, two = ([F.col("gid").alias(g), F.col("doc_id").alias(u), F.col("comp").alias(f"c{u}"), F.col("n").alias(f"n{u}"), F.col("bits").alias(f"b{u}")] for g, u in (("g", "u"), ("h", "v")))
+    both = groups.join(members.select(*one), "g").join(members.select(*two), "h").where("cu <> cv and (g <> h or u < v)")
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            bitmaps = _Bitmaps([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()])
+            nu, nv = (batch.column(k).to_numpy() for k in (2, 3))
+            most = nu + nv - 2 * -(-percent * (nu + nv) // (100 + percent))
+            keep = bitmaps.apart(np.arange(n), np.arange(n, 2 * n)) <= most
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    kept = both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv", "bu", "bv").mapInArrow(apart, "u long, v long")
+    return kept.distinct()
+
+
 def set_table(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, tokens): the sorted shingle hashes of each text, as bytes."""
 
@@ -280,16 +323,12 @@ def _every_link(docs: DataFrame, entries: DataFrame, words: int, percent: int) -
     spark = docs.sparkSession
     postings = durable(_postings(entries, percent))
     release(spark)
-    rows = postings.count()
-    links = spark.createDataFrame([], "u long, v long")
-    if rows:
-        pairs = durable(_candidates(postings, entries, None, rows, percent, True))
-        active = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-        sets = durable(set_table(docs.join(active, "doc_id", "left_semi"), words))
-        links = durable(_verified(pairs, sets, percent).distinct())
-        for table in (pairs, active, sets):
-            discard(table)
-    discard(postings)
+    pairs = durable(_all_pairs(postings, entries.withColumn("comp", F.col("doc_id")), percent))
+    active = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    sets = durable(set_table(docs.join(active, "doc_id", "left_semi"), words))
+    links = durable(_verified(pairs, sets, percent).distinct())
+    for table in (pairs, active, sets, postings):
+        discard(table)
     return links
 
 
@@ -323,37 +362,36 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     spark: SparkSession = documents.sparkSession
     docs, signed, classes, entries = _classes(documents, words, percent, id_column, text_column)
     postings = durable(_postings(entries, percent))
+    near = durable(entries.drop("prefix").join(postings.select("gid").distinct(), "gid", "left_semi"))
     release(spark)
-    rows = postings.count()
-    comps = links = sets = None
-    if rows:
-        touched = entries.join(postings.select("gid").distinct(), "gid", "left_semi").select("doc_id")
-        near = entries.join(touched, "doc_id", "left_semi")
-        for every in (False, False, True):
-            pairs = durable(_candidates(postings, near, comps, rows, percent, every))
-            if pairs.isEmpty():
-                break
-            if sets is None:
-                active = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-                sets = durable(set_table(docs.join(active, "doc_id", "left_semi"), words))
-                near = durable(entries.join(active, "doc_id", "left_semi"))  # others have no partner that the bounds leave
-                closer = durable(postings.join(near.select("gid").distinct(), "gid", "left_semi"))
-                discard(postings)
-                postings, rows = closer, closer.count()
-                release(spark)
-            fresh = durable(_verified(pairs, sets, percent))
-            discard(pairs)
-            links = fresh if links is None else links.unionByName(fresh)
-            comps = durable(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-            release(spark)
-        if sets is not None:
-            discard(sets)
+    comps = links = None
+    for first in (*NEAREST, None):
+        members = near.withColumn("comp", F.col("doc_id"))
+        if comps is not None:
+            members = near.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        members = durable(members)
+        spans = members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        lists = _of_several(postings if first is None else postings.where(F.col("at") < first), spans)
+        lists = durable(lists.select("token", "gid", "n", "at"))
+        if first is None:
+            pairs = durable(_all_pairs(lists, members, percent))
+        else:
+            pairs = durable(_near(lists, members, lists.count(), percent))
+        discard(lists)
+        discard(members)
+        release(spark)
+        active = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+        sets = durable(set_table(docs.join(active, "doc_id", "left_semi"), words))
+        fresh = durable(_verified(pairs, sets, percent))
+        for table in (pairs, active, sets):
+            discard(table)
+        release(spark)
+        links = fresh if links is None else links.unionByName(fresh)
+        comps = durable(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    discard(near)
     discard(postings)
     class_ids = classes.select("k1", "k2", "n", F.col("doc_id").alias("class_id"))
-    if comps is not None:
-        class_ids = class_ids.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-    else:
-        class_ids = class_ids.withColumn("component", F.lit(None).cast("long"))
+    class_ids = class_ids.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = signed.select("doc_id", "n", "k1", "k2").join(class_ids, ["k1", "k2", "n"], "left")
     own = F.coalesce("component", "class_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))

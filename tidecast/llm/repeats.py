@@ -1,11 +1,11 @@
 """Which windows of a fixed length start earlier as well: the distributed part that byte and word dedup share.
 
 Each document is cut into stretches of consecutive windows that select one and the same content-defined symbol.  A stretch
-has a key, the hash of all that its windows cover.  Equal windows select equal symbols, so a symbol that one place alone
-selects is done with.  Of the stretches with one key all but the first repeat whole; what is left is the first stretch of
-each key, and only where its symbol has other keys as well are its single windows compared: within one task for the stretches of
-a symbol, or, if these are more than HOT, window by window across all tasks.  Every step aggregates before it joins, and
-copies, however many, meet as one key.
+has a key, the name of all that its windows cover.  Equal windows select equal symbols, so a symbol that one place alone
+selects is done with.  Of the stretches with one symbol and key all but the first repeat whole; what is left is the first
+stretch of each key, and only where its symbol has other keys as well are its single windows compared: within one task for
+the stretches of a symbol, by refining buckets of their very content (same_runs), or, if these are more than HOT, by their
+names across all tasks.  Every step aggregates before it joins, and copies, however many, meet as one key.
 """
 
 from __future__ import annotations
@@ -40,10 +40,34 @@ HOT = 8_000
 SHARD = 1_500_000
 
 
-def _shared(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
+def same_runs(codes: np.ndarray, sizes: np.ndarray, length: int, have: int = 1) -> np.ndarray:
+    """A number for each run of length items within one content, equal for equal runs alone.
+
+    codes has, for each place of contents side by side, an integer that stands for the have items from there on; sizes are
+    the items of each content.  Buckets of places are refined by sorting them on their bucket and the bucket of the place as
+    far on as the two agree so far, which doubles the depth; a bucket of a single place is left as it is, and the refined
+    buckets are what the next step sorts on.
+    """
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    bucket, depth = np.unique(codes, return_inverse=True)[1].astype(np.uint64), have
+    used = len(codes)
+    while depth < length:
+        step = min(depth, length - depth)
+        within = np.flatnonzero(left >= depth)
+        others = np.bincount(bucket[within].astype(np.int64), minlength=used) > 1
+        place = within[left[within] >= depth + step]
+        place = place[others[bucket[place].astype(np.int64)]]
+        finer, number = np.unique(bucket[place] << np.uint64(32) | bucket[place + step], return_inverse=True)
+        bucket[place] = number.astype(np.uint64) + np.uint64(used)
+        used += len(finer)
+        depth += step
+    return bucket[left >= length]
+
+
+def _shared(numbers: np.ndarray, doc: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
     """Which windows, in the order given, repeat an earlier one."""
-    order = np.lexsort((at, doc, hashes))
-    h, d = hashes[order], doc[order]
+    order = np.lexsort((at, doc, numbers))
+    h, d = numbers[order], doc[order]
     new = np.concatenate([[True], h[1:] != h[:-1]])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     out = np.zeros(len(order), bool)
@@ -51,14 +75,17 @@ def _shared(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, within: bool) -
     return out
 
 
-def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], contents: Callable[[DataFrame], DataFrame], hashes: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], within: bool, always: int | None = None) -> DataFrame:
+Windows = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], contents: Callable[[DataFrame], DataFrame], classes: Windows, names: Windows, within: bool, always: int | None = None) -> DataFrame:
     """(doc_id, at, n): arrays of the starts and numbers of consecutive windows that repeat an earlier one.
 
     stretches(docs) gives (symbol, key, doc_id, at, n, again), again for those that an earlier stretch of the same text is
     known to equal and that need no comparison; contents((doc_id, text, symbol, at, n)), with arrays, gives (symbol,
-    doc_id, at, content) for each stretch, from which hashes() makes the window hashes of a column of contents side by side
-    and their number in each.  within: an earlier start in the same document counts as well.  always: a symbol that is
-    compared even if one document alone selects it.
+    doc_id, at, content) for each stretch.  Of a column of contents, classes() numbers all windows side by side, equal ones
+    alike, and names() hashes them; both also give their number in each content.  within: an earlier start in the same
+    document counts as well.  always: a symbol that is compared even if one document alone selects it.
     """
     spark = docs.sparkSession
     order: Column = F.struct("doc_id", "at") if within else F.col("doc_id")
@@ -71,10 +98,10 @@ def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], conte
     discard(found)
     discard(seen)
     release(spark)
-    firsts = some.groupBy("key").agg(F.min(order).alias("first"), F.min("symbol").alias("symbol"))
+    firsts = some.groupBy("symbol", "key").agg(F.min(order).alias("first"))
     keys = firsts.groupBy("symbol").agg(F.count("*").alias("keys")).where("keys > 1")
-    firsts = durable(firsts.join(keys, "symbol", "left").select("key", "first", F.coalesce("keys", F.lit(1)).alias("keys")))
-    told = durable(some.join(firsts, "key").select("symbol", "doc_id", "at", "n", (order > F.col("first")).alias("whole"), "keys").where("whole or keys > 1"))
+    firsts = durable(firsts.join(keys, "symbol", "left").select("symbol", "key", "first", F.coalesce("keys", F.lit(1)).alias("keys")))
+    told = durable(some.join(firsts, ["symbol", "key"]).select("symbol", "doc_id", "at", "n", (order > F.col("first")).alias("whole"), "keys").where("whole or keys > 1"))
     discard(some)
     discard(firsts)
     release(spark)
@@ -84,7 +111,7 @@ def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], conte
     release(spark)
 
     def compare(table: pa.Table) -> pa.Table:
-        got, n = hashes(table.column("content").combine_chunks())
+        got, n = classes(table.column("content").combine_chunks())
         doc = np.repeat(table.column("doc_id").to_numpy(), n)
         at = ranges(table.column("at").to_numpy().astype(np.int64), n)
         again = _shared(got, doc, at, within)
@@ -98,18 +125,19 @@ def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], conte
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got, n = hashes(batch.column(2))
-            at = ranges(batch.column(1).to_numpy().astype(np.int64), n)
-            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(at.astype(np.int32))], ["hash", "doc_id", "at"])
+            got, n = names(batch.column(3))
+            at = ranges(batch.column(2).to_numpy().astype(np.int64), n)
+            symbol, doc = (np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(got.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32))], ["symbol", "name", "doc_id", "at"])
 
     size = each.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("symbol"), F.lit(shards(size, SHARD)).cast("long")).alias("shard")
     near = each.where(F.col("keys") <= HOT).groupBy(shard).applyInArrow(compare, "doc_id long, at int, n int")
     whole = told.where("whole").select("doc_id", "at", "n").unionByName(within_text).unionByName(near)
     if not each.where(F.col("keys") > HOT).isEmpty():
-        apart = durable(each.where(F.col("keys") > HOT).select("doc_id", "at", "content").mapInArrow(explode, "hash long, doc_id long, at int"))
-        first = apart.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("many")).where("many > 1").select("hash", "first")
-        whole = whole.unionByName(apart.join(first, "hash").where(order > F.col("first")).select("doc_id", "at", F.lit(1).alias("n")))
+        apart = durable(each.where(F.col("keys") > HOT).select("symbol", "doc_id", "at", "content").mapInArrow(explode, "symbol long, name long, doc_id long, at int"))
+        first = apart.groupBy("symbol", "name").agg(F.min(order).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
+        whole = whole.unionByName(apart.join(first, ["symbol", "name"]).where(order > F.col("first")).select("doc_id", "at", F.lit(1).alias("n")))
     out = durable(whole.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.n").alias("n")))
     for table in (each, told, within_text):
         discard(table)

@@ -3,13 +3,14 @@
 Every text is rewritten in rounds: first each maximal run of one word becomes a single symbol, then rounds name adjacent
 pairs whose left symbol falls in the one half and whose right symbol in the other half of a random split of all symbols.
 A name is the 64-bit hash of what it stands for, so that names are global without a dictionary that would have to be
-gathered.  Whether two neighbours are joined depends on the two alone, so equal word sequences get equal symbols except near
-their ends: with pair symbols of at most MOST_WORDS words, after ROUNDS rounds all that lies LOST words from either end.
+gathered, and the rounds need no exchange between texts.  Whether two neighbours are joined depends on the two alone, so equal
+word sequences get equal symbols except near their ends: with pair symbols of at most MOST_WORDS words, after ROUNDS rounds all
+that lies LOST words from either end.  A last round names each symbol together with the LOST words on either side of it.
 
-Each window of the asked length selects the smallest symbol of its interior, taken with the words around it that all windows
-which may select it hold.  A window whose symbol no other document
-selects cannot repeat.  Stretches of windows that select one symbol are verified as a whole by the hash of their words, and
-window by window where that does not settle them (module repeats).  A window whose interior has no whole symbol (long runs) is always verified.
+Each window of the asked length selects the smallest of these high-level names in its interior, which equal windows share; Spark
+finds the names that several documents select.  All other windows cannot repeat.  Stretches of windows that select one name
+are verified as a whole by the names of their first and last window, and where that does not settle them by their very words,
+numbered and refined by doubling (module repeats).  A window whose interior has no whole symbol (long runs) is always verified.
 
 Defined cases: null and empty texts have no words and nothing is removed; texts shorter than the window keep all their words;
 repeated rows of a doc_id count as one document each, neither removes from the other; other columns are ignored.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
-from tidecast.llm.repeats import covered, int_lists, repeated
+from tidecast.llm.repeats import covered, int_lists, repeated, same_runs
 
 #: Rounds of pair naming, the words a named pair may have, and the words at either end whose symbols may differ.
 ROUNDS, MOST_WORDS = 4, 9
@@ -68,11 +69,12 @@ def selected(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.nda
     start = textscan.ranges(first[:-1], counts)
     if not len(start):
         return start, np.zeros(0, np.uint64)
-    _, at = recompress(hashes, first)
+    symbol, at = recompress(hashes, first)
     end = np.append(at[1:], len(hashes))
-    text = np.searchsorted(first, at, side="right") - 1
-    # a window holds LOST words on either side of the symbols of its interior: symbols with these around them are rarer
-    symbol = np.maximum(textscan.word_windows(hashes, np.maximum(at - LOST, first[text]), np.minimum(end + LOST, first[text + 1])), np.uint64(1))
+    # the last round: a window holds LOST words on either side of the symbols of its interior, and names with these are rarer
+    beside = textscan.run_names(hashes, LOST)
+    inside = np.flatnonzero((at >= LOST) & (end + LOST <= len(hashes)))
+    symbol[inside] = np.maximum(textscan.join(textscan.join(beside[at[inside] - LOST], symbol[inside]), beside[end[inside]]), np.uint64(1))
     word = np.arange(len(hashes) + 1)
     low = np.searchsorted(at, word)[start + LOST]  # the first symbol that starts there or later
     high = np.searchsorted(end, word, side="right")[start + window - LOST]  # one past the last symbol that ends there or sooner
@@ -108,15 +110,19 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
                 doc = np.searchsorted(first, start, side="right") - 1
                 head = np.flatnonzero(np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1])]))
                 n = np.diff(np.append(head, len(start)))
+                parts = -(-n // window)  # of a longer stretch the first and last window would not tell all
+                head = textscan.ranges(head // window, parts) * window + np.repeat(head % window, parts)
+                n = np.diff(np.append(head, len(start)))
                 at, doc = start[head], doc[head]
-                key = textscan.word_windows(hashes, at, at + n + window - 1)
+                covers = textscan.run_names(hashes, window)
+                key = textscan.join(textscan.join(covers[at], covers[at + n - 1]), n.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(symbol[head].view(np.int64)), pa.array(key.view(np.int64)), pa.array(part.ids[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(at), bool))], ["symbol", "key", "doc_id", "at", "n", "again"])
 
     return docs.mapInArrow(scan, "symbol long, key long, doc_id long, at int, n int, again boolean")
 
 
 def _contents(docs: DataFrame, window: int) -> DataFrame:
-    """(symbol, keys, doc_id, at, content): the hashes of the windows of each stretch, as bytes."""
+    """(symbol, keys, doc_id, at, content): the bytes from the first to the last word that the windows of each stretch cover."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,23 +130,34 @@ def _contents(docs: DataFrame, window: int) -> DataFrame:
             at, n, keys = (int_lists(batch.column(k))[0] for k in (3, 4, 5))
             for rows, part in textscan.texts(batch):
                 starts, ends, first = part.words()
-                total = textscan.word_sums(part.word_hashes(starts, ends))
                 mine = slice(cut[rows.start], cut[rows.stop])
                 doc = np.repeat(np.arange(len(part)), np.diff(cut[rows.start : rows.stop + 1]))
-                inside = first[doc] + at[mine] + n[mine] + window - 1 <= first[doc + 1]  # rows that repeat a doc_id with another text
-                doc, many = doc[inside], n[mine][inside].astype(np.int64)
-                begin = textscan.ranges(first[doc] + at[mine][inside], many)
-                found = textscan.span_hashes(total, begin, begin + window, textscan.WORD_BASE)
-                offsets = (np.concatenate([[0], np.cumsum(many)]) * 8).astype(np.int32)
-                content = pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(found.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(symbol[mine][inside]), pa.array(keys[mine][inside]), pa.array(part.ids[doc]), pa.array(at[mine][inside]), content], ["symbol", "keys", "doc_id", "at", "content"])
+                begin = first[doc] + at[mine]
+                end = begin + n[mine] + window - 1
+                inside = end <= first[doc + 1]  # rows that repeat a doc_id with another text
+                content = textscan.slices(part.data, starts[begin[inside]], ends[end[inside] - 1])
+                yield pa.RecordBatch.from_arrays([pa.array(symbol[mine][inside]), pa.array(keys[mine][inside]), pa.array(part.ids[doc[inside]]), pa.array(at[mine][inside]), content], ["symbol", "keys", "doc_id", "at", "content"])
 
     return docs.mapInArrow(scan, "symbol long, keys long, doc_id long, at int, content binary")
 
 
-def _hashes(contents: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _words(contents: pa.Array) -> tuple[textscan.Texts, np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = textscan.column_bytes(contents)
-    return np.frombuffer(data.tobytes(), np.uint64), np.diff(offsets) // 8
+    part = textscan.Texts(offsets[:-1], data, offsets)
+    return part, *part.words()
+
+
+def _classes(contents: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
+    part, starts, ends, first = _words(contents)
+    raw, numbers = part.data.tobytes(), {}
+    codes = np.fromiter((numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+    return same_runs(codes, np.diff(first), window), np.diff(first) - window + 1
+
+
+def _names(contents: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
+    part, starts, ends, first = _words(contents)
+    n = np.diff(first) - window + 1
+    return textscan.run_names(part.word_hashes(starts, ends), window)[textscan.ranges(first[:-1], n)], n
 
 
 def _kept(part: textscan.Texts, rows: slice, marks: tuple[np.ndarray, ...], window: int) -> Iterator[tuple[int, int, bytes]]:
@@ -165,7 +182,7 @@ def _marks(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
 
 def find_repeats(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, at, n): the starts and numbers of consecutive windows to remove."""
-    return repeated(docs, lambda d: _stretches(d, window), lambda d: _contents(d, window), _hashes, within=False, always=int(ANY))
+    return repeated(docs, lambda d: _stretches(d, window), lambda d: _contents(d, window), lambda c: _classes(c, window), lambda c: _names(c, window), within=False, always=int(ANY))
 
 
 def remove_repeats(documents: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

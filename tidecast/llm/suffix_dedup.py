@@ -1,9 +1,13 @@
-"""Dedup over bytes by anchors and hashes of windows, which finds what a suffix array would for repeats of a fixed length.
+"""Dedup over bytes by bucket-pointer refinement of suffixes, as far as the length asked for.
 
-No suffixes are sorted and no buckets refined in rounds.  Of the starts that a window of the asked length holds, the one whose
-Q bytes hash smallest is its anchor: equal windows have the same one.  There are two fixed levels: the whole stretches of
-windows that share an anchor are compared by their hash, then, only among stretches of one anchor that differ, the single
-windows by theirs.  repeats.repeated, which substring_dedup uses as well, does both.
+Suffixes need to be sorted by their first LENGTH bytes only.  Their initial buckets are q-grams of eight bytes; a bucket is
+refined by the buckets of the places as far on as its suffixes agree so far, 8, 16, 32, ... bytes, and each refinement is what
+the next one sorts on.  This runs twice.  The first time it runs over each whole text, where sorted numbers of buckets are not
+known across tasks and names (hashes of the two buckets that refine) stand for them: a window's anchor is the Q-byte bucket of
+smallest name that starts in it, which equal windows share.  Windows of one anchor are brought together; a stretch of
+consecutive windows that all repeats is told by the names of its first and last window's buckets.  The second time, for the
+stretches that differ, it runs over their bytes, with buckets sorted and numbered exactly (repeats.same_runs); an anchor with
+more than repeats.HOT different stretches is dealt out window by window, by the names of the windows' buckets.
 
 Defined cases: null and empty texts have no bytes; texts shorter than the length keep theirs; the first of several equal
 windows stays, by doc_id and then by its start; rows that repeat a doc_id are one document; other columns are ignored.
@@ -20,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
-from tidecast.llm.repeats import covered, int_lists, repeated
+from tidecast.llm.repeats import covered, int_lists, repeated, same_runs
 
-#: Bytes of an initial bucket.
+#: Bytes of the buckets that anchor windows.
 Q = 32
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -45,9 +48,8 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
                 size = np.diff(part.offsets)
                 if not len(part.data) or size.max() < length:
                     continue
-                total = part.byte_sums()
-                _, down = textscan.powers(textscan.BYTE_BASE, len(total))
-                bucket = ((total[q:] - total[:-q]) * down[: len(total) - q]) * _SPREAD
+                bucket = textscan.byte_names(part.data, q)
+                window = textscan.run_names(bucket, length, q)
                 least = sliding_least(bucket, length - q + 1)
                 head = np.zeros(len(least) + 1, bool)
                 head[0] = True
@@ -60,8 +62,8 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
                 doc = np.searchsorted(part.offsets, at, side="right") - 1
                 own = at + length <= part.offsets[doc + 1]
                 at, n, doc = at[own], n[own], doc[own]
-                symbol = textscan.mix(least[at])
-                key = textscan.span_hashes(total, at, at + n + length - 1)
+                symbol = least[at]
+                key = textscan.join(textscan.join(window[at], window[at + n - 1]), n.astype(np.uint64))
                 order = np.lexsort((at, key, doc))  # periodic texts hold one stretch very often
                 again = np.zeros(len(at), bool)
                 again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
@@ -83,21 +85,22 @@ def _contents(docs: DataFrame, length: int) -> DataFrame:
                 begin = part.offsets[doc] + at[mine]
                 end = begin + n[mine] + length - 1
                 inside = end <= part.offsets[doc + 1]  # rows that repeat a doc_id with another text
-                size = (end - begin)[inside]
-                flat = part.data[textscan.ranges(begin[inside], size)]
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+                content = textscan.slices(part.data, begin[inside], end[inside])
                 yield pa.RecordBatch.from_arrays([pa.array(symbol[mine][inside]), pa.array(keys[mine][inside]), pa.array(part.ids[doc[inside]]), pa.array(at[mine][inside]), content], ["symbol", "keys", "doc_id", "at", "content"])
 
     return docs.mapInArrow(scan, "symbol long, keys long, doc_id long, at int, content binary")
 
 
-def _hashes(contents: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of each content, side by side, and their number."""
+def _classes(contents: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = textscan.column_bytes(contents)
+    size, q = np.diff(offsets), min(length, 8)
+    return same_runs(textscan.eights(data)[: len(data)] & textscan.MASK[q], size, length, q), size - length + 1
+
+
+def _names(contents: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = textscan.column_bytes(contents)
     n = np.diff(offsets) - length + 1
-    begin = textscan.ranges(offsets[:-1], n)
-    return textscan.span_hashes(textscan.Texts(offsets[:-1], data, offsets).byte_sums(), begin, begin + length), n
+    return textscan.byte_names(data, length)[textscan.ranges(offsets[:-1], n)], n
 
 
 def _cut(docs: DataFrame, length: int, with_bytes: bool) -> DataFrame:
@@ -128,5 +131,5 @@ def _cut(docs: DataFrame, length: int, with_bytes: bool) -> DataFrame:
 def remove_repeats(documents: DataFrame, length: int = 100, with_bytes: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept]) for every row."""
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    marks = repeated(docs, lambda d: _stretches(d, length), lambda d: _contents(d, length), lambda c: _hashes(c, length), within=True)
+    marks = repeated(docs, lambda d: _stretches(d, length), lambda d: _contents(d, length), lambda c: _classes(c, length), lambda c: _names(c, length), within=True)
     return _cut(docs.join(marks, "doc_id", "left").select("doc_id", "text", "at", "n"), length, with_bytes)

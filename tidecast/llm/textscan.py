@@ -1,11 +1,14 @@
-"""Vectorised scanning of text columns: words, word hashes and window hashes of Arrow batches in numpy.
+"""Vectorised scanning of text columns: words, and names of words and of runs of them, of Arrow batches in numpy.
 
-Hashes are 64-bit polynomials over tables of random values, so that the hash of any run of bytes or words comes from two
-prefix sums.  Everything here is a pure function of the text: tasks that are run again give the same values.
+Names are 64-bit hashes.  A word is hashed eight bytes at a time and mixed after each; runs of a fixed length are named by
+doubling, two names of a length giving one of twice the length, mixed again.  No name is a sum of terms of its items, so that
+no pattern of a few items can make such a sum vanish.  Everything here is a pure function of the text: tasks that are run
+again give the same values.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +16,10 @@ import pyarrow as pa
 
 CHUNK = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95
+_LEFT, _RIGHT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
+#: Bytes of a word beyond which it is hashed by itself.
+LONG_WORD = 256
+BYTE_BASE = 0x9E3779B97F4A7C15 | 5
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -36,9 +42,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The name of two names in a row."""
+    return mix(left * _LEFT + right * _RIGHT)
+
+
+def run_names(items: np.ndarray, length: int, have: int = 1) -> np.ndarray:
+    """Names of all runs of length items, by their starts; items are names of runs of have (length >= have)."""
+    got = items
+    while 2 * have <= length:
+        got, have = join(got[:-have], got[have:]), 2 * have
+    rest = length - have
+    return join(got[:-rest], got[rest:]) if rest else got
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros beyond the end) as one integer, for each byte and the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-FOLDED = BYTE.copy()
-FOLDED[65:91] = BYTE[97:123]  # A-Z hash as a-z
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32  # A-Z as a-z
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
@@ -79,11 +107,18 @@ class Texts:
         starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def word_hashes(self, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-        up, down = powers(BYTE_BASE, len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(table[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    def word_hashes(self, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+        data = FOLD[self.data] if fold else self.data
+        eight, size = eights(data), ends - starts
+        out = mix((eight[starts] & MASK[np.minimum(size, 8)]) * _LEFT + size.astype(np.uint64))
+        more, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(more):
+            out[more] = join(out[more], mix(eight[starts[more] + done] & MASK[np.minimum(size[more] - done, 8)]))
+            done += 8
+            more = more[size[more] > done]
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def byte_sums(self) -> np.ndarray:
         up, _ = powers(BYTE_BASE, len(self.data) + 1)
@@ -98,18 +133,6 @@ def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_sums(hashes: np.ndarray) -> np.ndarray:
-    up, _ = powers(WORD_BASE, len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return total
-
-
-def word_windows(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the word runs [start, end)."""
-    return span_hashes(word_sums(hashes) if total is None else total, starts, ends, WORD_BASE)
-
-
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each range, one after the other."""
     total = int(counts.sum())
@@ -119,6 +142,21 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) - np.repeat(first - starts, counts)
 
 
+def byte_names(data: np.ndarray, length: int) -> np.ndarray:
+    """Names of all runs of length bytes, by their starts."""
+    if len(data) < length:
+        return np.zeros(0, np.uint64)
+    eight = eights(data)[: len(data) - min(length, 8) + 1]
+    return mix(eight & MASK[length]) if length < 8 else run_names(mix(np.array(eight)), length, 8)
+
+
+def slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes [begin, end) of each, as a binary array."""
+    size = end - begin
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[ranges(begin, size)].tobytes())])
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

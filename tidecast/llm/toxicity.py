@@ -34,8 +34,6 @@ LEAST_TEXTS, NEUTRAL = 5, 20
 
 #: Words are runs of anything but ASCII characters that are neither letters nor digits.
 SEPARATORS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,7 +43,7 @@ def held_out(doc_id: Column) -> Column:
 def _distinct_words(part: textscan.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First word of each text, and for the distinct words their starts, ends, the number of each word among them, hashes."""
     starts, ends, first = part.words(SEPARATORS)
-    hashes = part.word_hashes(starts, ends, textscan.FOLDED)
+    hashes = part.word_hashes(starts, ends, fold=True)
     unique, at, number = np.unique(hashes, return_index=True, return_inverse=True)
     return first, starts[at], ends[at], number, unique
 
@@ -56,7 +54,7 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     at = np.cumsum(size + 2) - (size + 2)
     marked = np.empty(int((size + 2).sum()), np.uint8)
     marked[at], marked[at + size + 1] = 60, 62
-    marked[textscan.ranges(at + 1, size)] = _FOLD[data[textscan.ranges(starts, size)]]
+    marked[textscan.ranges(at + 1, size)] = textscan.FOLD[data[textscan.ranges(starts, size)]]
     total = textscan.Texts(at, marked, at).byte_sums()
     counts = [np.maximum(size + 2 - n + 1, 0) for n in GRAMS]
     counts[0] = np.maximum(counts[0], 1)  # a word of no bytes does not occur; one byte with its marks is one 3-gram
