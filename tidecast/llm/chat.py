@@ -25,7 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.llm.tokens import ByteEncoder
+
 BUDGET, HISTORY = 512, 128
+#: The public vocabulary whose tokens the budget counts.
+VOCABULARY = "byte_bpe_50k.json"
 #: Fixed parts of the template.
 HEAD, CLOSE_HEAD, END = "### ", ": ", " </turn>\n"
 _SPECIAL = re.compile(r"[\\<#]")
@@ -56,9 +60,14 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
     return head + body + END, len(head), len(head) + len(body)
 
 
-def count_tokens(formatted: str) -> int:
-    """Words and single signs: the measure of the budget."""
-    return len(re.findall(r"\w+|[^\w\s]", formatted))
+_encoders: dict[str, ByteEncoder] = {}
+
+
+def count_tokens(formatted: str, vocabulary: str = VOCABULARY) -> int:
+    """The tokens of a formatted turn; turns end with a line end, which the tokenizer never joins to what follows."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = ByteEncoder(vocabulary)
+    return _encoders[vocabulary].count(formatted)
 
 
 class Formatter:
@@ -209,8 +218,10 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     return _by_conversation(rows, "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(write, schema)
 
 
-def digests(found: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows), read back from windows."""
+def digests(found: DataFrame, in_order: bool = False) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows), read back from windows.
+
+    in_order: the windows come as windows() leaves them, a conversation's in one task and in their order."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,4 +260,4 @@ def digests(found: DataFrame) -> DataFrame:
         if out:
             yield batch_of()
 
-    return _by_conversation(found, "window").mapInArrow(read, schema)
+    return (found if in_order else _by_conversation(found, "window")).mapInArrow(read, schema)

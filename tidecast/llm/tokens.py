@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer, each distinct stretch between white space encoded once.
 
-A text's ids are those of its stretches between white space, one after the other, as the tokenizer never joins them; a text
-with a control separator, on which libraries disagree, is encoded whole.
+A text's ids are those that the library gives with add_special_tokens=False and no other setting: the string of a special token
+in a text is that token.  They are the ids of its stretches between white space, one after the other, as the tokenizer never
+joins them; a text with a control separator, on which libraries disagree, or with the string of a special token is encoded whole.
 """
 
 from __future__ import annotations
@@ -46,8 +47,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.odd = re.compile("[\x1c-\x1f\x85]")
+        self.separators = re.compile("[\x1c-\x1f\x85]")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.begins = sorted({t[0] for t in added})
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
         #: Letters of Latin-1 as the pre-tokenizer writes their bytes; words of these need no other step of the pipeline.
         self.written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(256) if chr(c).isalpha() and chr(c).islower()}
@@ -100,8 +103,12 @@ class Encoder:
         self.used += len(ids)
         self.index.update(zip(pieces, range(k, to), strict=True))
 
+    def _whole(self, text: str) -> bool:
+        """Whether the library must see the whole text: control separators, or an added token's string."""
+        return bool(self.separators.search(text)) or (any(c in text for c in self.begins) and bool(self.added.search(text)))
+
     def _pieces(self, text: str) -> list[str]:
-        if self.odd.search(text):
+        if self._whole(text):
             return [text]
         signs = _latin(text)
         if signs is not None:
@@ -158,8 +165,16 @@ class ByteEncoder(Encoder):
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.rare = re.compile("[^\t\n\r -~\u00a1-\u024f]")
 
+    def _ids(self, text: str) -> list[int]:
+        whole = self.rare.search(text) or self._whole(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids if whole else self.fast.encode_ordinary(text)
+
+    def count(self, text: str) -> int:
+        """The tokens of a text, without END."""
+        return len(self._ids(text))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.tokenizer.encode(t, add_special_tokens=False).ids if self.rare.search(t) else self.fast.encode_ordinary(t) for t in texts]
+        found = [self._ids(t) for t in texts]
         size = np.array([len(f) + 1 for f in found], np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = np.empty(int(total[-1]), np.uint32)
