@@ -9,7 +9,8 @@ by the shingles at each of its positions, which are joined words and not hashes.
 The shingles of all items are broadcast only while their count is below BROADCAST; beyond it the join shuffles.
 
 Defined cases: null and empty texts have no words, no hits and no items; items without words occur nowhere; equal items each
-count; repeated rows of a doc_id or item_id count once for hits and items; other columns are ignored.
+count; repeated rows of a doc_id or item_id count once for hits and items; rows
+without a doc_id take no part; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.shared import discard, durable, release
+from tidecast.llm.shared import discard, durable, release, texts_of
 
 WINDOW, SHINGLE = 10, 3
 #: Distinct item shingles (some 40 bytes each) up to which they are broadcast.
@@ -86,7 +87,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row."""
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    docs = texts_of(documents, id_column, text_column)
     found, owners = occurrences(docs, benchmark.select("item_id", "text"), window)
     hit = found.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     named = found.select("doc_id", "win").distinct().join(owners, "win").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()

@@ -8,7 +8,8 @@ between blanks, which count as a letter.
 The fit reads at most SAMPLE texts of each language, the first by the hash of their id; prediction reads every whole text.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows whose lang is null are not learned from; ties
-go to the language that sorts first; without any learned language every text is `und`; repeated rows are each predicted;
+go to the language that sorts first; without any learned language every text is `und`; repeated rows are each predicted, and learned from with the
+lang that stands beside their own text; rows without a doc_id take no part;
 other columns are ignored.
 """
 
@@ -19,8 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidecast.llm.shared import texts_of
+
 #: Texts of each language that the fit reads at most, and the length of the vectors.
 SAMPLE, DIMENSION = 1500, 1024
 SLOTS, SEED, RUN = 512, 11, 1 << 17
@@ -96,15 +100,14 @@ def _runs(texts: list[str]) -> Iterator[slice]:
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from rows with a lang that are not held out."""
-    known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
-    some = None
-    for lang in langs:
-        part = known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        some = part if some is None else some.unionByName(part)
-    if some is None:
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id is not null")
+    known = rows.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = known.withColumn("place", place).where(F.col("place") <= sample).select("doc_id", "lang").distinct()
+    langs = sorted(r.lang for r in some.select("lang").distinct().collect())
+    if not langs:
         return [], np.zeros((0, DIMENSION), np.float32)
-    picked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
+    picked = rows.join(F.broadcast(some), ["doc_id", "lang"]).select("doc_id", "text", "lang")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {lang: np.zeros(DIMENSION) for lang in langs}
@@ -142,8 +145,7 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFr
                     best, score = np.zeros(len(got), np.int64), np.zeros(len(got))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(run.start, len(got)), pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))], ["doc_id", "lang_pred", "score"])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(scan, "doc_id long, lang_pred string, score double")
+    return texts_of(documents).mapInArrow(scan, "doc_id long, lang_pred string, score double")
 
 
 def language_id(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -7,7 +7,8 @@ per gap smallest (the smaller gap if equal); it opens a bin only if no open one
 that a shard needs a count per gap and not a search over bins.
 
 Defined cases: a null or empty text is its end id alone; a document of exactly the length is one whole piece; equal pieces
-are placed by doc_id and piece number; rows that repeat a doc_id are pieces like any other; other columns are ignored.
+are placed by doc_id and piece number; rows that repeat a doc_id are pieces like any other; rows without one take no part;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.shared import durable, shards
+from tidecast.llm.shared import durable, shards, texts_of
 from tidecast.llm.tokens import ByteEncoder, batches
 
 LENGTH, SHARD = 1024, 50_000
@@ -52,7 +53,7 @@ def pieces(documents: DataFrame, length: int = LENGTH, with_ids: bool = False, i
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    docs = texts_of(documents, id_column, text_column)
     cut_up = docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     return cut_up if with_ids else cut_up.drop("ids")
 

@@ -30,7 +30,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.digests(chat.windows(rows.unionByName(more)))
+    return chat.digests(chat.windows(rows.unionByName(more)), in_order=True)
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

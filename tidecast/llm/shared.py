@@ -15,10 +15,12 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, and only where that is unset (tests on
-    one machine) one of our own."""
+    """The folder that all executors share: the session's spark.checkpoint.dir, and only where that is unset and all runs on
+    one machine (tests) one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             made = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(shutil.rmtree, made, True)
@@ -36,6 +38,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set(key, str(min(BATCH_ROWS, int(spark.conf.get(key)))))
 
 
+def texts_of(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, text) of the rows that have an id; a row without one can neither be named in a result nor come before another."""
+    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return docs.where("doc_id is not null")
+
+
 _written: list[DataFrame] = []
 
 

@@ -13,7 +13,8 @@ are verified as a whole by the names of their first and last window, and where t
 numbered and refined by doubling (module repeats).  A window whose interior has no whole symbol (long runs) is always verified.
 
 Defined cases: null and empty texts have no words and nothing is removed; texts shorter than the window keep all their words;
-repeated rows of a doc_id count as one document each, neither removes from the other; other columns are ignored.
+repeated rows of a doc_id count as one document each, neither removes from the other; rows without a doc_id take no part, strip_repeats
+leaves them as they are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
 from tidecast.llm.repeats import covered, int_lists, repeated, same_runs
+from tidecast.llm.shared import texts_of
 
 #: Rounds of pair naming, the words a named pair may have, and the words at either end whose symbols may differ.
 ROUNDS, MOST_WORDS = 4, 9
@@ -187,7 +189,7 @@ def find_repeats(docs: DataFrame, window: int) -> DataFrame:
 
 def remove_repeats(documents: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row."""
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    docs = texts_of(documents, id_column, text_column)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +204,7 @@ def remove_repeats(documents: DataFrame, window: int = 50, id_column: str = "doc
 
 def strip_repeats(documents: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """documents with all their columns; texts that lose words become the words that stay, joined by one space."""
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    docs = texts_of(documents, id_column, text_column)
     names = [f"c{k}" for k in range(len(documents.columns))]
     marks = find_repeats(docs, window).select(F.col("doc_id").alias("marked"), F.col("at").alias("m0"), F.col("n").alias("m1"))
     plain = documents.toDF(*names)

@@ -10,7 +10,8 @@ stretches that differ, it runs over their bytes, with buckets sorted and numbere
 more than repeats.HOT different stretches is dealt out window by window, by the names of the windows' buckets.
 
 Defined cases: null and empty texts have no bytes; texts shorter than the length keep theirs; the first of several equal
-windows stays, by doc_id and then by its start; rows that repeat a doc_id are one document; other columns are ignored.
+windows stays, by doc_id and then by its start; rows that repeat a doc_id are one document; rows without one
+take no part; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
 from tidecast.llm.repeats import covered, int_lists, repeated, same_runs
+from tidecast.llm.shared import texts_of
 
 #: Bytes of the buckets that anchor windows.
 Q = 32
@@ -130,6 +132,6 @@ def _cut(docs: DataFrame, length: int, with_bytes: bool) -> DataFrame:
 
 def remove_repeats(documents: DataFrame, length: int = 100, with_bytes: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept]) for every row."""
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    docs = texts_of(documents, id_column, text_column)
     marks = repeated(docs, lambda d: _stretches(d, length), lambda d: _contents(d, length), lambda c: _classes(c, length), lambda c: _names(c, length), within=True)
     return _cut(docs.join(marks, "doc_id", "left").select("doc_id", "text", "at", "n"), length, with_bytes)

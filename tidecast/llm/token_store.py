@@ -7,11 +7,12 @@ of symbols.  A block stores the rules, each rule's expansion length, the symbols
 document its id, the place of its first symbol and its number of ids: a document, or any range of it, is decoded from its own
 symbols alone by their expansion lengths.
 
-The files are rows of a Parquet table (path/*.parquet; one row is one block, `payload` its bytes): Spark commits them, so
-that a lost executor's files are written again, and any store that Spark can write to can hold them.
+The files are rows of a Parquet table (path/*.parquet; one row is one block, `payload` its bytes, with its shard, its number in
+the shard and the ids of the shard before it): Spark commits them, so that a lost executor's files are written again, and any
+store that Spark can write to can hold them.  Reading needs the ids of each shard only to place its blocks, and no payload moves.
 
-Defined cases: null and empty texts are their end id; rows that repeat a doc_id are all kept, by their texts; an empty table gives no
-blocks; other columns are ignored.
+Defined cases: null and empty texts are their end id; rows without a doc_id take no part; rows that repeat a doc_id are all kept, by
+their texts; an empty table gives no blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidecast.llm.shared import folder
+from tidecast.llm.shared import durable, folder, texts_of
 from tidecast.llm.textscan import ranges
 from tidecast.llm.tokens import Encoder, batches
 
@@ -35,7 +37,10 @@ BLOCK = 400_000
 #: Names of a round, and how often a pair must occur to be named.
 NAMES, LEAST = 2048, 16
 MAGIC, VOCABULARY = b"TGRM", 49_408
+#: Shards (some 20 bytes each) up to which their first ids are broadcast to the blocks.
+SHARDS = 1_000_000
 _BINS = 18
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 _encoders: dict[str, Encoder] = {}
 
 
@@ -164,20 +169,24 @@ class Block:
 
 def write(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Writes the ids of all documents, in ascending order of doc_id, to the files of path."""
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text"))
+    docs = texts_of(documents, id_column, text_column).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def fill(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder()
+        encoder, shard = _encoder(), TaskContext.get().partitionId()
+        made = before = 0
         names: list[np.ndarray] = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
 
         def block() -> pa.RecordBatch:
+            nonlocal made, before
             docs, ids = np.concatenate(names), np.concatenate(held)
             payload = write_block(docs, ids, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
             for kept in (names, held, sizes):
                 kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(docs[:1]), pa.array([len(ids)]), pa.array([payload], pa.binary())], ["first_doc", "n_ids", "payload"])
+            row = (shard, made, int(docs[0]), before, len(ids), payload)
+            made, before = made + 1, before + len(ids)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS, strict=True)], ["shard", "block", "first_doc", "before", "n_ids", "payload"])
 
         for batch in found:
             texts, docs = batch.column(1).to_pylist(), batch.column(0).to_numpy()
@@ -192,15 +201,16 @@ def write(documents: DataFrame, path: str, id_column: str = "doc_id", text_colum
             yield block()
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(fill, "first_doc long, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(fill, "shard int, block int, first_doc long, before long, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; start counts the ids of all before it."""
     blocks = spark.read.parquet(path)
-    before = F.sum("n_ids").over(W.orderBy("first_doc", "key").rowsBetween(W.unboundedPreceding, -1))
-    starts = blocks.select("first_doc", "n_ids", F.xxhash64("payload").alias("key")).withColumn("before", F.coalesce(before, F.lit(0))).select("first_doc", "key", "before")
-    found = blocks.withColumn("key", F.xxhash64("payload")).join(starts, ["first_doc", "key"]).select("payload", "before")
+    shards = durable(blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")))  # a row for each writing task, which the files' order tells
+    first = shards.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    first = F.broadcast(first) if shards.count() <= SHARDS else first
+    found = blocks.join(first, "shard").select("payload", (F.col("first") + F.col("before")).alias("before"))
 
     def digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:

@@ -10,7 +10,8 @@ word of a run of texts is scored once.
 
 Defined cases: null and empty texts (or without a word) get the score of the bias alone; rows whose label is null are not
 learned from; ids with several labels take the larger; without rows of both classes the score is that of the only class (0
-without any); repeated rows are each scored; other columns are ignored.
+without any); repeated rows are each scored; rows without a doc_id are not learned from, and have no score of
+their own, but keep_clean decides on them like on any text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
+from tidecast.llm.shared import texts_of
 
 #: Labelled rows that the fit reads at most: of class 0, of class 1.
 SAMPLE = (12_000, 3000)
@@ -182,7 +184,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], id_column: str
             for _, part in textscan.texts(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(_scores(part, shared.value))], ["doc_id", "score"])
 
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    docs = texts_of(documents, id_column, text_column)
     return docs.mapInArrow(scan, "doc_id long, score double")
 
 
