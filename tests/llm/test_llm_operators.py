@@ -315,7 +315,6 @@ def test_decontamination_without_items(spark):
 
 def reference_ids(name, text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -441,6 +440,47 @@ def test_token_store(spark, tmp_path):
     assert token_store.store_and_read(empty(spark), f"file://{tmp_path}/none").collect() == []
 
 
+def test_token_store_keeps_repeated_rows_of_several_blocks(spark, tmp_path):
+    long = "the cat sat " * 150_000  # more than a block
+    twice = frame(spark, ["one", long, "two"]).unionByName(frame(spark, ["one", long, "two"]))
+    rows = token_store.store_and_read(twice, f"file://{tmp_path}/ids").orderBy("start").collect()
+    ids = [reference_ids("word_bpe_49k.json", t) for t in ("one", "one", long, long, "two", "two")]
+    assert [r.doc_id for r in rows] == [0, 0, 1, 1, 2, 2]
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(i), zlib.crc32(np.array(i, np.uint32).tobytes())) for i in ids]
+    assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([len(i) for i in ids])])[:-1].tolist()
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op5", "op6", "op8", "op9", "op10"])
+def test_rows_without_an_id_take_no_part(spark, name):
+    texts = ["some words that are said here again and again " * 12, "some words that are said here again and again " * 12, "z", None]
+    docs = frame(spark, texts)
+    more = docs.unionByName(frame(spark, [texts[0], None, "new words"]).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(0, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "again and again some words"), (None, "z")], "item_id long, text string")
+    run = {
+        "op1": lambda d: jaccard_join.jaccard_components(d, 3, 90),
+        "op2": suffix_dedup.remove_repeats,
+        "op3": lambda d: packing.pack_documents(d).drop("sequence_id", "offset"),
+        "op5": token_store.store_and_read,
+        "op6": lambda d: decontaminate.contamination(d, items),
+        "op8": language_id.language_id,
+        "op9": substring_dedup.remove_repeats,
+        "op10": lambda d: toxicity.toxicity(d, labels),
+    }[name]
+    got = sorted(map(str, run(more).collect()))
+    assert got and got == sorted(map(str, run(docs).collect()))
+
+
+def test_language_id_learns_from_the_text_beside_the_lang(spark):
+    one, other = "the cat sat on the mat and the dog ran " * 5, "der hund lief und die katze schlief auf der decke " * 5
+    rows = [(k, (one, other)[k % 2], ("en", "de")[k % 2]) for k in range(60)] + [(k, (other, one)[k % 2], ("de", "en")[k % 2]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.language_id(docs)
+    assert found.count() == 120
+    texts = docs.select("doc_id").distinct().count()
+    assert texts == 60 and found.groupBy("lang_pred").count().orderBy("lang_pred").collect() == [("de", 60), ("en", 60)]
+
+
 def test_repair_shrinks_and_restores():
     rng = np.random.default_rng(0)
     ids = rng.choice(np.array([5, 6, 7, 8, 40_000], np.uint32), 20_000, p=[0.4, 0.3, 0.2, 0.05, 0.05])

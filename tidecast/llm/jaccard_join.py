@@ -6,15 +6,19 @@ set are a single entry; entries with the same prefix and size form a group.  An
 groups, which the size and positional bounds filter; pairs that are left are expanded to members, which a bitmap bound
 filters and the sets verify exactly (by 64-bit shingle hashes).
 
-For components, links between copies are never expanded to all pairs.  Two rounds verify for each entry its nearest and
-its smallest partner outside its component; a last round verifies every pair that is left between different components.
-What is skipped joins documents of one component, so that components are exact.  For the join itself (class_links,
-jaccard_links) one round verifies every pair of entries that the bounds leave, so that no link is missing; its pairs grow
-with the square of a group of near copies, as the links do.  Index lists longer than BLOCK are dealt out as pairs of blocks.
+Tokens that have the same list, such as those of a passage, count as one list with a weight.  In short lists group pairs meet
+without their members and are filtered by the number of tokens that their prefixes have in common; long lists go to shards
+with the members' bitmaps, once for each shard.  Lists longer than BLOCK are dealt out as pairs of blocks.
+
+For components, links between copies are never expanded to all pairs.  NEAR_ROUNDS rounds verify for each entry of a long list
+its nearest, smallest and largest partner outside its component; a last round verifies every pair that is left between
+different components.  What is skipped joins documents of one component, so that components are exact.  For the join itself
+(class_links, jaccard_links) one round verifies every pair of entries that the bounds leave, so that no link is missing; its
+pairs grow with the square of a group of near copies, as the links do.
 
 Defined cases: a null text, or one without words, has size 0 and links with nothing (not even its like); fewer words than
-the shingle size are one shingle; repeated rows of a doc_id count as one document each with the same links; columns other
-than the id and the text are ignored.
+the shingle size are one shingle; repeated rows of a doc_id count as one document each with the same links; rows without a
+doc_id take no part; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
-from tidecast.llm.shared import components, discard, durable, release, shards
+from tidecast.llm.shared import components, discard, durable, release, shards, texts_of
 
 #: Frequent shingles that the order knows (a bound on what the driver gathers; others are ordered by hash alone).
 FREQUENT = 1 << 17
 #: Entries of an index list that meet in one block, and index rows of one shard.
 BLOCK, SHARD = 1024, 30_000
-#: Prefix tokens of each entry, the first in the order, whose lists the first rounds read.
-NEAREST = (4, 16)
+#: Rounds that verify the nearest, smallest and largest partner alone; groups of the longest list that goes by counts.
+NEAR_ROUNDS, SHORT_LIST = 1, 3
 #: Shingles counted together in a task, and the count among them from which a shingle counts as frequent.
 COUNTED, STANDS_OUT = 1_500_000, 6
 #: Words of 64 bits of the narrowest parity bitmap; a set of n tokens has a bit for every two tokens at least.
@@ -125,32 +129,31 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
     return docs.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
 
 
-def _postings(entries: DataFrame, percent: int) -> DataFrame:
-    """(token, gid, n, at) for the prefix tokens that two groups at least share, and those of groups of several members.
+def _lists(entries: DataFrame, percent: int) -> DataFrame:
+    """(list, many, most, weight, gid, n): the index lists of the prefix tokens that two groups at least share.
 
-    Most lists are of two groups that share a token by chance; if their sizes alone rule a link out, the list goes.
+    Tokens whose lists have the same groups, such as those of a passage, are one list with their number as its weight; most
+    is the largest number of members of a group in it.  Most lists are of two groups that share a token by chance; if their
+    sizes alone rule a link out, the list goes.
     """
     groups = entries.groupBy("gid", "n").agg(F.min("prefix").alias("prefix"), F.count("*").alias("members"))
-    slim = groups.select("gid", "n", "members", F.posexplode("prefix").alias("at", "token"))
-    lists = slim.groupBy("token").agg(F.count("*").alias("groups"), F.max("members").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
-    lists = lists.where(f"most > 1 or groups > 2 or (groups = 2 and 100 * low >= {percent} * high)")
-    return slim.drop("members").join(lists.select("token"), "token").select("token", "gid", "n", "at")
+    slim = groups.select("gid", "n", "members", F.explode("prefix").alias("token"))
+    same = [F.bit_xor(F.xxhash64("gid", F.lit(k))).alias(f"k{k}") for k in (0, 1)]
+    lists = slim.groupBy("token").agg(F.count("*").alias("many"), F.max("members").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), *same)
+    lists = lists.where(f"most > 1 or many > 2 or (many = 2 and 100 * low >= {percent} * high)")
+    one = lists.groupBy("k0", "k1", "many", "most").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
+    return slim.join(one.select(F.col("token"), "many", "most", "weight"), "token").select(F.col("token").alias("list"), "many", "most", "weight", "gid", "n")
 
 
-def _dealt(postings: DataFrame) -> DataFrame:
-    """Postings with their list's pairs of blocks, (b1, b2), and the block of their own."""
-    lists = postings.groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") > BLOCK)
-    found = postings.join(lists, "token", "left")
-    found = found.withColumn("blocks", F.coalesce(F.ceil(F.col("groups") / BLOCK), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
-    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return found.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "at", "gid", "n")
+#: Lists of at most so many groups, of one member each, go by counts of common tokens; the others by bitmaps.
+SHORT = f"many <= {SHORT_LIST} and most = 1"
 
 
-def _of_several(postings: DataFrame, comps: DataFrame) -> DataFrame:
-    """Postings of the lists whose members are of several components; comps has (gid, low, high) of each group."""
-    placed = postings.join(comps, "gid")
-    lists = placed.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b")
-    return placed.join(lists.select("token"), "token", "left_semi")
+def _of_several(lists: DataFrame, spans: DataFrame) -> DataFrame:
+    """The lists whose members are of several components; spans has (gid, low, high) of each group."""
+    placed = lists.join(spans, "gid")
+    several = placed.groupBy("list").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b")
+    return lists.join(several.select("list"), "list", "left_semi")
 
 
 class _Bitmaps:
@@ -184,96 +187,102 @@ class _Bitmaps:
         return out
 
 
-def _pair_up(shard: pa.Table, percent: int) -> pa.Table:
-    """Of the member pairs of one shard that all bounds leave, (u, v, far) for each u with its nearest and its smallest v;
-    far is an estimate of the symmetric difference."""
-    col = {name: shard.column(name).to_numpy() for name in ("token", "b1", "b2", "block", "at", "n")}
-    order = np.lexsort((col["b2"], col["b1"], col["token"]))
+def _meet(lists: pa.Table, members: pa.Table, percent: int, every: bool) -> pa.Table:
+    """Of the member pairs of one shard's lists that all bounds leave (u, v, far): all of them, or for each u the one with its
+    nearest v and the ones with its smallest and largest v; far is an estimate of the symmetric difference."""
+    members = members.sort_by([("group", "ascending"), ("doc", "ascending")])
+    gid, doc, comp, size = (members.column(c).to_numpy() for c in ("group", "doc", "comp", "size"))
+    bitmaps = _Bitmaps(members.column("bits").to_pylist())
+    col = {name: lists.column(name).to_numpy() for name in ("list", "b1", "b2", "block", "gid", "n")}
+    order = np.lexsort((col["b2"], col["b1"], col["list"]))
     col = {k: v[order] for k, v in col.items()}
-    members = shard.column("members").combine_chunks().take(pa.array(order))
-    first = np.asarray(members.offsets)
-    flat = members.flatten()
-    first = first - first[0]
-    doc, comp = flat.field("doc").to_numpy(), flat.field("comp").to_numpy()
-    bitmaps = _Bitmaps(flat.field("bits").to_pylist())
-    key = np.flatnonzero(np.concatenate([[True], (col["token"][1:] != col["token"][:-1]) | (col["b1"][1:] != col["b1"][:-1]) | (col["b2"][1:] != col["b2"][:-1])]))
-    size = np.diff(np.append(key, len(order)))
+    first, end = np.searchsorted(gid, col["gid"]), np.searchsorted(gid, col["gid"], side="right")
+    key = np.flatnonzero(np.concatenate([[True], (col["list"][1:] != col["list"][:-1]) | (col["b1"][1:] != col["b1"][:-1]) | (col["b2"][1:] != col["b2"][:-1])]))
+    length = np.diff(np.append(key, len(order)))
+    partners = np.repeat(key + length, length) - np.arange(len(order))  # each row with itself and all later ones of its list
     got: list[tuple[np.ndarray, ...]] = []
-    last = np.repeat(key + size, size)
-    partners = last - np.arange(len(order))  # each row with itself and all later ones of its list
     cuts = np.flatnonzero(np.diff(np.cumsum(partners) // 300_000)) + 1
     for rows in np.split(np.arange(len(order)), cuts):
         x = np.repeat(rows, partners[rows])
         y = textscan.ranges(rows, partners[rows])
         nx, ny = col["n"][x], col["n"][y]
-        need = -(-percent * (nx + ny) // (100 + percent))
-        room = 1 + np.minimum(nx - col["at"][x], ny - col["at"][y]) - 1
         crossing = (col["b1"][x] == col["b2"][x]) | (col["block"][x] != col["block"][y])
-        keep = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (room >= need) & crossing
-        x, y, need = x[keep], y[keep], need[keep]
-        my = first[y + 1] - first[y]
-        count = (first[x + 1] - first[x]) * my  # expand group pairs to member pairs
-        step = textscan.ranges(np.zeros(len(x), np.int64), count)
-        wide = np.repeat(my, count)
+        keep = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & crossing
+        x, y = x[keep], y[keep]
+        wide = end[y] - first[y]
+        count = (end[x] - first[x]) * wide  # expand group pairs to member pairs
+        step, wide = textscan.ranges(np.zeros(len(x), np.int64), count), np.repeat(wide, count)
         u, v = np.repeat(first[x], count) + step // wide, np.repeat(first[y], count) + step % wide
-        most = np.repeat(col["n"][x] + col["n"][y] - 2 * need, count)
-        keep = (doc[u] != doc[v]) & (comp[u] != comp[v]) & ((np.repeat(x != y, count)) | (u < v))
-        u, v, most = u[keep], v[keep], most[keep]
+        keep = (comp[u] != comp[v]) & (np.repeat(x != y, count) | (u < v))
+        u, v = u[keep], v[keep]
+        both = size[u] + size[v]
         far = bitmaps.apart(u, v)
-        keep = far <= most
+        keep = far <= both - 2 * -(-percent * both // (100 + percent))
         got.append((np.minimum(doc[u], doc[v])[keep], np.maximum(doc[u], doc[v])[keep], far[keep]))
     u, v, far = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
-    u, v, far = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([far, far])
-    picks = []
-    for by in ((v, far, u), (v, u)):
-        order = np.lexsort(by)
-        picks.append(order[np.concatenate([[True], u[order][1:] != u[order][:-1]])] if len(order) else order)
-    pick = np.unique(np.concatenate(picks))
+    if not every:
+        u, v, far = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([far, far])
+    order = np.lexsort((v, u))
+    order = order[np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])])] if len(order) else order
+    u, v, far = u[order], v[order], far[order]
+    if not every and len(u):
+        new = np.concatenate([[True], u[1:] != u[:-1]])
+        nearest = np.lexsort((v, far, u))  # a u's rows stand at the same places in either order
+        pick = np.unique(np.concatenate([np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True)), nearest[new]]))
+        u, v, far = u[pick], v[pick], far[pick]
     textscan.give_back()
-    return pa.table({"u": u[pick], "v": v[pick], "far": far[pick]})
-
+    return pa.table({"u": u, "v": v, "far": far})
 
-def _near(postings: DataFrame, members: DataFrame, rows: int, percent: int) -> DataFrame:
-    """(u, v), u < v: for each member its nearest and its smallest partner in the lists of postings, outside its component."""
-    groups = members.groupBy("gid").agg(F.collect_list(F.struct(F.col("doc_id").alias("doc"), "comp", "bits")).alias("members"))
-    shard = F.pmod(F.xxhash64("token", "b1", "b2"), F.lit(shards(rows, SHARD)))
-    dealt = _dealt(postings).join(groups, "gid").withColumn("shard", shard)
-    found = dealt.groupBy("shard").applyInArrow(lambda t: _pair_up(t, percent), "u long, v long, far long")
-    found = found.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("a"), F.min("v").alias("b"))
-    found = found.select("u", F.explode(F.array("a", "b")).alias("v"))
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
+def _long(lists: DataFrame, members: DataFrame, rows: int, percent: int, every: bool) -> DataFrame:
+    """(u, v), u < v: pairs of members of different components that meet in a long list and that the bounds leave; all, or for
+    each member its nearest, smallest and largest partner.
 
-def _all_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(u, v), u < v: every pair of members of different components that the bounds leave.
+    Lists with the same smallest group share a shard, so that the members of near copies, which meet in many lists, go to few
+    shards with their bitmaps, once to each.
+    """
+    heads = lists.groupBy("list").agg(F.min("gid").alias("head"))
+    dealt = lists.join(heads, "list").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("list", "head", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "gid", "n")
+    n = shards(rows, SHARD)
+    dealt = durable(dealt.select(F.pmod(F.xxhash64("head", "b1", "b2"), F.lit(n).cast("long")).alias("shard"), "list", "b1", "b2", "block", "gid", "n"))
+    sent = dealt.select(F.col("shard").alias("to"), F.col("gid").alias("group")).distinct()
+    sent = sent.join(members.select(F.col("gid").alias("group"), F.col("doc_id").alias("doc"), "comp", F.col("n").alias("size"), "bits"), "group")
+    found = dealt.groupBy("shard").cogroup(sent.groupBy("to")).applyInArrow(lambda a, b: _meet(a, b, percent, every), "u long, v long, far long")
+    if not every:
+        found = found.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("a"), F.min("v").alias("b"), F.max("v").alias("c"))
+        found = found.select("u", F.explode(F.array("a", "b", "c")).alias("v"))
+    out = durable(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    discard(dealt)
+    return out
+
+
+def _short(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(u, v), u < v: every pair of members of different components that meets in short lists alone and that the bounds leave.
 
     Group pairs come first, without their members: of the tokens that two sets share, those up to where the first of the two
     prefixes ends stand in both prefixes, so that prefixes with m tokens in common leave at most m and what follows that
     prefix.  Only then do the pairs meet their members and bitmaps.
     """
-    dealt = _dealt(postings)
-    x = dealt.select("token", "b1", "b2", F.col("block").alias("bx"), F.col("gid").alias("g"), F.col("n").alias("nx"))
-    y = dealt.select("token", "b1", "b2", F.col("block").alias("by"), F.col("gid").alias("h"), F.col("n").alias("ny"))
-    met = x.join(y, ["token", "b1", "b2"]).where(f"g < h and (b1 = b2 or bx <> by) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    common = met.groupBy("g", "h", "nx", "ny").agg(F.count("*").alias("m"))
+    each = lists.groupBy("list", "weight").agg(F.sort_array(F.collect_list(F.struct("gid", "n"))).alias("g"))  # SHORT_LIST at most
+    pairs = each.select("weight", F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x.gid as g, y.gid as h, x.n as nx, y.n as ny))))")).alias("p"))
+    pairs = pairs.select("weight", "p.*").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    common = pairs.groupBy("g", "h", "nx", "ny").agg(F.sum("weight").alias("m"))
     need, rest = F.expr(f"ceil({percent} * (nx + ny) / {100 + percent})"), F.expr(f"ceil({percent} * greatest(nx, ny) / 100) - 1")
-    groups = durable(common.where(F.col("m") + rest >= need).select("g", "h"))
-    alone = members.groupBy("gid").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("many > 1 and low < high")
-    groups = groups.unionByName(alone.select(F.col("gid").alias("g"), F.col("gid").alias("h")))
+    groups = common.where(F.col("m") + rest >= need).select("g", "h")
     one, two = ([F.col("gid").alias(g), F.col("doc_id").alias(u), F.col("comp").alias(f"c{u}"), F.col("n").alias(f"n{u}"), F.col("bits").alias(f"b{u}")] for g, u in (("g", "u"), ("h", "v")))
-    both = groups.join(members.select(*one), "g").join(members.select(*two), "h").where("cu <> cv and (g <> h or u < v)")
+    both = groups.join(members.select(*one), "g").join(members.select(*two), "h").where("cu <> cv")
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             bitmaps = _Bitmaps([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()])
-            nu, nv = (batch.column(k).to_numpy() for k in (2, 3))
-            most = nu + nv - 2 * -(-percent * (nu + nv) // (100 + percent))
-            keep = bitmaps.apart(np.arange(n), np.arange(n, 2 * n)) <= most
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = bitmaps.apart(np.arange(n), np.arange(n, 2 * n)) <= sizes - 2 * -(-percent * sizes // (100 + percent))
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    kept = both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv", "bu", "bv").mapInArrow(apart, "u long, v long")
-    return kept.distinct()
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv", "bu", "bv").mapInArrow(apart, "u long, v long")
 
 
 def set_table(docs: DataFrame, words: int) -> DataFrame:
@@ -310,7 +319,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _classes(documents: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, ...]:
     """The texts, their signatures, a row for each set that is not empty, and these as entries of groups."""
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    docs = texts_of(documents, id_column, text_column)
     signed = durable(signatures(docs, frequent_shingles(docs, words), words, percent))
     classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("r"))
     classes = classes.select("k1", "k2", "n", "r.*")
@@ -321,13 +330,22 @@ def _classes(documents: DataFrame, words: int, percent: int, id_column: str, tex
 def _every_link(docs: DataFrame, entries: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v), u < v: all links between entries; every pair that the bounds leave is verified."""
     spark = docs.sparkSession
-    postings = durable(_postings(entries, percent))
+    lists = durable(_lists(entries, percent))
     release(spark)
-    pairs = durable(_all_pairs(postings, entries.withColumn("comp", F.col("doc_id")), percent))
+    members = entries.drop("prefix").withColumn("comp", F.col("doc_id"))
+    long = lists.where(f"not ({SHORT})")
+    pairs = durable(_long(long, members, long.count(), percent, True).unionByName(_short(lists.where(SHORT), members, percent)).distinct())
+    links = _links(docs, pairs, words, percent)
+    discard(lists)
+    return links
+
+
+def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose sets link, as a table; the table of pairs is removed."""
     active = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
     sets = durable(set_table(docs.join(active, "doc_id", "left_semi"), words))
     links = durable(_verified(pairs, sets, percent).distinct())
-    for table in (pairs, active, sets, postings):
+    for table in (pairs, active, sets):
         discard(table)
     return links
 
@@ -361,35 +379,31 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     """
     spark: SparkSession = documents.sparkSession
     docs, signed, classes, entries = _classes(documents, words, percent, id_column, text_column)
-    postings = durable(_postings(entries, percent))
-    near = durable(entries.drop("prefix").join(postings.select("gid").distinct(), "gid", "left_semi"))
+    lists = durable(_lists(entries, percent))
+    near = durable(entries.drop("prefix").join(lists.select("gid").distinct(), "gid", "left_semi"))
     release(spark)
     comps = links = None
-    for first in (*NEAREST, None):
+    for every in (*[False] * NEAR_ROUNDS, True):
         members = near.withColumn("comp", F.col("doc_id"))
         if comps is not None:
             members = near.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         members = durable(members)
         spans = members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        lists = _of_several(postings if first is None else postings.where(F.col("at") < first), spans)
-        lists = durable(lists.select("token", "gid", "n", "at"))
-        if first is None:
-            pairs = durable(_all_pairs(lists, members, percent))
-        else:
-            pairs = durable(_near(lists, members, lists.count(), percent))
-        discard(lists)
+        some = durable(_of_several(lists if every else lists.where(f"not ({SHORT})"), spans))
+        long = some.where(f"not ({SHORT})")
+        pairs = _long(long, members, long.count(), percent, every)
+        if every:
+            pairs, near_pairs = durable(pairs.unionByName(_short(some.where(SHORT), members, percent)).distinct()), pairs
+            discard(near_pairs)
+        discard(some)
         discard(members)
         release(spark)
-        active = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-        sets = durable(set_table(docs.join(active, "doc_id", "left_semi"), words))
-        fresh = durable(_verified(pairs, sets, percent))
-        for table in (pairs, active, sets):
-            discard(table)
+        fresh = _links(docs, pairs, words, percent)
         release(spark)
         links = fresh if links is None else links.unionByName(fresh)
         comps = durable(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
     discard(near)
-    discard(postings)
+    discard(lists)
     class_ids = classes.select("k1", "k2", "n", F.col("doc_id").alias("class_id"))
     class_ids = class_ids.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = signed.select("doc_id", "n", "k1", "k2").join(class_ids, ["k1", "k2", "n"], "left")
