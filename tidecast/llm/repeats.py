@@ -35,9 +35,9 @@ def covered(at: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
 
 
 #: Stretches that one symbol may have to be compared in one task; beyond it its windows are dealt out one by one.
-HOT = 8_000
+HOT = 3_000
 #: Bytes of stretches that one task compares.
-SHARD = 1_500_000
+SHARD = 500_000
 
 
 def same_runs(codes: np.ndarray, sizes: np.ndarray, length: int, have: int = 1) -> np.ndarray:
