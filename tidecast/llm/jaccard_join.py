@@ -36,7 +36,7 @@ from tidecast.llm.shared import components, discard, durable, release, shards, t
 #: Frequent shingles that the order knows (a bound on what the driver gathers; others are ordered by hash alone).
 FREQUENT = 1 << 17
 #: Entries of an index list that meet in one block, and index rows of one shard.
-BLOCK, SHARD = 1024, 30_000
+BLOCK, SHARD = 1024, 2000
 #: Rounds that verify the nearest, smallest and largest partner alone; groups of the longest list that goes by counts.
 NEAR_ROUNDS, SHORT_LIST = 1, 3
 #: Shingles counted together in a task, and the count among them from which a shingle counts as frequent.
