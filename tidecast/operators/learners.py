@@ -104,3 +104,31 @@ def two_lag_recursion(obs: DataFrame, fits: DataFrame, steps: int, longest: int
 
     done = met.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("s"), step))
     return done.select("origin", "gap", "target", F.posexplode(F.slice("s", -steps, steps)).alias("k", "y_pred")).withColumn("horizon", F.col("k") + 1).drop("k")
+
+
+def direct_forecast(obs: DataFrame, cutoff: str, lag: int = 24) -> DataFrame:
+    """(target, ts, horizon, y_pred) from the cutoff on: one line for each target and hour of the day, y on its lag, fitted on the rows
+    before the cutoff; no forecast feeds another."""
+    rows = lag_features(obs, [lag]).where(f"lag_{lag} is not null").withColumns({"x": F.col(f"lag_{lag}"), "horizon": F.hour("ts") + 1})
+    at = F.lit(cutoff).cast("timestamp_ntz")
+    fits = rows.where(F.col("ts") < at).groupBy("target", "horizon").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    return rows.where(F.col("ts") >= at).join(F.broadcast(fits), ["target", "horizon"]).select("target", "ts", "horizon", (F.col("a") + F.col("b") * F.col("x")).alias("y_pred"))
+
+
+def fold_sums(rows: DataFrame, folds: DataFrame, columns: list[str], days: int) -> DataFrame:
+    """(fold, part, n, <means of columns>): the rows before each fold's cut as train, those of the days after it as test.
+
+    Rows are summed per day first, and days accumulate, so that a fold reads a few rows and not its whole history; cuts are midnights.
+    """
+    from pyspark.sql import Window as W
+
+    daily = rows.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns])
+    names = ["n", *columns]
+    past = W.orderBy("day").rowsBetween(W.unboundedPreceding, 0)  # a row for each day
+    total = daily.select("day", *[F.sum(c).over(past).alias(c) for c in names])
+    cut = F.to_date("cut")
+    train = folds.select("fold", F.lit("train").alias("part"), F.date_sub(cut, 1).alias("day")).join(total, "day")
+    spans = folds.select("fold", F.lit("test").alias("part"), F.explode(F.sequence(cut, F.date_add(cut, days - 1))).alias("day"))
+    each = train.select("fold", "part", *names).unionByName(spans.join(daily, "day").select("fold", "part", *names))
+    got = each.groupBy("fold", "part").agg(*[F.sum(c).alias(c) for c in names])
+    return got.select("fold", "part", "n", *[(F.col(c) / F.col("n")).alias(c) for c in columns])

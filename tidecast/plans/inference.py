@@ -174,3 +174,39 @@ def fitted_recursion(spark: SparkSession, sf: str) -> DataFrame:
     rows = obs(spark, sf)
     out = learners.two_lag_recursion(rows, learners.two_lag_fits(rows, _origins(spark)), 24)
     return out.select(F.date_format("origin", "yyyy-MM-dd").alias("origin"), "gap", "target", "horizon", r("y_pred", 3).alias("y_pred"))
+
+
+@query("Q40_gap_evaluation", sql(_FITTED + """, hist AS (SELECT g.origin, gap, g.target, a, b, c, list(y ORDER BY ts) AS s FROM g JOIN obs ON obs.target = g.target AND ts >= g.origin - INTERVAL 24 HOUR AND ts < g.origin GROUP BY ALL),
+rec AS (SELECT origin, gap, target, a, b, c, 0 AS k, s FROM hist UNION ALL SELECT origin, gap, target, a, b, c, k + 1, list_append(s[2:], a + b * s[24] + c * s[1]) FROM rec WHERE k < 24),
+fc AS (SELECT CAST(gap AS INT) AS gap, 'fitted' AS model_id, target, origin, CAST(origin AS TIMESTAMP) + to_hours(CAST(k - 1 AS INT)) AS ts, s[24] AS y_pred FROM rec WHERE k > 0 UNION ALL SELECT v.gap, 'naive24', o.target, CAST(o.ts AS DATE), o.ts, p.y FROM obs o JOIN obs p ON p.target = o.target AND p.ts = o.ts - INTERVAL 24 HOUR, (VALUES """ + ", ".join(f"({g})" for g in _GAPS) + """) v(gap) WHERE o.ts >= TIMESTAMP '2024-01-20' AND o.ts < TIMESTAMP '2024-01-31')
+SELECT fc.gap, model_id, target, count(*) AS n, round(sqrt(avg((o.y - y_pred) * (o.y - y_pred))), 3) AS rmse FROM fc JOIN obs o USING (target, ts) GROUP BY 1, 2, 3""", HOURLY).replace("WITH ", "WITH RECURSIVE ", 1))
+def gap_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = obs(spark, sf)
+    fitted = learners.two_lag_recursion(rows, learners.two_lag_fits(rows, _origins(spark)), 24)
+    fitted = fitted.select("gap", F.lit("fitted").alias("model_id"), "target", F.expr("cast(origin as timestamp_ntz) + make_dt_interval(0, horizon - 1)").alias("ts"), "y_pred")
+    naive = features.seasonal_shift(rows, 24).select(F.explode(F.array(*[F.lit(g) for g in _GAPS])).alias("gap"), F.lit("naive24").alias("model_id"), "target", "ts", "y_pred")
+    days = F.broadcast(fitted.select("ts").distinct())
+    both = fitted.unionByName(naive.join(days, "ts", "left_semi")).join(rows, ["target", "ts"])
+    e = F.col("y") - F.col("y_pred")
+    return both.groupBy("gap", "model_id", "target").agg(F.count("*").alias("n"), r(F.sqrt(F.avg(e * e)), 3).alias("rmse"))
+
+
+@query("Q07_direct_forecast", sql(" , l AS (SELECT target, ts, hour(ts) + 1 AS horizon, y, lag(y, 24) OVER (PARTITION BY target ORDER BY ts) AS x FROM obs), f AS (SELECT target, horizon, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l WHERE ts < TIMESTAMP '2024-01-20' AND x IS NOT NULL GROUP BY 1, 2) SELECT l.target, " + S.format("ts") + " AS ts, CAST(horizon AS INT) AS horizon, round(a + b * x, 3) AS y_pred FROM l JOIN f USING (target, horizon) WHERE ts >= TIMESTAMP '2024-01-20'", HOURLY))
+def direct_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    out = learners.direct_forecast(obs(spark, sf), "2024-01-20 00:00:00")
+    return out.select("target", stamp("ts").alias("ts"), "horizon", r("y_pred", 3).alias("y_pred"))
+
+
+@query("M20_snapshot_refit", sql(_FITTED + " SELECT strftime(origin, '%Y-%m-%d') AS cutoff, target, n, round(a, 3) AS a, round(b, 6) AS b, round(c, 6) AS c FROM g WHERE gap = 0 AND origin = DATE '2024-01-25'", HOURLY))
+def snapshot_refit(spark: SparkSession, sf: str) -> DataFrame:
+    cutoff = spark.sql("select date '2024-01-25' as origin, 0 as gap")
+    out = learners.two_lag_fits(obs(spark, sf), cutoff)
+    return out.select(F.date_format("origin", "yyyy-MM-dd").alias("cutoff"), "target", "n", r("a", 3).alias("a"), r("b").alias("b"), r("c").alias("c"))
+
+
+@query("M05_fold_matrices", sql(" , l AS (SELECT ts, y, lag(y, 1) OVER (ORDER BY ts) AS lag_1, lag(y, 24) OVER (ORDER BY ts) AS lag_24 FROM obs WHERE target = 'P'), f AS (SELECT fold, TIMESTAMP '2024-01-08' + to_days(CAST(4 * fold AS INT)) AS cut FROM range(1, 6) t(fold)) SELECT CAST(fold AS INT) AS fold, CASE WHEN ts < cut THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(y), 6) AS y, round(avg(lag_1), 6) AS lag_1, round(avg(lag_24), 6) AS lag_24 FROM l, f WHERE lag_24 IS NOT NULL AND ts < cut + INTERVAL 4 DAY GROUP BY 1, 2", HOURLY))
+def fold_matrices(spark: SparkSession, sf: str) -> DataFrame:
+    rows = features.lag_features(obs(spark, sf).where("target = 'P'"), [1, 24]).where("lag_24 is not null")
+    folds = spark.range(1, 6).select(F.col("id").cast("int").alias("fold"), F.expr("timestamp_ntz '2024-01-08 00:00:00' + make_dt_interval(cast(4 * id as int))").alias("cut"))
+    out = learners.fold_sums(rows, folds, ["y", "lag_1", "lag_24"], 4)
+    return out.select("fold", "part", "n", *[r(c).alias(c) for c in ("y", "lag_1", "lag_24")])
