@@ -152,3 +152,12 @@ def probabilistic_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query("H04_critical_values", f"WITH RECURSIVE d AS (SELECT unnest(range(2, 62)) AS n), tq AS (SELECT n, 0.0::DOUBLE AS low, pi() / 2 AS high, 0 AS i FROM d UNION ALL SELECT n, CASE WHEN p > 0.05 THEN middle ELSE low END, CASE WHEN p > 0.05 THEN high ELSE middle END, i + 1 FROM (SELECT *, {beyond('middle', 'n')} AS p FROM (SELECT *, (low + high) / 2 AS middle FROM tq WHERE i < 55))) SELECT CAST(n - 1 AS BIGINT) AS df, round(sqrt(n - 1.0) * tan(low), 6) AS t FROM tq WHERE i = 55")
 def critical_values(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1, 61).select(F.col("id").alias("df"), r(dm.t_critical(F.col("id"))).alias("t"))
+
+
+@query("F25_input_audit", sql(" , o AS (SELECT 'P' AS target, ts, p AS y FROM ev UNION ALL SELECT 'Q', ts, q FROM ev), g AS (SELECT 'grid' AS rule, target AS subject, count(DISTINCT ts) = (SELECT count(*) FROM grid) AND count(*) = count(DISTINCT ts) AND count(*) FILTER (y IS NULL OR NOT isfinite(y)) = 0 AS passed FROM o GROUP BY 2), " + _CANDIDATES.removeprefix("WITH ") + ", z AS (SELECT 'splits' AS rule, scheme AS subject, bool_and(date_diff('hour', test_start, test_end) = 23 AND train_start < train_end AND train_end < test_start) AS passed FROM s WHERE k = 1 GROUP BY 2), sd AS (SELECT target, abs(y - lag(y, 24) OVER (PARTITION BY target ORDER BY ts)) AS d FROM obs WHERE ts < TIMESTAMP '2024-01-20'), sc AS (SELECT 'scale' AS rule, target AS subject, avg(d) > 0 AS passed FROM sd GROUP BY 2) SELECT * FROM g UNION ALL SELECT * FROM z UNION ALL SELECT * FROM sc", HOURLY))
+def input_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rule on the inputs with its subject and whether it holds; a run starts only if all do."""
+    grid = grid_audit(spark, sf).select(F.lit("grid").alias("rule"), F.col("target").alias("subject"), F.expr("missing = 0 and repeated = 0 and not_finite = 0").alias("passed"))
+    rules = split_rules(spark, sf).select(F.lit("splits").alias("rule"), F.col("scheme").alias("subject"), F.expr("whole_days = n and in_order = n").alias("passed"))
+    scales = _scale(spark, sf).select(F.lit("scale").alias("rule"), F.col("target").alias("subject"), (F.col("scale") > 0).alias("passed"))
+    return grid.unionByName(rules).unionByName(scales)
