@@ -137,12 +137,16 @@ def _lists(entries: DataFrame, percent: int) -> DataFrame:
     sizes alone rule a link out, the list goes.
     """
     groups = entries.groupBy("gid", "n").agg(F.min("prefix").alias("prefix"), F.count("*").alias("members"))
-    slim = groups.select("gid", "n", "members", F.explode("prefix").alias("token"))
+    slim = groups.select("gid", F.col("n").cast("int").alias("n"), F.col("members").cast("int").alias("members"), F.explode("prefix").alias("token"))
+    lists = slim.groupBy("token").agg(F.count("*").alias("many"), F.max("members").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
+    lists = lists.where(f"most > 1 or many > 2 or (many = 2 and 100L * low >= {percent} * high)")
+    found = durable(slim.drop("members").join(lists.select("token", "many", "most"), "token"))
+    release(entries.sparkSession)
     same = [F.bit_xor(F.xxhash64("gid", F.lit(k))).alias(f"k{k}") for k in (0, 1)]
-    lists = slim.groupBy("token").agg(F.count("*").alias("many"), F.max("members").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), *same)
-    lists = lists.where(f"most > 1 or many > 2 or (many = 2 and 100 * low >= {percent} * high)")
-    one = lists.groupBy("k0", "k1", "many", "most").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
-    return slim.join(one.select(F.col("token"), "many", "most", "weight"), "token").select(F.col("token").alias("list"), "many", "most", "weight", "gid", "n")
+    alike = found.groupBy("token", "many", "most").agg(*same).groupBy("k0", "k1", "many", "most").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
+    out = durable(found.join(alike.select("token", "weight"), "token").select(F.col("token").alias("list"), "many", "most", "weight", "gid", F.col("n").cast("long").alias("n")))
+    discard(found)
+    return out
 
 
 #: Lists of at most so many groups, of one member each, go by counts of common tokens; the others by bitmaps.
@@ -238,15 +242,17 @@ def _long(lists: DataFrame, members: DataFrame, rows: int, percent: int, every:
     """(u, v), u < v: pairs of members of different components that meet in a long list and that the bounds leave; all, or for
     each member its nearest, smallest and largest partner.
 
-    Lists with the same smallest group share a shard, so that the members of near copies, which meet in many lists, go to few
-    shards with their bitmaps, once to each.
+    Lists with the same smallest group share a shard, or some if they are many, so that the members of near copies, which meet
+    in many lists, go to few shards with their bitmaps, once to each.
     """
     heads = lists.groupBy("list").agg(F.min("gid").alias("head"))
     dealt = lists.join(heads, "list").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("list", "head", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "gid", "n")
-    n = shards(rows, SHARD)
-    dealt = durable(dealt.select(F.pmod(F.xxhash64("head", "b1", "b2"), F.lit(n).cast("long")).alias("shard"), "list", "b1", "b2", "block", "gid", "n"))
+    table = durable(dealt.select("list", "head", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "gid", "n"))
+    n = F.lit(shards(rows, SHARD)).cast("long")
+    shares = table.groupBy("head", "b1", "b2").agg(F.ceil(F.count("*") / (4 * SHARD)).cast("long").alias("shares")).where("shares > 1")
+    dealt = table.join(shares, ["head", "b1", "b2"], "left").withColumn("share", F.pmod(F.xxhash64("list"), F.coalesce("shares", F.lit(1))))
+    dealt = dealt.select(F.pmod(F.xxhash64("head", "b1", "b2", "share"), n).alias("shard"), "list", "b1", "b2", "block", "gid", "n")
     sent = dealt.select(F.col("shard").alias("to"), F.col("gid").alias("group")).distinct()
     sent = sent.join(members.select(F.col("gid").alias("group"), F.col("doc_id").alias("doc"), "comp", F.col("n").alias("size"), "bits"), "group")
     found = dealt.groupBy("shard").cogroup(sent.groupBy("to")).applyInArrow(lambda a, b: _meet(a, b, percent, every), "u long, v long, far long")
@@ -254,7 +260,7 @@ def _long(lists: DataFrame, members: DataFrame, rows: int, percent: int, every:
         found = found.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("a"), F.min("v").alias("b"), F.max("v").alias("c"))
         found = found.select("u", F.explode(F.array("a", "b", "c")).alias("v"))
     out = durable(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    discard(dealt)
+    discard(table)
     return out
 
 
@@ -317,20 +323,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "u long, v long")
 
 
-def _classes(documents: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, ...]:
-    """The texts, their signatures, a row for each set that is not empty, and these as entries of groups."""
+def _classes(documents: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts, (doc_id, n, k1, k2) of each, and a row for each set that is not empty, by its smallest doc_id, as an entry."""
     docs = texts_of(documents, id_column, text_column)
     signed = durable(signatures(docs, frequent_shingles(docs, words), words, percent))
-    classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("r"))
-    classes = classes.select("k1", "k2", "n", "r.*")
-    entries = durable(classes.select("doc_id", "n", "prefix", "bits", F.xxhash64("n", "prefix").alias("gid")))
-    return docs, signed, classes, entries
+    sets = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("r")).select("n", "r.*")
+    entries = durable(sets.select("doc_id", "n", "prefix", "bits", F.xxhash64("n", "prefix").alias("gid")))
+    keys = durable(signed.select("doc_id", "n", "k1", "k2"))
+    discard(signed)
+    release(docs.sparkSession)
+    return docs, keys, entries
+
+
+def _class_ids(keys: DataFrame) -> DataFrame:
+    """(k1, k2, n, class_id, same): the smallest doc_id of each set that is not empty, and the number of its documents."""
+    return keys.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("same"))
 
 
 def _every_link(docs: DataFrame, entries: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v), u < v: all links between entries; every pair that the bounds leave is verified."""
     spark = docs.sparkSession
-    lists = durable(_lists(entries, percent))
+    lists = _lists(entries, percent)
     release(spark)
     members = entries.drop("prefix").withColumn("comp", F.col("doc_id"))
     long = lists.where(f"not ({SHORT})")
@@ -352,21 +365,21 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
 
 def class_links(documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(u, v), u < v: all pairs of classes, by their class_id, whose sets link."""
-    docs, _, _, entries = _classes(documents, words, percent, id_column, text_column)
+    docs, _, entries = _classes(documents, words, percent, id_column, text_column)
     return _every_link(docs, entries, words, percent)
 
 
 def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, n_links) for every row: n_links counts the other documents that the document links
     with, those with the same set and those of all classes that link with its own; 0 where the set is empty."""
-    docs, signed, classes, entries = _classes(documents, words, percent, id_column, text_column)
+    docs, keys, entries = _classes(documents, words, percent, id_column, text_column)
     links = _every_link(docs, entries, words, percent)
+    discard(entries)
     key = ["k1", "k2", "n"]
-    sizes = signed.where("n > 0").groupBy(*key).agg(F.countDistinct("doc_id").alias("same"))
-    sizes = durable(classes.select(*key, F.col("doc_id").alias("class_id")).join(sizes, key))
+    sizes = durable(_class_ids(keys))
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.join(sizes.select(F.col("class_id").alias("v"), "same"), "v").groupBy(F.col("u").alias("class_id")).agg(F.sum("same").alias("near"))
-    found = signed.select("doc_id", *key).join(sizes.join(near, "class_id", "left"), key, "left")
+    found = keys.join(sizes.join(near, "class_id", "left"), key, "left")
     n_links = F.coalesce(F.col("same") - 1 + F.coalesce("near", F.lit(0)), F.lit(0))
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), n_links.alias("n_links"))
 
@@ -378,9 +391,10 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     smallest doc_id that links reach, where links are sets with 100 * intersection >= percent * union.
     """
     spark: SparkSession = documents.sparkSession
-    docs, signed, classes, entries = _classes(documents, words, percent, id_column, text_column)
-    lists = durable(_lists(entries, percent))
+    docs, keys, entries = _classes(documents, words, percent, id_column, text_column)
+    lists = _lists(entries, percent)
     near = durable(entries.drop("prefix").join(lists.select("gid").distinct(), "gid", "left_semi"))
+    discard(entries)
     release(spark)
     comps = links = None
     for every in (*[False] * NEAR_ROUNDS, True):
@@ -404,8 +418,7 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
         comps = durable(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
     discard(near)
     discard(lists)
-    class_ids = classes.select("k1", "k2", "n", F.col("doc_id").alias("class_id"))
-    class_ids = class_ids.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-    out = signed.select("doc_id", "n", "k1", "k2").join(class_ids, ["k1", "k2", "n"], "left")
+    class_ids = _class_ids(keys).join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
+    out = keys.join(class_ids, ["k1", "k2", "n"], "left")
     own = F.coalesce("component", "class_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
