@@ -18,9 +18,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near duplicates connect (five-word shingles, similarity of 0.8 or more), the one of smallest id."""
+    """Of documents that near duplicates connect (five-word shingles, similarity of 0.8 or more), the one of smallest id.
+
+    Of rows that repeat a doc_id one stays, the first by the hash of its columns; rows without a doc_id stay."""
     groups = jaccard_join.jaccard_components(docs, words=5, percent=80)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    twice = shared.durable(twice)
+    one = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one.select("row.*"))
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
