@@ -67,3 +67,16 @@ def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path, rows):
             docs = after
     assert bool(docs.count()) == bool(rows)
     assert after.select("doc_id").distinct().count() == docs.count()
+
+
+def test_repeated_rows_are_one_document(spark, tmp_path):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text, "en", 5), (1, text, "en", 5), (2, text, "en", 5), (3, "short", "en", 5), (3, "another text", "en", 6), (4, None, "en", 0), (None, "no id", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    spark.createDataFrame([(3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, f"{tmp_path}").write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
+        assert ids == [(False, k) for k in ([1, 1, 2, 3, 3, 4] if name == "toxicity" else [1, 3, 4])] + [(True, 0)], name
