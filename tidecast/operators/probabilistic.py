@@ -90,3 +90,22 @@ def quantile_crossings(quantiles: DataFrame, keys: list[str], tolerance: float =
     w = W.partitionBy(*keys).orderBy("tau")
     bad = quantiles.withColumn("_d", F.col("q") - F.lag("q").over(w)).groupBy(*keys).agg(F.max((F.col("_d") < -tolerance).cast("int")).alias("bad"))
     return bad.groupBy("model_id", "target").agg(F.sum(F.coalesce("bad", F.lit(0))).cast("long").alias("crossings"))
+
+
+def hourly_losses(points: DataFrame, pool: DataFrame, taus: list[float]) -> DataFrame:
+    """points with se, ae, crps and pb (the mean pinball loss over taus) of each hour, against the pool's errors of its horizon.
+
+    The forecast cancels out of both scores, so that a horizon's sorted errors, their quantiles and the ensemble's own spread are
+    made once, as arrays of one row, and every point reads that row: no point is multiplied by members or levels.
+    """
+    keys = ["model_id", "target", "horizon"]
+    levels = F.array(*[F.lit(t) for t in taus])
+    known = pool.groupBy(*keys).agg(F.array_sort(F.collect_list("error")).alias("e"), F.percentile("error", levels).alias("q"))
+    n = F.size("e")
+    pair = F.aggregate(F.transform("e", lambda x, k: (2 * (k + 1) - n - 1) * x), F.lit(0.0), lambda a, x: a + x) / (n * n)
+    known = known.withColumns({"pair": pair, "levels": levels})
+    err = F.col("error")
+    apart = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.abs(x - err)) / n
+    each = F.zip_with("levels", "q", lambda t, q: F.greatest(t * (err - q), (t - 1) * (err - q)))
+    met = points.join(known, keys).withColumns({"se": err * err, "ae": F.abs(err), "crps": apart - F.col("pair"), "pb": F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size("q")})
+    return met.drop("e", "q", "pair", "levels")

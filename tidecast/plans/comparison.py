@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.operators import compare, dm, metrics
-from tidecast.plans.base import facts, hourly, r, sql, stamp
-from tidecast.plans.evaluation import _CRPS, _QL, POINT, crps_rows, predictive_rows, rounded
+from tidecast.operators import compare, dm, metrics, probabilistic
+from tidecast.plans.base import CALIBRATION, facts, hourly, r, sql, stamp
+from tidecast.plans.evaluation import _CRPS, _QL, POINT, crps_rows, rounded
 from tidecast.plans.registry import query
 from tidecast.sources import tables
 
@@ -46,11 +46,8 @@ _AUTO = "CAST(floor(4 * pow(count(*) / 100.0, 2 / 9.0)) AS INT)"
 
 def hourly_losses(spark: SparkSession, sf: str) -> DataFrame:
     """(model_id, target, date, horizon, ts, se, ae, crps, pb): the four losses of each forecast hour."""
-    key = ["model_id", "target", "ts"]
-    pb = predictive_rows(spark, sf)[0].groupBy(*key).agg(F.avg("pinball").alias("pb"))
-    e = F.col("error")
-    points = facts(spark, sf).select(*key, "date", "horizon", (e * e).alias("se"), F.abs(e).alias("ae"))
-    return points.join(crps_rows(spark, sf).select(*key, "crps"), key).join(pb, key)
+    out = probabilistic.hourly_losses(facts(spark, sf), facts(spark, sf, CALIBRATION), probabilistic.TAUS)
+    return out.select("model_id", "target", "date", "horizon", "ts", "se", "ae", "crps", "pb")
 
 
 def daily_long(spark: SparkSession, sf: str) -> DataFrame:

@@ -206,9 +206,8 @@ cr AS (SELECT model_id, target, ts, date, avg(abs(x - y_true)) - sum((2 * k - n
 
 
 def crps_rows(spark: SparkSession, sf: str) -> DataFrame:
-    pool = facts(spark, sf, CALIBRATION).select(*KEYS, F.col("error").alias("past"))
-    members = facts(spark, sf).join(pool, KEYS).withColumn("x", F.col("y_pred") + F.col("past"))
-    return probabilistic.crps_ensemble(members, ["model_id", "target", "ts", "date"], y="y_true")
+    out = probabilistic.hourly_losses(facts(spark, sf), facts(spark, sf, CALIBRATION), probabilistic.TAUS)
+    return out.select("model_id", "target", "ts", "date", "crps")
 
 
 @query("Q12_crps_ensemble", sql(_CRPS + f" SELECT model_id, target, {S.format('ts')} AS ts, round(crps, 6) AS crps FROM cr"))
