@@ -35,7 +35,7 @@ from tidecast.llm.tokens import Encoder, batches
 
 BLOCK = 400_000
 #: Names of a round, and how often a pair must occur to be named.
-NAMES, LEAST = 2048, 16
+NAMES, LEAST = 8192, 16
 MAGIC, VOCABULARY = b"TGRM", 49_408
 #: Shards (some 20 bytes each) up to which their first ids are broadcast to the blocks.
 SHARDS = 1_000_000
@@ -50,15 +50,18 @@ def _encoder() -> Encoder:
     return _encoders["word"]
 
 
-def _frequent(symbols: np.ndarray, inner: np.ndarray, names: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules of the most frequent pairs, the places of these pairs, and the number of the pair at each of them.
+def _frequent(symbols: np.ndarray, cross: np.ndarray, names: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules of the most frequent pairs, the places of these pairs, and the number of the pair at each of them; cross are the
+    places of pairs of two documents, which count for nothing.
 
     Pairs are counted by bins of their hash; a bin stands for the pair that it holds at its last place, and other pairs that
     share a bin with a frequent one wait for a later round.
     """
-    left, right = symbols[:-1], symbols[1:]
-    bins = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BINS)
-    bins[~inner] = 1 << _BINS
+    bins = symbols[:-1] * np.uint32(0x9E3779B1)
+    bins ^= symbols[1:] * np.uint32(0x85EBCA77)
+    bins >>= np.uint32(32 - _BINS)
+    bins = bins.astype(np.int64)
+    bins[cross] = 1 << _BINS
     count = np.bincount(bins, minlength=(1 << _BINS) + 1)[:-1]
     top = np.flatnonzero(count >= least)
     if len(top) > names:
@@ -67,12 +70,14 @@ def _frequent(symbols: np.ndarray, inner: np.ndarray, names: int, least: int) ->
         return np.zeros((0, 2), np.uint32), top, top
     rank = np.full((1 << _BINS) + 1, -1, np.int32)
     rank[top] = np.arange(len(top))
-    place = np.flatnonzero(rank[bins] >= 0)
-    number = rank[bins[place]]
-    rules = np.zeros((len(top), 2), np.uint32)
-    rules[number] = np.stack([left[place], right[place]], axis=1)
-    own = (rules[number, 0] == left[place]) & (rules[number, 1] == right[place])
-    return rules, place[own], number[own]
+    number = rank[bins]
+    place = np.flatnonzero(number >= 0)
+    number = number[place]
+    pair = (symbols[place].astype(np.uint64) << np.uint64(32)) | symbols[place + 1]
+    rules = np.zeros(len(top), np.uint64)
+    rules[number] = pair
+    own = rules[number] == pair
+    return np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32), place[own], number[own]
 
 
 def compress(ids: np.ndarray, first: np.ndarray, names: int = NAMES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,21 +85,20 @@ def compress(ids: np.ndarray, first: np.ndarray, names: int = NAMES, least: int
     symbols, at, rules = ids.astype(np.uint32), first.astype(np.int64), []
     made = 0
     while len(symbols) > 1:  # every round but the last one takes a symbol away at least
-        inner = np.ones(len(symbols) - 1, bool)
-        inner[at[(at > 0) & (at < len(symbols))] - 1] = False
-        found, place, number = _frequent(symbols, inner, names, least)
+        found, place, number = _frequent(symbols, at[(at > 0) & (at < len(symbols))] - 1, names, least)
         if not len(place):
             break
-        begin = np.concatenate([[True], place[1:] != place[:-1] + 1])
-        since = np.arange(len(place)) - np.maximum.accumulate(np.where(begin, np.arange(len(place)), 0))
-        free = since % 2 == 0  # of overlapping places every other one
-        take = place[free]
-        keep = np.ones(len(symbols) + 1, bool)
-        keep[take + 1] = False
-        symbols = symbols.copy()
-        symbols[take] = (VOCABULARY + made + number[free]).astype(np.uint32)
-        at = at - np.searchsorted(take, at - 1)
-        symbols = symbols[keep[:-1]]
+        near = place[1:] == place[:-1] + 1
+        if near.any():
+            begin = np.concatenate([[True], ~near])
+            since = np.arange(len(place)) - np.maximum.accumulate(np.where(begin, np.arange(len(place)), 0))
+            free = since % 2 == 0  # of overlapping places every other one
+            place, number = place[free], number[free]
+        keep = np.ones(len(symbols), bool)
+        keep[place + 1] = False
+        symbols[place] = (VOCABULARY + made + number).astype(np.uint32)
+        at = at - np.searchsorted(place, at - 1)
+        symbols = symbols[keep]
         rules.append(found)
         made += len(found)
     return np.concatenate([*rules, np.zeros((0, 2), np.uint32)]), symbols, at
