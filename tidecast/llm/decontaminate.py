@@ -53,19 +53,16 @@ def item_windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
 
 
 def matched(docs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(doc_id, pos, shingle): where the shingles of any window stand in the documents."""
+    """(doc_id, pos, shingle): where the shingles of any window stand in the documents, which are cut into words once."""
     wanted = shingles.select("size", "shingle").distinct()
     counts = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count("*").alias("n")).collect()}
     placed = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode("words").alias("pos", "word"))
-    out = None
-    for size, n in sorted(counts.items()):
-        side = wanted.where(F.col("size") == size).select("shingle")
-        side = F.broadcast(side) if n <= BROADCAST else side
-        part = placed.select("doc_id", "pos", _shingle(size).alias("shingle")).join(side, "shingle").select("doc_id", "pos", "shingle")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = placed.select("doc_id", "pos", F.col("word").alias("shingle")).where("false")
-    return out.distinct()
+    if not counts:
+        return placed.where("false").select("doc_id", "pos", F.col("word").alias("shingle"))
+    each = F.array(*[F.struct(F.lit(size).alias("size"), _shingle(size).alias("shingle")) for size in sorted(counts)])
+    found = placed.select("doc_id", "pos", F.explode(each).alias("e")).select("doc_id", "pos", "e.size", "e.shingle").where("shingle is not null")
+    side = F.broadcast(wanted) if sum(counts.values()) <= BROADCAST else wanted
+    return found.join(side, ["size", "shingle"]).select("doc_id", "pos", "shingle").distinct()
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
