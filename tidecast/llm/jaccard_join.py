@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
-from tidecast.llm.shared import components, discard, durable, release, shards, texts_of
+from tidecast.llm.shared import components, discard, durable, few, release, shards, texts_of
 
 #: Frequent shingles that the order knows (a bound on what the driver gathers; others are ordered by hash alone).
 FREQUENT = 1 << 17
@@ -356,7 +356,7 @@ def _every_link(docs: DataFrame, entries: DataFrame, words: int, percent: int) -
 def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose sets link, as a table; the table of pairs is removed."""
     active = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = durable(set_table(docs.join(active, "doc_id", "left_semi"), words))
+    sets = durable(set_table(docs.join(few(active), "doc_id", "left_semi"), words))
     links = durable(_verified(pairs, sets, percent).distinct())
     for table in (pairs, active, sets):
         discard(table)

@@ -73,6 +73,15 @@ def discard(df: DataFrame) -> None:
     _written[:] = [t for t in _written if t.written != df.written]
 
 
+#: Rows of ids (some 30 bytes each in memory) up to which they are broadcast to the rows that they select.
+IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it is counted to have IDS rows at most: then texts are not shuffled to meet it."""
+    return F.broadcast(ids) if ids.count() <= IDS else ids
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished jobs now and not when the driver next runs short of memory."""
     gc.collect()
