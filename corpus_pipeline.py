@@ -22,8 +22,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Of rows that repeat a doc_id one stays, the first by the hash of its columns; rows without a doc_id stay."""
     groups = jaccard_join.jaccard_components(docs, words=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    groups = shared.durable(groups.select("doc_id", "component_id"))
+    gone = shared.durable(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(shared.few(gone), "doc_id", "left_anti").select(docs.columns)
     twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
@@ -41,7 +42,8 @@ def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     found, _ = decontaminate.occurrences(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    found = shared.durable(found.select("doc_id").distinct())
+    return docs.join(shared.few(found), "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
