@@ -557,6 +557,47 @@ def test_nearest_odd_vectors(spark):
     assert nearest.search(table.where("false"), table.where("false")).collect() == []
 
 
+def test_nearest_with_split_lists_and_many_equal_queries(spark, monkeypatch):
+    for name, value in (("PER_LIST", 40), ("LIST_MOST", 15), ("QUERY_MOST", 7), ("LEAST_LISTS", 100), ("MOST_BEAM", 100)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(400, 8))
+    vectors[50:250] = vectors[50]  # half of all queries are equal, and so are half of all candidates
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in nearest.search(rows, rows, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score, r["rank"]))
+    exact = {v: np.einsum("ij,ij->i", np.repeat(vectors[v][None], 400, 0), vectors) for v in range(400)}
+    for q in range(400):
+        order = [int(v) for v in np.lexsort((np.arange(400), -exact[q])) if v != q][:20]
+        assert [v for v, _, _ in got[q]] == order and [k for _, _, k in got[q]] == list(range(1, 21))
+        assert all(abs(s - exact[q][v]) < 1e-12 for v, s, _ in got[q])
+
+
+def test_bundles_are_what_binding_letter_by_letter_gives():
+    texts = ["Ab c!", "the cat, the CAT", "é", "x1y  zz"]
+    letters = language_id._letters().astype(float)
+    got, has = language_id.profiles(texts)
+    for k, text in enumerate(texts):
+        marked = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+        slots = [0 if c == " " else ord(c) % (language_id.SLOTS - 1) + 1 for c in marked]
+        counts = collections.Counter(tuple(slots[i : i + 3]) for i in range(len(slots) - 2) if slots[i + 1])
+        bundle = sum(np.sqrt(n) * np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for (a, b, c), n in counts.items())
+        assert has[k] and np.allclose(got[k], bundle / np.linalg.norm(bundle), atol=1e-5)
+
+
+def test_scores_are_the_softmax_of_the_mean_of_subwords():
+    rng = np.random.default_rng(6)
+    scalars, bias = rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.3
+    texts = ["one word", "one one two, three", "", "Ünïcödé WORDS words", "a"]
+    buckets, weights = toxicity.bags(toxicity.pa.array(texts))
+    want = [1 / (1 + np.exp(-(float((scalars[b].astype(float) * w).sum()) + bias))) for b, w in zip(buckets, weights, strict=True)]
+    data = "".join(texts).encode()
+    cuts = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    part = textscan.Texts(np.arange(len(texts)), np.frombuffer(data, np.uint8), cuts)
+    assert np.allclose(toxicity._scores(part, (scalars, bias)), want, atol=1e-5)
+
+
 def test_language_id(spark, documents):
     got = language_id.language_id(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.held_out]

@@ -8,8 +8,9 @@ of up to REPLICAS - 1 others whose centroids are at most 1 + CLOSE times as far.
 search over their in-memory neighbour graph and reads the lists whose centroids are at most 1 + WIDE times as far as its
 nearest, LEAST_LISTS of them and LEAST_VECTORS vectors at least.  Scores are inner products of the original vectors.
 
-Equal vectors are one entry with the k + 1 smallest of their ids, which is all that any query can return of them; lists
-longer than LIST_MOST are split into parts that each of their queries reads.  The centroids are the only thing broadcast.
+Equal vectors are one entry with the k + 1 smallest of their ids, which is all that any query can return of them, and equal
+queries are asked once.  Lists longer than LIST_MOST are split into parts that each of their queries reads, and the queries of a
+list, if more than QUERY_MOST, are dealt to several tasks.  Centroids and a row for each list are all that is broadcast.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or a non-finite component take no part, nor do those of
 another length than most have; repeated ids count once (by their smallest vector); with k candidates or fewer all are
@@ -28,10 +29,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidecast.llm.shared import durable, shards
+from tidecast.llm.textscan import ranges
 
 #: Bounds of the fit: vectors that it reads, and lists.
 SAMPLE, MOST_LISTS, PER_LIST, ROUNDS, SEED = 20_000, 4096, 128, 8, 3
 REPLICAS, CLOSE, WIDE, LEAST_LISTS, MOST_BEAM, LEAST_VECTORS, LIST_MOST = 4, 0.1, 0.35, 12, 64, 400, 2000
+#: Queries of a list that one task answers.
+QUERY_MOST = 5000
 NEIGHBOURS = 16
 
 
@@ -184,44 +188,56 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, id_column: st
                 again = parts[to]
                 part = np.concatenate([np.arange(p) for p in again]) if len(again) else np.zeros(0, np.int64)
                 row, to = np.repeat(row, again), np.repeat(to, again)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(part.astype(np.int64)), *(c.take(pa.array(row)) for c in some.columns)], ["list", "part", "query_id", "q"])
-
-    routed = asked.mapInArrow(route, "list long, part long, query_id long, q array<double>")
-    parts_of = spark.createDataFrame([(int(i), int(p)) for i, p in enumerate(parts)], "list long, parts long")
-    dealt = lists.join(F.broadcast(parts_of), "list").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts"))).drop("parts")
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(part.astype(np.int64)), *(c.take(pa.array(row)) for c in some.columns)], ["list", "part", "asker", "q"])
+
+    # equal queries are asked once, by the smallest of their ids; a list of many queries is read by several tasks, each for some
+    askers = durable(asked.groupBy("v").agg(F.min("vec_id").alias("asker")))
+    twins = durable(asked.join(askers, "v").select(F.col("vec_id").alias("query_id"), "asker"))
+    routed = durable(askers.select("asker", "v").mapInArrow(route, "list long, part long, asker long, q array<double>"))
+    blocks = routed.where("part = 0").groupBy("list").agg(F.ceil(F.count("*") / QUERY_MOST).cast("long").alias("blocks"))
+    known = blocks.join(spark.createDataFrame([(int(i), int(p)) for i, p in enumerate(parts)], "list long, parts long"), "list")  # a row for each list
+    dealt = lists.join(F.broadcast(known), "list").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).drop("parts", "blocks")
+    sent = routed.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("asker"), F.col("blocks")).cast("int")).drop("blocks")
     n = shards(int(size.sum()), 20_000, least=8)
-    shard = F.pmod(F.xxhash64("list", "part"), F.lit(n).cast("long")).alias("shard")
+    shard = F.pmod(F.xxhash64("list", "part", "block"), F.lit(n).cast("long")).alias("shard")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        vector, ids, key = _matrix(left.column("v")), left.column("ids").to_pylist(), list(zip(left.column("list").to_pylist(), left.column("part").to_pylist(), strict=True))
-        asks, query, ask_key = _matrix(right.column("q")), right.column("query_id").to_pylist(), list(zip(right.column("list").to_pylist(), right.column("part").to_pylist(), strict=True))
-        here: dict[tuple, list[int]] = {}
-        for i, x in enumerate(key):
-            here.setdefault(x, []).append(i)
-        wanted: dict[tuple, list[int]] = {}
-        for i, x in enumerate(ask_key):
-            wanted.setdefault(x, []).append(i)
-        for x, q in wanted.items():
-            if x not in here:
+        vectors, ids, asks, asker = _matrix(left.column("v")), left.column("ids").combine_chunks(), _matrix(right.column("q")), right.column("asker").to_numpy()
+        cut = np.asarray(ids.offsets).astype(np.int64)
+        flat = ids.flatten().to_numpy()
+        cut = cut - cut[0]
+
+        def rows_of(t: pa.Table) -> dict[tuple, np.ndarray]:
+            if not t.num_rows:
+                return {}
+            key = np.stack([t.column(c).to_numpy() for c in ("list", "part", "block")], axis=1)
+            order = np.lexsort(key.T)
+            key = key[order]
+            head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+            return {tuple(key[a].tolist()): rows for a, rows in zip(head, np.split(order, head[1:]), strict=True)}
+
+        here, out = rows_of(left), []
+        for key, q in rows_of(right).items():
+            own = here.get(key)
+            if own is None:
                 continue
-            own = np.array(here[x])
-            scores = np.stack([vector[own] @ asks[i] for i in q])
-            top = np.argsort(-scores, axis=1, kind="stable")
-            for line, i in enumerate(q):
-                got: list[tuple[float, int]] = []
-                for e in top[line]:
-                    if len(got) >= k and scores[line, e] < got[k - 1][0]:
-                        break
-                    got += [(float(scores[line, e]), d) for d in ids[own[e]] if d != query[i]]
-                got.sort(key=lambda p: (-p[0], p[1]))
-                for s, d in got[:k]:
-                    out[0].append(query[i])
-                    out[1].append(d)
-                    out[2].append(s)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    best = dealt.withColumn("shard", shard).groupBy("shard").cogroup(routed.withColumn("shard", shard).groupBy("shard")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            for at in range(0, len(q), 500):
+                some = q[at : at + 500]
+                near = asks[some] @ vectors[own].T
+                least = np.partition(near, max(len(own) - k - 1, 0), axis=1)[:, max(len(own) - k - 1, 0)]
+                row, column = np.nonzero(near >= least[:, None] - 1e-9 * np.abs(near).max())  # sums in another order may differ by a little
+                score = np.einsum("ij,ij->i", asks[some[row]], vectors[own[column]])
+                entry = own[column]
+                many = cut[entry + 1] - cut[entry]
+                out.append((np.repeat(asker[some[row]], many), flat[ranges(cut[entry], many)], np.repeat(score, many)))
+        got = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
+        return pa.table({"asker": pa.array(got[0].astype(np.int64)), "vec_id": pa.array(got[1].astype(np.int64)), "score": pa.array(got[2].astype(np.float64))})
+
+    best = dealt.withColumn("shard", shard).groupBy("shard").cogroup(sent.withColumn("shard", shard).groupBy("shard")).applyInArrow(meet, "asker long, vec_id long, score double")
+    best = best.groupBy("asker", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(W.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
+    best = best.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    each = twins.join(best, "asker").where("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
