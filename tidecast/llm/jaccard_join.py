@@ -136,8 +136,9 @@ def _lists(entries: DataFrame, percent: int) -> DataFrame:
     is the largest number of members of a group in it.  Most lists are of two groups that share a token by chance; if their
     sizes alone rule a link out, the list goes.
     """
-    groups = entries.groupBy("gid", "n").agg(F.min("prefix").alias("prefix"), F.count("*").alias("members"))
-    slim = groups.select("gid", F.col("n").cast("int").alias("n"), F.col("members").cast("int").alias("members"), F.explode("prefix").alias("token"))
+    several = durable(entries.groupBy("gid").agg(F.count("*").alias("members"), F.min("doc_id").alias("head")).where("members > 1"))
+    groups = entries.join(few(several), "gid", "left").where("members is null or doc_id = head")  # one entry of each group
+    slim = groups.select("gid", F.col("n").cast("int").alias("n"), F.coalesce("members", F.lit(1)).cast("int").alias("members"), F.explode("prefix").alias("token"))
     lists = slim.groupBy("token").agg(F.count("*").alias("many"), F.max("members").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
     lists = lists.where(f"most > 1 or many > 2 or (many = 2 and 100L * low >= {percent} * high)")
     found = durable(slim.drop("members").join(lists.select("token", "many", "most"), "token"))
@@ -146,6 +147,7 @@ def _lists(entries: DataFrame, percent: int) -> DataFrame:
     alike = found.groupBy("token", "many", "most").agg(*same).groupBy("k0", "k1", "many", "most").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
     out = durable(found.join(alike.select("token", "weight"), "token").select(F.col("token").alias("list"), "many", "most", "weight", "gid", F.col("n").cast("long").alias("n")))
     discard(found)
+    discard(several)
     return out
 
 
