@@ -129,6 +129,7 @@ def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], conte
             at = ranges(batch.column(2).to_numpy().astype(np.int64), n)
             symbol, doc = (np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(got.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32))], ["symbol", "name", "doc_id", "at"])
+            give_back()
 
     size = each.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("symbol"), F.lit(shards(size, SHARD)).cast("long")).alias("shard")

@@ -30,7 +30,7 @@ def folder(spark: SparkSession) -> str:
 
 
 #: Rows of one Arrow batch between Spark and Python, where the session does not ask for fewer; texts may be long.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:

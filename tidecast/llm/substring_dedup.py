@@ -119,6 +119,7 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
                 covers = textscan.run_names(hashes, window)
                 key = textscan.join(textscan.join(covers[at], covers[at + n - 1]), n.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(symbol[head].view(np.int64)), pa.array(key.view(np.int64)), pa.array(part.ids[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(at), bool))], ["symbol", "key", "doc_id", "at", "n", "again"])
+            textscan.give_back()
 
     return docs.mapInArrow(scan, "symbol long, key long, doc_id long, at int, n int, again boolean")
 
@@ -139,6 +140,7 @@ def _contents(docs: DataFrame, window: int) -> DataFrame:
                 inside = end <= first[doc + 1]  # rows that repeat a doc_id with another text
                 content = textscan.slices(part.data, starts[begin[inside]], ends[end[inside] - 1])
                 yield pa.RecordBatch.from_arrays([pa.array(symbol[mine][inside]), pa.array(keys[mine][inside]), pa.array(part.ids[doc[inside]]), pa.array(at[mine][inside]), content], ["symbol", "keys", "doc_id", "at", "content"])
+            textscan.give_back()
 
     return docs.mapInArrow(scan, "symbol long, keys long, doc_id long, at int, content binary")
 
@@ -220,5 +222,7 @@ def strip_repeats(documents: DataFrame, window: int = 50, id_column: str = "doc_
                     if gone:
                         texts[k] = kept.decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == text else batch.column(k) for k in range(len(names))], names)
+            del marks, texts, pair
+            textscan.give_back()
 
     return joined.mapInArrow(strip, plain.schema).toDF(*documents.columns)

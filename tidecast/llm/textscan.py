@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LEFT, _RIGHT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
 #: Bytes of a word beyond which it is hashed by itself.
