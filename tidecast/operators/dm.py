@@ -1,4 +1,4 @@
-"""Diebold-Mariano tests over all pairs of models: one self-join, then grouped aggregates; Holm adjustment by windows."""
+"""Diebold-Mariano tests over all pairs of models: one grouping by the keys, then grouped aggregates; Holm adjustment by windows."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 
 def pair_differences(losses: DataFrame, keys: list[str], value: str = "loss") -> DataFrame:
-    """(keys, model_a, model_b, d) for a < b: one equi-join on the keys; models are few, keys are many."""
-    a = losses.select(*keys, F.col("model_id").alias("model_a"), F.col(value).alias("_a"))
-    b = losses.select(*keys, F.col("model_id").alias("model_b"), F.col(value).alias("_b"))
-    return a.join(b, keys).where("model_a < model_b").select(*keys, "model_a", "model_b", (F.col("_a") - F.col("_b")).alias("d"))
+    """(keys, model_a, model_b, d) for a < b: the models of a key are gathered once and paired there; models are few, keys are many.
+
+    Both losses of a pair come from one evaluation of the input, so that equal losses differ by nothing."""
+    met = losses.dropna(subset=keys).groupBy(*keys).agg(F.collect_list(F.struct(F.col("model_id").alias("m"), F.col(value).alias("v"))).alias("_s"))
+    pairs = F.flatten(F.transform("_s", lambda a: F.transform(F.filter("_s", lambda b: a["m"] < b["m"]), lambda b: F.struct(a["m"].alias("model_a"), b["m"].alias("model_b"), (a["v"] - b["v"]).alias("d")))))
+    return met.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.model_a", "_p.model_b", "_p.d")
 
 
 def planned_differences(losses: DataFrame, contrasts: DataFrame, keys: list[str], value: str = "loss") -> DataFrame:

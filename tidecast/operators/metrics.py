@@ -59,6 +59,17 @@ def daily_losses(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return facts.groupBy(*(keys or ["model_id", "target", "date"])).agg(F.avg(e * e).alias("se"), F.avg(F.abs(e)).alias("ae"), got["rmse"].alias("rmse"), got["mae"].alias("mae"), got["wmape"].alias("wmape"), got["bias"].alias("bias"))
 
 
+def ordered_means(rows: DataFrame, keys: list[str], order: str, names: list[str], places: int) -> DataFrame:
+    """(keys, names): rounded means of groups of few rows, summed in one order, so that equal rows have equal means to the last bit."""
+    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *names))).alias("_s"))
+
+    def mean(name: str) -> Column:
+        there = F.filter(F.col("_s")[name], lambda x: x.isNotNull())
+        return F.round(F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, x: a + x), F.size(there)), places)
+
+    return got.select(*keys, *[mean(n).alias(n) for n in names])
+
+
 def regimes(facts: DataFrame, split: str) -> DataFrame:
     """Facts with their regime, before or from a day, and once more as `overall`."""
     regime = F.when(F.col("date") < F.lit(split).cast("date"), F.lit(f"before_{split}")).otherwise(F.lit(f"from_{split}"))

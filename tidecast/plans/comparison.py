@@ -51,8 +51,8 @@ def hourly_losses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily_long(spark: SparkSession, sf: str) -> DataFrame:
-    """(model_id, target, date, loss, v); rounded, so that equal forecasts have equal losses whatever order they are summed in."""
-    daily = hourly_losses(spark, sf).groupBy("model_id", "target", "date").agg(*[F.round(F.avg(c), 8).alias(c) for c in ("se", "ae", "crps", "pb")])
+    """(model_id, target, date, loss, v); summed in the order of hours, so that equal forecasts have equal losses however large they are."""
+    daily = metrics.ordered_means(hourly_losses(spark, sf), ["model_id", "target", "date"], "ts", ["se", "ae", "crps", "pb"], 8)
     return daily.select("model_id", "target", "date", F.expr("stack(4, 'SE', se, 'AE', ae, 'CRPS', crps, 'PB', pb) as (loss, v)"))
 
 
