@@ -144,6 +144,7 @@ EQUAL_FORECASTS = {
     "Q23_dm_daily_auto_lag": ("status", "identical losses"),
     "Q25_dm_bounds": ("status", "identical losses"),
     "Q35_p_value_matrix": ("dup_naive24", 1.0),
+    "Q24_dm_fixed_lag": ("p_value", 1.0),
 }
 
 
