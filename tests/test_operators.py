@@ -145,6 +145,7 @@ EQUAL_FORECASTS = {
     "Q25_dm_bounds": ("status", "identical losses"),
     "Q35_p_value_matrix": ("dup_naive24", 1.0),
     "Q24_dm_fixed_lag": ("p_value", 1.0),
+    "Q25_dm_holm": ("p_holm", 1.0),
 }
 
 
