@@ -656,3 +656,21 @@ def test_components_of_a_long_chain(spark):
 def test_queries_are_registered_once_for_each_operator():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+
+
+def test_index_lists_are_cut_where_sizes_cannot_link(spark):
+    rows = [(k, n, [7], bytes(32), 100 + k) for k, n in enumerate([10, 11, 13, 40, 100, 101, 102, 110, 300])] + [(20, 50, [8], bytes(32), 200), (21, 90, [8], bytes(32), 201)]
+    entries = spark.createDataFrame(rows, "doc_id long, n long, prefix array<long>, bits binary, gid long")
+    lists = {}
+    for r in jaccard_join._lists(entries, 80).collect():
+        lists.setdefault((r["list"], r["many"], r["most"], r["weight"]), set()).add((r["gid"], r["n"]))
+    assert sorted(map(sorted, lists.values())) == [[(100, 10), (101, 11), (102, 13)], [(104, 100), (105, 101), (106, 102), (107, 110)]]
+    assert sorted(k[1:] for k in lists) == [(3, 1, 1), (4, 1, 1)]
+
+
+def test_texts_that_lose_no_words_are_not_shuffled_to_meet_marks(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, passage), (2, f"x {passage} y"), (3, "a  b"), (4, None), (None, passage)], "doc_id long, text string")
+    got = substring_dedup.strip_repeats(docs)
+    assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, passage), (2, "x y"), (3, "a  b"), (4, None), (None, passage)]))

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
@@ -132,20 +132,24 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
 def _lists(entries: DataFrame, percent: int) -> DataFrame:
     """(list, many, most, weight, gid, n): the index lists of the prefix tokens that two groups at least share.
 
-    Tokens whose lists have the same groups, such as those of a passage, are one list with their number as its weight; most
-    is the largest number of members of a group in it.  Most lists are of two groups that share a token by chance; if their
-    sizes alone rule a link out, the list goes.
+    A token's groups, in the order of their sizes, are cut into several lists where a size is too small for the next one to
+    link with it: no pair that the sizes allow is on both sides of a cut.  Groups that are left alone go, unless they have
+    several members themselves.  Lists that have the same groups, such as those of a passage, are one list with their number
+    as its weight; most is the largest number of members of a group in it.  Prefix tokens are shuffled once.
     """
     several = durable(entries.groupBy("gid").agg(F.count("*").alias("members"), F.min("doc_id").alias("head")).where("members > 1"))
     groups = entries.join(few(several), "gid", "left").where("members is null or doc_id = head")  # one entry of each group
     slim = groups.select("gid", F.col("n").cast("int").alias("n"), F.coalesce("members", F.lit(1)).cast("int").alias("members"), F.explode("prefix").alias("token"))
-    lists = slim.groupBy("token").agg(F.count("*").alias("many"), F.max("members").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
-    lists = lists.where(f"most > 1 or many > 2 or (many = 2 and 100L * low >= {percent} * high)")
-    found = durable(slim.drop("members").join(lists.select("token", "many", "most"), "token"))
+    order = Window.partitionBy("token").orderBy("n")
+    near = slim.withColumns({"below": F.lag("n").over(order), "above": F.lead("n").over(order)})
+    near = near.withColumns({"on": F.expr(f"coalesce(100L * below >= {percent}L * n, false)"), "up": F.expr(f"coalesce(100L * n >= {percent}L * above, false)")})
+    near = near.withColumn("cut", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.where("on or up or members > 1")
+    found = durable(near.select(F.when(F.col("cut") == 1, F.col("token")).otherwise(F.xxhash64("token", "cut")).alias("list"), "gid", "n", "members"))
     release(entries.sparkSession)
     same = [F.bit_xor(F.xxhash64("gid", F.lit(k))).alias(f"k{k}") for k in (0, 1)]
-    alike = found.groupBy("token", "many", "most").agg(*same).groupBy("k0", "k1", "many", "most").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
-    out = durable(found.join(alike.select("token", "weight"), "token").select(F.col("token").alias("list"), "many", "most", "weight", "gid", F.col("n").cast("long").alias("n")))
+    alike = found.groupBy("list").agg(*same, F.count("*").alias("many"), F.max("members").alias("most")).groupBy("k0", "k1", "many", "most").agg(F.min("list").alias("list"), F.count("*").alias("weight"))
+    out = durable(found.join(alike.select("list", "many", "most", "weight"), "list").select("list", "many", "most", "weight", "gid", F.col("n").cast("long").alias("n")))
     discard(found)
     discard(several)
     return out
@@ -252,9 +256,11 @@ def _long(lists: DataFrame, members: DataFrame, rows: int, percent: int, every:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     table = durable(dealt.select("list", "head", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "gid", "n"))
     n = F.lit(shards(rows, SHARD)).cast("long")
-    shares = table.groupBy("head", "b1", "b2").agg(F.ceil(F.count("*") / (4 * SHARD)).cast("long").alias("shares")).where("shares > 1")
-    dealt = table.join(shares, ["head", "b1", "b2"], "left").withColumn("share", F.pmod(F.xxhash64("list"), F.coalesce("shares", F.lit(1))))
-    dealt = dealt.select(F.pmod(F.xxhash64("head", "b1", "b2", "share"), n).alias("shard"), "list", "b1", "b2", "block", "gid", "n")
+    shares = durable(table.groupBy("head", "b1", "b2").agg(F.ceil(F.count("*") / (4 * SHARD)).cast("long").alias("shares")).where("shares > 1"))
+    dealt = table.join(few(shares), ["head", "b1", "b2"], "left").withColumn("share", F.pmod(F.xxhash64("list"), F.coalesce("shares", F.lit(1))))
+    dealt = durable(dealt.select(F.pmod(F.xxhash64("head", "b1", "b2", "share"), n).alias("shard"), "list", "b1", "b2", "block", "gid", "n"))
+    discard(table)
+    discard(shares)
     sent = dealt.select(F.col("shard").alias("to"), F.col("gid").alias("group")).distinct()
     sent = sent.join(members.select(F.col("gid").alias("group"), F.col("doc_id").alias("doc"), "comp", F.col("n").alias("size"), "bits"), "group")
     found = dealt.groupBy("shard").cogroup(sent.groupBy("to")).applyInArrow(lambda a, b: _meet(a, b, percent, every), "u long, v long, far long")
@@ -262,7 +268,7 @@ def _long(lists: DataFrame, members: DataFrame, rows: int, percent: int, every:
         found = found.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("a"), F.min("v").alias("b"), F.max("v").alias("c"))
         found = found.select("u", F.explode(F.array("a", "b", "c")).alias("v"))
     out = durable(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    discard(table)
+    discard(dealt)
     return out
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.shared import discard, durable, release, shards
+from tidecast.llm.shared import discard, durable, few, release, shards
 from tidecast.llm.textscan import give_back, ranges
 
 
@@ -106,8 +106,10 @@ def repeated(docs: DataFrame, stretches: Callable[[DataFrame], DataFrame], conte
     discard(firsts)
     release(spark)
     ask = told.where("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("symbol", "at", "n", "keys")).alias("s"))
-    ask = docs.join(ask, "doc_id").select("doc_id", "text", F.col("s.symbol").alias("symbol"), F.col("s.at").alias("at"), F.col("s.n").alias("n"), F.col("s.keys").alias("keys"))
+    asked = durable(told.where("not whole").select("doc_id").distinct())  # told apart first, so that only their texts are shuffled
+    ask = docs.join(few(asked), "doc_id", "left_semi").join(ask, "doc_id").select("doc_id", "text", F.col("s.symbol").alias("symbol"), F.col("s.at").alias("at"), F.col("s.n").alias("n"), F.col("s.keys").alias("keys"))
     each = durable(contents(ask))
+    discard(asked)
     release(spark)
 
     def compare(table: pa.Table) -> pa.Table:

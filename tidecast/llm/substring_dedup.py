@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm import textscan
 from tidecast.llm.repeats import covered, int_lists, repeated, same_runs
-from tidecast.llm.shared import texts_of
+from tidecast.llm.shared import IDS, texts_of
 
 #: Rounds of pair naming, the words a named pair may have, and the words at either end whose symbols may differ.
 ROUNDS, MOST_WORDS = 4, 9
@@ -211,7 +211,13 @@ def strip_repeats(documents: DataFrame, window: int = 50, id_column: str = "doc_
     marks = find_repeats(docs, window).select(F.col("doc_id").alias("marked"), F.col("at").alias("m0"), F.col("n").alias("m1"))
     plain = documents.toDF(*names)
     key, text = names[documents.columns.index(id_column)], documents.columns.index(text_column)
-    joined = plain.join(marks, plain[key].cast("long") == marks["marked"], "left").select(*names, "m0", "m1")
+    own, arrays = plain[key].cast("long"), {"m0": F.lit(None).cast("array<int>"), "m1": F.lit(None).cast("array<int>")}
+    if marks.count() <= IDS:  # only texts that lose words are shuffled to meet their marks
+        ids = F.broadcast(marks.select(F.col("marked").alias("chosen")))
+        whole = plain.join(ids, own == F.col("chosen"), "left_anti").withColumns(arrays)
+        joined = plain.join(ids, own == F.col("chosen"), "left_semi").join(marks, own == F.col("marked")).select(*names, "m0", "m1").unionByName(whole)
+    else:
+        joined = plain.join(marks, own == F.col("marked"), "left").select(*names, "m0", "m1")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
