@@ -674,3 +674,29 @@ def test_texts_that_lose_no_words_are_not_shuffled_to_meet_marks(spark):
     got = substring_dedup.strip_repeats(docs)
     assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, passage), (2, "x y"), (3, "a  b"), (4, None), (None, passage)]))
+
+
+def mixed(rng, own, passage=""):
+    """Words of a small vocabulary around words of the text's own and a passage."""
+    words = [f"c{rng.randrange(40)}" for _ in range(100)]
+    for k in range(30):
+        words.insert(rng.randrange(len(words)), f"{own}x{k}")
+    return f"{' '.join(words)} {passage}"
+
+
+def test_shingles_that_texts_share_by_chance_stay_out_of_the_index(spark):
+    rng = random.Random(11)
+    docs = frame(spark, [mixed(rng, f"d{k}") for k in range(200)])
+    _, _, entries = jaccard_join._classes(docs, 3, 90, "doc_id", "text")
+    assert entries.count() == 200 and jaccard_join._lists(entries, 90).count() == 0
+
+
+def test_the_last_round_reads_no_long_list_without_partners(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(12))
+    texts = [mixed(rng, f"d{k}", passage) for k in range(5)] + [mixed(rng, f"d{k}") for k in range(5, 200)]
+    seen, long = [], jaccard_join._long
+    monkeypatch.setattr(jaccard_join, "_long", lambda lists, members, rows, percent, every: seen.append((rows, every)) or long(lists, members, rows, percent, every))
+    got = jaccard_join.jaccard_components(frame(spark, texts), 3, 90).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    assert seen[0][0] >= 5 and not seen[0][1] and seen[-1] == (0, True)

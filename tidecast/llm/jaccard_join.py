@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes.
 
 Tokens are word shingles, ordered by rarity: shingles that stand out as frequent come last, by their counts, all others
-come first, by their hash.  Any two sets that link share a token among their prefixes.  Documents with one and the same
+come first, by how frequent their words are, then by their hash.  Any two sets that link share a token among their prefixes.  Documents with one and the same
 set are a single entry; entries with the same prefix and size form a group.  An inverted index over prefix tokens pairs
 groups, which the size and positional bounds filter; pairs that are left are expanded to members, which a bitmap bound
 filters and the sets verify exactly (by 64-bit shingle hashes).
@@ -12,7 +12,7 @@ with the members' bitmaps, once for each shard.  Lists longer than BLOCK are dea
 
 For components, links between copies are never expanded to all pairs.  NEAR_ROUNDS rounds verify for each entry of a long list
 its nearest, smallest and largest partner outside its component; a last round verifies every pair that is left between
-different components.  What is skipped joins documents of one component, so that components are exact.  For the join itself
+different components, in long lists among the groups alone that had a partner within the bounds in the round before.  What is skipped joins documents of one component, so that components are exact.  For the join itself
 (class_links, jaccard_links) one round verifies every pair of entries that the bounds leave, so that no link is missing; its
 pairs grow with the square of a group of near copies, as the links do.
 
@@ -33,20 +33,20 @@ from pyspark.sql import functions as F
 from tidecast.llm import textscan
 from tidecast.llm.shared import components, discard, durable, few, release, shards, texts_of
 
-#: Frequent shingles that the order knows (a bound on what the driver gathers; others are ordered by hash alone).
+#: Frequent shingles, and frequent words, that the order knows (a bound on what the driver gathers; others count as rare).
 FREQUENT = 1 << 17
 #: Entries of an index list that meet in one block, and index rows of one shard.
 BLOCK, SHARD = 1024, 2000
 #: Rounds that verify the nearest, smallest and largest partner alone; groups of the longest list that goes by counts.
 NEAR_ROUNDS, SHORT_LIST = 1, 3
-#: Shingles counted together in a task, and the count among them from which a shingle counts as frequent.
+#: Shingles or words counted together in a task, and the count among them from which one counts as frequent.
 COUNTED, STANDS_OUT = 1_500_000, 6
 #: Words of 64 bits of the narrowest parity bitmap; a set of n tokens has a bit for every two tokens at least.
 NARROW = 4
 
 
-def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc_id, sorted distinct shingle hashes) for each text."""
+def _shingles(batch: pa.RecordBatch, words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, word hashes, each shingle's hash, first word and number of words, where each text's shingles begin) of runs of texts."""
     for _, part in textscan.texts(batch):
         starts, ends, first = part.words()
         hashes = part.word_hashes(starts, ends, fold=True)
@@ -58,45 +58,68 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
         for k in np.unique(size).tolist():
             of = np.flatnonzero(size == k)
             shingles[of] = textscan.run_names(hashes, k)[begin[of]]
-        at = np.concatenate([[0], np.cumsum(counts)])
-        for k, doc in enumerate(part.ids):
+        yield part.ids, hashes, shingles, begin, size, np.concatenate([[0], np.cumsum(counts)])
+
+
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(doc_id, sorted distinct shingle hashes) for each text."""
+    for ids, _, shingles, _, _, at in _shingles(batch, words):
+        for k, doc in enumerate(ids):
             yield int(doc), np.unique(shingles[at[k] : at[k + 1]])
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes of at most FREQUENT shingles, from the least to the most frequent; from all documents."""
+def frequent_tokens(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of at most FREQUENT shingles, from the least to the most frequent, and of at most FREQUENT words, sorted, with
+    their counts; from all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
+        def flush(word: bool) -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(held[word]), return_counts=True)
+            held[word], size[word] = [], 0
             keep = n >= STANDS_OUT
-            return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), word)), pa.array(token[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["word", "token", "n"])
 
-        held, size = [], 0
+        held, size = {False: [], True: []}, {False: 0, True: 0}
         for batch in batches:
-            for _, found in _sets(batch, words):
-                held.append(found)
-                size += len(found)
-                if size >= COUNTED:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
-        held = []
+            for ids, hashes, shingles, _, _, at in _shingles(batch, words):
+                for word, found in [(True, hashes), *((False, np.unique(shingles[at[k] : at[k + 1]])) for k in range(len(ids)))]:
+                    held[word].append(found)
+                    size[word] += len(found)
+                    if size[word] >= COUNTED:
+                        yield flush(word)
+        for word in held:
+            if held[word]:
+                yield flush(word)
         textscan.give_back()
 
-    counts = docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    return np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
+    counts = durable(docs.mapInArrow(count, "word boolean, token long, n long").groupBy("word", "token").agg(F.sum("n").alias("n")))
+    shingle, word = (counts.where(of).orderBy(F.desc("n"), "token").limit(FREQUENT).collect() for of in ("not word", "word"))
+    discard(counts)
+    word.sort(key=lambda r: r.token % (1 << 64))
+    return *(np.array([r.token for r in top], np.int64).view(np.uint64) for top in (shingle[::-1], word)), np.array([r.n for r in word], np.int64)
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix, bits) for each text: size, a key of the set, its prefix in order, a parity bitmap."""
-    order = np.argsort(frequent, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+def _levels(hashes: np.ndarray, known: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The level of each word; 0 for words that are not known as frequent."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, level[at], 0)
 
-    def prefix(tokens: np.ndarray, by_hash: np.ndarray, rank: np.ndarray) -> np.ndarray:
+
+def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
+    """(doc_id, n, k1, k2, prefix, bits) for each text: size, a key of the set, its prefix in order, a parity bitmap.
+
+    A shingle's level adds up logarithms of its words' counts: texts share shingles of frequent words by chance, so that
+    those of rare words come first.
+    """
+    shingle, known, counts = frequent
+    order = np.argsort(shingle, kind="stable")
+    shared = docs.sparkSession.sparkContext.broadcast((shingle[order], order, known, np.round(8 * np.log2(1 + counts)).astype(np.int64)))
+
+    def prefix(tokens: np.ndarray, levels: np.ndarray, by_hash: np.ndarray, rank: np.ndarray) -> np.ndarray:
         p = len(tokens) - -(-percent * len(tokens) // 100) + 1
+        tokens = tokens[np.argsort(levels, kind="stable")]
         if not len(by_hash):
             return tokens[:p]
         for some in (tokens[: 2 * p], tokens):
@@ -108,11 +131,19 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
         late = tokens[common]
         return np.concatenate([rare, late[np.argsort(rank[at[common]], kind="stable")]])[:p]
 
+    def ranked(batch: pa.RecordBatch, known: np.ndarray, level: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for ids, hashes, shingles, begin, size, at in _shingles(batch, words):
+            before = np.concatenate([[0], np.cumsum(_levels(hashes, known, level))])
+            levels = np.minimum(before[begin + size] - before[begin], 32767).astype(np.int16)
+            for k, doc in enumerate(ids):
+                tokens, first = np.unique(shingles[at[k] : at[k + 1]], return_index=True)
+                yield int(doc), tokens, levels[at[k] : at[k + 1]][first]
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_hash, rank = shared.value
+        by_hash, rank, known, level = shared.value
         for batch in batches:
             out = []
-            for doc, tokens in _sets(batch, words):
+            for doc, tokens, levels in ranked(batch, known, level):
                 if not len(tokens):
                     out.append((doc, 0, 0, 0, None, None))
                     continue
@@ -121,7 +152,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
                 while 2 * width < len(tokens):
                     width *= 2
                 bits = np.packbits((np.bincount((tokens % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8))
-                out.append((doc, len(tokens), int(k1.view(np.int64)), int(k2.view(np.int64)), prefix(tokens, by_hash, rank).view(np.int64), bits.tobytes()))
+                out.append((doc, len(tokens), int(k1.view(np.int64)), int(k2.view(np.int64)), prefix(tokens, levels, by_hash, rank).view(np.int64), bits.tobytes()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "k1", "k2", "prefix", "bits"])
@@ -334,7 +365,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _classes(documents: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The texts, (doc_id, n, k1, k2) of each, and a row for each set that is not empty, by its smallest doc_id, as an entry."""
     docs = texts_of(documents, id_column, text_column)
-    signed = durable(signatures(docs, frequent_shingles(docs, words), words, percent))
+    signed = durable(signatures(docs, frequent_tokens(docs, words), words, percent))
     sets = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix", "bits")).alias("r")).select("n", "r.*")
     entries = durable(sets.select("doc_id", "n", "prefix", "bits", F.xxhash64("n", "prefix").alias("gid")))
     keys = durable(signed.select("doc_id", "n", "k1", "k2"))
@@ -404,20 +435,27 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     near = durable(entries.drop("prefix").join(lists.select("gid").distinct(), "gid", "left_semi"))
     discard(entries)
     release(spark)
-    comps = links = None
+    long, short = lists.where(f"not ({SHORT})"), lists.where(SHORT)
+    comps = links = met = None
     for every in (*[False] * NEAR_ROUNDS, True):
         members = near.withColumn("comp", F.col("doc_id"))
         if comps is not None:
             members = near.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         members = durable(members)
-        spans = members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        some = durable(_of_several(lists if every else lists.where(f"not ({SHORT})"), spans))
-        long = some.where(f"not ({SHORT})")
-        pairs = _long(long, members, long.count(), percent, every)
+        some = long
+        if met is not None:
+            spans = members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+            some = durable(_of_several(long.join(few(met), "gid", "left_semi"), spans))
+            discard(met)
+        pairs = _long(some, members, some.count(), percent, every)
+        if some is not long:
+            discard(some)
         if every:
-            pairs, near_pairs = durable(pairs.unionByName(_short(some.where(SHORT), members, percent)).distinct()), pairs
+            pairs, near_pairs = durable(pairs.unionByName(_short(short, members, percent)).distinct()), pairs
             discard(near_pairs)
-        discard(some)
+        else:  # a group whose members have no partner here has none in a later round: components only grow
+            ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+            met = durable(members.join(few(ends), "doc_id", "left_semi").select("gid").distinct())
         discard(members)
         release(spark)
         fresh = _links(docs, pairs, words, percent)
