@@ -700,3 +700,38 @@ def test_the_last_round_reads_no_long_list_without_partners(spark, monkeypatch):
     got = jaccard_join.jaccard_components(frame(spark, texts), 3, 90).collect()
     assert all(r.component_id == r.doc_id for r in got)
     assert seen[0][0] >= 5 and not seen[0][1] and seen[-1] == (0, True)
+
+
+def _shard_of_near_copies(lists, copies):
+    """A shard in which a group of near copies is alone in lists, and the partners that the bounds leave: {(u, v): far}."""
+    rng = np.random.default_rng(13)
+    bits = np.tile(rng.integers(0, 1 << 63, 4, dtype=np.uint64), (copies, 1))
+    bits[np.arange(copies), rng.integers(0, 4, copies)] ^= rng.integers(0, 1 << 20, copies, dtype=np.uint64)
+    far = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2).astype(int)
+    near = {(u, v): far[u, v] for u in range(copies) for v in range(copies) if u != v and far[u, v] <= 200 - 2 * -(-80 * 200 // 180)}
+    zero, same = np.zeros(lists, np.int64), np.full(lists, 7, np.int64)
+    table = jaccard_join.pa.table({"list": np.arange(lists), "b1": zero, "b2": zero, "block": zero, "gid": same, "n": same - 7 + 100})
+    doc = np.arange(copies)
+    members = jaccard_join.pa.table({"group": np.full(copies, 7), "doc": doc, "comp": doc, "size": np.full(copies, 100), "bits": [r.tobytes() for r in bits]})
+    return table, members, near
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_a_group_of_near_copies_meets_in_little_memory(every):
+    import tracemalloc
+
+    lists, members, near = _shard_of_near_copies(40, 300)
+    tracemalloc.start()
+    got = jaccard_join._meet(lists, members, 80, every)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    if every:
+        want = {(u, v, far) for (u, v), far in near.items() if u < v}
+    else:
+        of = collections.defaultdict(list)
+        for (u, v), far in near.items():
+            of[u].append((far, v))
+        want = {(u, v, far) for u, found in of.items() for far, v in (min(found), min(found, key=lambda p: p[1]), max(found, key=lambda p: p[1]))}
+    rows = list(zip(*(got.column(c).to_pylist() for c in ("u", "v", "far")), strict=True))
+    assert len(near) > 40_000 and len(rows) == len(want) and set(rows) == want
+    assert peak < 40e6  # 40 lists come to 1.8 million pairs, of 45,000 different ones

@@ -37,6 +37,8 @@ from tidecast.llm.shared import components, discard, durable, few, release, shar
 FREQUENT = 1 << 17
 #: Entries of an index list that meet in one block, and index rows of one shard.
 BLOCK, SHARD = 1024, 2000
+#: Pairs of groups, and pairs of members, that a shard expands at once, and pairs of members that wait to be merged.
+AT_ONCE = 100_000
 #: Rounds that verify the nearest, smallest and largest partner alone; groups of the longest list that goes by counts.
 NEAR_ROUNDS, SHORT_LIST = 1, 3
 #: Shingles or words counted together in a task, and the count among them from which one counts as frequent.
@@ -156,6 +158,8 @@ def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarr
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "k1", "k2", "prefix", "bits"])
+            del out, columns
+        textscan.give_back()
 
     return docs.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
 
@@ -228,6 +232,24 @@ class _Bitmaps:
         return out
 
 
+def _merged(kept: tuple[np.ndarray, ...], got: list[tuple[np.ndarray, ...]], every: bool) -> tuple[np.ndarray, ...]:
+    """The pairs (u, v, far) of kept and got, each once: all of them, or of all pairs seen so far (those of got in both
+    directions) for each u the one with its nearest v and the ones with its smallest and largest v."""
+    u, v, far = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
+    if not every:
+        u, v, far = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([far, far])
+    u, v, far = (np.concatenate(both) for both in zip(kept, (u, v, far), strict=True))
+    order = np.lexsort((v, u))
+    order = order[np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])])] if len(order) else order
+    u, v, far = u[order], v[order], far[order]
+    if not every and len(u):
+        new = np.concatenate([[True], u[1:] != u[:-1]])
+        nearest = np.lexsort((v, far, u))  # a u's rows stand at the same places in either order
+        pick = np.unique(np.concatenate([np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True)), nearest[new]]))
+        u, v, far = u[pick], v[pick], far[pick]
+    return u, v, far
+
+
 def _meet(lists: pa.Table, members: pa.Table, percent: int, every: bool) -> pa.Table:
     """Of the member pairs of one shard's lists that all bounds leave (u, v, far): all of them, or for each u the one with its
     nearest v and the ones with its smallest and largest v; far is an estimate of the symmetric difference."""
@@ -241,9 +263,9 @@ def _meet(lists: pa.Table, members: pa.Table, percent: int, every: bool) -> pa.T
     key = np.flatnonzero(np.concatenate([[True], (col["list"][1:] != col["list"][:-1]) | (col["b1"][1:] != col["b1"][:-1]) | (col["b2"][1:] != col["b2"][:-1])]))
     length = np.diff(np.append(key, len(order)))
     partners = np.repeat(key + length, length) - np.arange(len(order))  # each row with itself and all later ones of its list
-    got: list[tuple[np.ndarray, ...]] = []
-    cuts = np.flatnonzero(np.diff(np.cumsum(partners) // 300_000)) + 1
-    for rows in np.split(np.arange(len(order)), cuts):
+    none = np.zeros(0, np.int64)
+    kept, got, waiting = (none, none, none), [], 0
+    for rows in np.split(np.arange(len(order)), np.flatnonzero(np.diff(np.cumsum(partners) // AT_ONCE)) + 1):
         x = np.repeat(rows, partners[rows])
         y = textscan.ranges(rows, partners[rows])
         nx, ny = col["n"][x], col["n"][y]
@@ -251,26 +273,23 @@ def _meet(lists: pa.Table, members: pa.Table, percent: int, every: bool) -> pa.T
         keep = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & crossing
         x, y = x[keep], y[keep]
         wide = end[y] - first[y]
-        count = (end[x] - first[x]) * wide  # expand group pairs to member pairs
-        step, wide = textscan.ranges(np.zeros(len(x), np.int64), count), np.repeat(wide, count)
-        u, v = np.repeat(first[x], count) + step // wide, np.repeat(first[y], count) + step % wide
-        keep = (comp[u] != comp[v]) & (np.repeat(x != y, count) | (u < v))
-        u, v = u[keep], v[keep]
-        both = size[u] + size[v]
-        far = bitmaps.apart(u, v)
-        keep = far <= both - 2 * -(-percent * both // (100 + percent))
-        got.append((np.minimum(doc[u], doc[v])[keep], np.maximum(doc[u], doc[v])[keep], far[keep]))
-    u, v, far = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
-    if not every:
-        u, v, far = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([far, far])
-    order = np.lexsort((v, u))
-    order = order[np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])])] if len(order) else order
-    u, v, far = u[order], v[order], far[order]
-    if not every and len(u):
-        new = np.concatenate([[True], u[1:] != u[:-1]])
-        nearest = np.lexsort((v, far, u))  # a u's rows stand at the same places in either order
-        pick = np.unique(np.concatenate([np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True)), nearest[new]]))
-        u, v, far = u[pick], v[pick], far[pick]
+        upto = np.cumsum((end[x] - first[x]) * wide)  # group pairs come to so many member pairs
+        for at in range(0, int(upto[-1]) if len(upto) else 0, AT_ONCE):
+            step = np.arange(at, min(at + AT_ONCE, int(upto[-1])))
+            of = np.searchsorted(upto, step, side="right")
+            step -= np.where(of > 0, upto[of - 1], 0)
+            u, v = first[x[of]] + step // wide[of], first[y[of]] + step % wide[of]
+            keep = (comp[u] != comp[v]) & ((x[of] != y[of]) | (u < v))
+            u, v = u[keep], v[keep]
+            both = size[u] + size[v]
+            far = bitmaps.apart(u, v)
+            keep = far <= both - 2 * -(-percent * both // (100 + percent))
+            got.append((np.minimum(doc[u], doc[v])[keep], np.maximum(doc[u], doc[v])[keep], far[keep]))
+            waiting += len(got[-1][0])
+            if waiting > max(AT_ONCE, len(kept[0])):  # copies of a pair, from many lists, do not wait for each other
+                kept, got, waiting = _merged(kept, got, every), [], 0
+    u, v, far = _merged(kept, got, every)
+    del kept, got
     textscan.give_back()
     return pa.table({"u": u, "v": v, "far": far})
 
@@ -339,6 +358,8 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
             for at in range(0, len(found), 500):
                 some = found[at : at + 500]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([t.tobytes() for _, t in some], pa.binary())], ["doc_id", "tokens"])
+            del found
+        textscan.give_back()
 
     return docs.mapInArrow(build, "doc_id long, tokens binary")
 
@@ -356,6 +377,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
+        textscan.give_back()
 
     left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("tokens").alias("tu")), "u")
     both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("tokens").alias("tv")), "v").select("u", "v", "tu", "tv")
